@@ -8,21 +8,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows a task handles at once, so that memory follows this many texts and not the size of a partition.
-SLICE = 256
+#: Rows and bytes of text a task handles at once, so that memory follows these and not the size of a partition.
+SLICE, SLICE_BYTES = 256, 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most so many rows, and so many bytes in the second column unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE) -> DataFrame:
-    """Apply fn to small slices of each Arrow batch; a narrow operation."""
+    """Apply fn to small slices of each Arrow batch, the second column being the text; a narrow operation."""
 
     def run(batches):
         for part in slices(batches, rows):
