@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import gram_hashes, map_slices, written
+from .tasks import map_slices, written
 
 #: Bounds of the bitmap's size in bits; 2^28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
@@ -34,12 +34,12 @@ class Runs(NamedTuple):
     anchor: np.ndarray
 
 
-def runs(tokens: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
-    """Anchored runs of windows of the rows whose tokens lie one after another in tokens."""
+def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
+    """Anchored runs of windows of rows of so many tokens, from the hashes of all k-grams of the tokens in one line."""
     none = np.empty(0, np.int64)
-    if len(tokens) < window:
+    if len(grams) + k - 1 < window:
         return Runs(none, none, none, none)
-    least = gram_hashes(tokens, k)
+    least = grams
     place = np.arange(len(least), dtype=np.int32)
     size, want = 1, window - k + 1
     while size < want:  # sliding minimum by doubling; the left part wins ties
@@ -89,11 +89,11 @@ def has_bit(bitmap: bytes, anchors: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, tokenise, window: int, k: int) -> DataFrame:
-    """The anchor hash of each run. tokenise gives the units of a slice of texts, their tokens and their numbers."""
+    """The anchor hash of each run. tokenise gives the units of a slice of texts, their k-gram hashes and their numbers."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        _, tokens, lengths = tokenise(part.column(1).to_pylist())
-        return pa.record_batch([pa.array(runs(tokens, lengths, window, k).anchor, pa.int64())], names=["anchor"])
+        _, grams, lengths = tokenise(part.column(1).to_pylist())
+        return pa.record_batch([pa.array(runs(grams, lengths, window, k).anchor, pa.int64())], names=["anchor"])
 
     return map_slices(docs, run, "anchor long")
 
@@ -102,8 +102,8 @@ def candidate_runs(docs: DataFrame, tokenise, window: int, k: int, bitmap: Broad
     """What emit makes of the runs of each slice whose anchors have their bits set."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        units, tokens, lengths = tokenise(part.column(1).to_pylist())
-        found = runs(tokens, lengths, window, k)
+        units, grams, lengths = tokenise(part.column(1).to_pylist())
+        found = runs(grams, lengths, window, k)
         keep = np.flatnonzero(has_bit(bitmap.value, found.anchor)) if len(found.anchor) else []
         if not len(keep):
             return None

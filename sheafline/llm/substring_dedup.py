@@ -24,16 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Runs, anchor_rows, bits_of, candidate_runs, digests, repeated_bits
-from .tasks import map_slices, word_hashes, words_of, written
+from .tasks import gram_hashes, map_slices, word_hashes, words_of, written
 
 WINDOW = 20
 ANCHOR = 6
 
 
-def _tokenise(texts: list[str | None]):
-    words = [words_of(t) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return words, word_hashes([w for ws in words for w in ws]), lengths
+def _tokeniser(k: int):
+    def tokenise(texts: list[str | None]):
+        words = [words_of(t) for t in texts]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        return words, gram_hashes(word_hashes([w for ws in words for w in ws]), k), lengths
+
+    return tokenise
 
 
 def _digest(words: list[bytes], a: int, b: int) -> bytes:
@@ -71,11 +74,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """doc, start, n, source, source_start: n consecutive windows that also start at the earlier place."""
     rows = docs.select(id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()
-    bitmap = repeated_bits(anchor_rows(rows, _tokenise, window, anchor))
-    paths = written(candidate_runs(rows, _tokenise, window, anchor, bitmap, _paths(window), f"doc {kind}, start int, n int, anchor long, d1 long, d2 long"), "paths")
+    tokenise = _tokeniser(anchor)
+    bitmap = repeated_bits(anchor_rows(rows, tokenise, window, anchor))
+    paths = written(candidate_runs(rows, tokenise, window, anchor, bitmap, _paths(window), f"doc {kind}, start int, n int, anchor long, d1 long, d2 long"), "paths")
     distinct = paths.select("anchor", "d1", "d2").distinct()
     branching = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("anchor"), "branching")
-    edges = candidate_runs(rows, _tokenise, window, anchor, bits_of(branching, docs.sparkSession), _edges(window), f"doc {kind}, start int, d1 long, d2 long")
+    edges = candidate_runs(rows, tokenise, window, anchor, bits_of(branching, docs.sparkSession), _edges(window), f"doc {kind}, start int, d1 long, d2 long")
     return _later(paths.drop("anchor")).unionByName(_later(written(edges, "edges")))
 
 
