@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, decontaminate, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, minhash, quality, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_minhash": minhash.op3_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
