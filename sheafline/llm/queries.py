@@ -1,14 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, decontaminate, minhash, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op3_minhash": minhash.op3_minhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op2_warc": warc.OP2_SQL}
+SQL = {"op7_line_dedup": line_dedup.OP7_SQL, "op1_substring_dedup": substring_dedup.OP1_SQL, "op2_warc": warc.OP2_SQL}
