@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, brown, decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, brown, decontaminate, line_dedup, minhash, pii, quality, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op3_minhash": minhash.op3_minhash,
+    "op4_pii": pii.op4_pii,
     "op5_brown": brown.op5_brown,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
