@@ -1,11 +1,11 @@
 """Anchored runs of windows: how equal windows of different rows meet without shuffling every window.
 
 A window of `window` tokens is anchored at its leftmost k-gram of least hash, so equal windows have equal anchors at
-equal places. Consecutive windows with one anchor form a run, about one run for every (window - k) / 2 tokens. Windows
-can only be equal where the anchor's hash occurs more than once, so a first pass counts anchor hashes with partial
-aggregation, and the repeated ones set bits of a bitmap of bounded size. Later passes read the texts again and keep the
-runs whose anchor has its bit set. The bitmap only saves work: a bit set by chance lets a run through that then proves
-to be unique.
+equal places. Consecutive windows with one anchor form a run, about one run for every (window - k) / 2 tokens. Two
+equal windows also share the anchor with the `side` tokens to its right, or else with those to its left, where `side` is
+half of what the anchor leaves of the window. A first pass counts hashes of these longer grams with partial aggregation,
+and the repeated ones set bits of a bitmap of bounded size. Later passes read the texts again and keep the runs that
+have a bit set. The bitmap only saves work: a bit set by chance lets a run through that then proves to be unique.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import map_slices, written
+from .tasks import MULTIPLIER, discard, map_slices, mix, written
 
 #: Bounds of the bitmap's size in bits; 2^28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
@@ -26,19 +26,21 @@ BITS_A_KEY = 16
 
 
 class Runs(NamedTuple):
-    """Runs of windows of a slice: row, first window's start in the row, number of windows, anchor hash."""
+    """Runs of windows of a slice: row, first window's start in the row, number of windows, anchor hash, and the places of the first window and of the anchor in the slice."""
 
     row: np.ndarray
     start: np.ndarray
     n: np.ndarray
     anchor: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
 
 
 def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
     """Anchored runs of windows of rows of so many tokens, from the hashes of all k-grams of the tokens in one line."""
     none = np.empty(0, np.int64)
     if len(grams) + k - 1 < window:
-        return Runs(none, none, none, none)
+        return Runs(*[none] * 6)
     least = grams
     place = np.arange(len(least), dtype=np.int32)
     size, want = 1, window - k + 1
@@ -53,29 +55,43 @@ def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
     row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     inside = np.flatnonzero(row[: len(least)] == row[window - 1 :])
     if not len(inside):
-        return Runs(none, none, none, none)
+        return Runs(*[none] * 6)
     place, own = place[inside], row[inside]
     # one place anchors windows of one row only, as windows lie inside rows
     first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     at = inside[first]
     owner = own[first]
-    return Runs(owner, at - (ends - lengths)[owner], np.diff(np.append(first, len(inside))), least[at].view(np.int64))
+    return Runs(owner, at - (ends - lengths)[owner], np.diff(np.append(first, len(inside))), least[at].view(np.int64), at, place[first])
 
 
-def repeated_bits(anchors: DataFrame) -> Broadcast:
-    """A broadcast bitmap with the bits of all values of column anchor that occur more than once in anchors."""
-    spark = anchors.sparkSession
-    again = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
-    return bits_of(again, spark)
+def side_keys(grams: np.ndarray, found: Runs, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with windows that reach `side` tokens right of the anchor and their keys, then the same for the left of other windows."""
+    side = (window - k) // 2
+    if side > k:
+        raise ValueError("the anchor must be longer than half of what it leaves of the window")
+    before = found.place - found.first  # tokens left of the anchor in the first window; one less in each next one
+    right = np.flatnonzero(before - found.n + 1 <= window - k - side)
+    left = np.flatnonzero(before > window - k - side)
+    at, to = found.place[right], found.place[left]
+    return right, mix(grams[at] * MULTIPLIER + grams[at + side]), left, mix(grams[to - side] * MULTIPLIER + grams[to] + np.uint64(1))
 
 
-def bits_of(keys: DataFrame, spark) -> Broadcast:
+def repeated_bits(keys: DataFrame) -> Broadcast:
+    """A broadcast bitmap with the bits of all values of column key that occur more than once in keys."""
+    again = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-keys")
+    out = bits_of(again)
+    discard(again)
+    return out
+
+
+def bits_of(keys: DataFrame) -> Broadcast:
     """The bitmap of a written table of keys; its size follows their number up to a bound."""
+    spark = keys.sparkSession
     wanted = keys.count() * BITS_A_KEY
     bits = LEAST_BITS
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    bit = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
     parts = keys.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
     out = bytearray(bits // 8)
     for r in parts.toLocalIterator():
@@ -83,35 +99,56 @@ def bits_of(keys: DataFrame, spark) -> Broadcast:
     return spark.sparkContext.broadcast(bytes(out))
 
 
-def has_bit(bitmap: bytes, anchors: np.ndarray) -> np.ndarray:
-    at = anchors.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+def has_bit(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
     return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def anchor_rows(docs: DataFrame, tokenise, window: int, k: int) -> DataFrame:
-    """The anchor hash of each run. tokenise gives the units of a slice of texts, their k-gram hashes and their numbers."""
+def run_keys(docs: DataFrame, tokenise, window: int, k: int) -> DataFrame:
+    """The keys of all runs. tokenise gives the units of a slice of texts, their k-gram hashes and their numbers."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         _, grams, lengths = tokenise(part.column(1).to_pylist())
-        return pa.record_batch([pa.array(runs(grams, lengths, window, k).anchor, pa.int64())], names=["anchor"])
+        _, right, _, left = side_keys(grams, runs(grams, lengths, window, k), window, k)
+        return pa.record_batch([pa.array(np.concatenate([right, left]).view(np.int64), pa.int64())], names=["key"])
+
+    return map_slices(docs, run, "key long")
+
 
-    return map_slices(docs, run, "anchor long")
+def place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Key of a run by its coordinates."""
+    return (doc.astype(np.int64).view(np.uint64) << np.uint64(20)) + start.astype(np.uint64)
 
 
-def candidate_runs(docs: DataFrame, tokenise, window: int, k: int, bitmap: Broadcast, emit, schema: str) -> DataFrame:
-    """What emit makes of the runs of each slice whose anchors have their bits set."""
+def candidate_runs(docs: DataFrame, tokenise, window: int, k: int, bitmap: Broadcast, emit, schema: str, places: Broadcast | None = None) -> DataFrame:
+    """What emit makes of the runs of each slice that have a bit set, and, if places are given, whose coordinates have one there."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
         units, grams, lengths = tokenise(part.column(1).to_pylist())
         found = runs(grams, lengths, window, k)
-        keep = np.flatnonzero(has_bit(bitmap.value, found.anchor)) if len(found.anchor) else []
-        if not len(keep):
+        right, right_keys, left, left_keys = side_keys(grams, found, window, k)
+        keep = np.zeros(len(found.row), bool)
+        keep[right[has_bit(bitmap.value, right_keys)]] = True
+        keep[left[has_bit(bitmap.value, left_keys)]] = True
+        if places is not None:
+            doc = part.column(0).to_numpy(zero_copy_only=False)[found.row]
+            keep &= has_bit(places.value, mix(place_key(doc, found.start)))
+        if not keep.any():
             return None
         return emit(part.column(0), units, lengths, Runs(*(x[keep] for x in found)))
 
     return map_slices(docs, run, schema)
 
 
-def digests(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(values), "<i8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def hashed_places(rows: DataFrame) -> DataFrame:
+    """Column key for bits_of from columns doc and start, equal to mix of place_key."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(mix(place_key(b.column(0).to_numpy(), b.column(1).to_numpy())).view(np.int64))], names=["key"])
+
+    return rows.select("doc", "start").mapInArrow(run, "key long")
+
+
+def digest_column(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<i8")

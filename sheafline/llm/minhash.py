@@ -78,8 +78,8 @@ def sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc and text of the documents in ids (column anchor, written), found by a bitmap without a shuffle; some others too."""
-    bitmap = bits_of(ids, docs.sparkSession)
+    """doc and text of the documents in ids (column key, written), found by a bitmap without a shuffle; some others too."""
+    bitmap = bits_of(ids)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     members = full.join(classes.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "pivot")
     buckets = written(members.join(buckets, "key").distinct(), "buckets")
-    texts = texts_of(docs, written(buckets.select(F.col("doc").alias("anchor")).distinct(), "candidate-ids"), id_col, text_col)
+    texts = texts_of(docs, written(buckets.select(F.col("doc").alias("key")).distinct(), "candidate-ids"), id_col, text_col)
     stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(confirmed(stars, texts, shingle, percent), "star-links")
     rest = _rest(buckets, components(links), texts, shingle, percent)

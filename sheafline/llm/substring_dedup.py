@@ -1,16 +1,16 @@
 """Substring dedup by compacting a De Bruijn graph of word k-mers.
 
 The edges of the graph are the windows of `window` words; its nodes are what consecutive windows share. Runs of edges
-with a common anchor are the compacted paths (see anchors.py): all runs of one path carry a 128-bit digest of their words, taken at their source
-coordinates, and grouping by it finds repeated paths and the earliest coordinates of each. Where an anchor belongs to
-one path only, the path does not branch and the run's verdict holds for all its edges. Where several paths share an
-anchor, the graph may branch inside them, and their edges are compared one by one, again by digests of the words. Joins
-carry the earliest coordinates back to all copies, and neighbouring verdicts with continuing sources are
-merged into long repeated spans.
+with a common anchor are the compacted paths (see anchors.py): a run carries its anchor's hash and a 64-bit digest of all
+its words, taken at its source coordinates, and grouping by both finds repeated paths and the earliest coordinates of each; a join
+carries these to all copies. Where an anchor belongs to one path only, the path does not branch and its verdict
+holds for all its edges. Where several paths share an anchor, the graph may branch inside them: the edges of each
+path's first copy are compared one by one, again by digests of their words at the source coordinates. Neighbouring
+verdicts are merged into long repeated spans.
 
 Null and empty texts have no words; texts shorter than a window are kept whole; ties cannot occur, as two windows never
 start at the same place of the same document, and rows with the same id and text count as one document, so none is
-removed for the other; null ids count as one document before all others; an empty table gives an empty result; columns other than the id and
+removed for the other; rows with a null id are kept whole and are no sources; an empty table gives an empty result; columns other than the id and
 the text are not read.
 """
 
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Runs, anchor_rows, bits_of, candidate_runs, digests, repeated_bits
-from .tasks import gram_hashes, map_slices, word_hashes, words_of, written
+from .anchors import Runs, bits_of, candidate_runs, digest_column, hashed_places, repeated_bits, run_keys
+from .tasks import discard, gram_hashes, map_slices, word_hashes, words_of, written
 
 WINDOW = 20
-ANCHOR = 6
+ANCHOR = 7
 
 
 def _tokeniser(k: int):
@@ -39,14 +39,14 @@ def _tokeniser(k: int):
     return tokenise
 
 
-def _digest(words: list[bytes], a: int, b: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()
+def _digest(words: list[bytes], a: int, b: int, size: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[a:b]), digest_size=size).digest()
 
 
 def _paths(window: int):
     def emit(ids: pa.Array, words, lengths, found: Runs) -> pa.RecordBatch:
-        d1, d2 = digests([_digest(words[r], s, s + n + window - 1) for r, s, n in zip(found.row.tolist(), found.start.tolist(), found.n.tolist(), strict=True)])
-        return pa.record_batch([ids.take(pa.array(found.row)), pa.array(found.start.astype(np.int32)), pa.array(found.n.astype(np.int32)), pa.array(found.anchor), pa.array(d1), pa.array(d2)], names=["doc", "start", "n", "anchor", "d1", "d2"])
+        digest = digest_column([_digest(words[r], s, s + n + window - 1, 8) for r, s, n in zip(found.row.tolist(), found.start.tolist(), found.n.tolist(), strict=True)])
+        return pa.record_batch([ids.take(pa.array(found.row)), pa.array(found.start.astype(np.int32)), pa.array(found.n.astype(np.int32)), pa.array(found.anchor), pa.array(digest)], names=["doc", "start", "n", "anchor", "digest"])
 
     return emit
 
@@ -56,31 +56,37 @@ def _edges(window: int):
         row = np.repeat(found.row, found.n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(found.n) - found.n, found.n)
         start = np.repeat(found.start, found.n) + step
-        d1, d2 = digests([_digest(words[r], s, s + window) for r, s in zip(row.tolist(), start.tolist(), strict=True)])
-        return pa.record_batch([ids.take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(d1), pa.array(d2)], names=["doc", "start", "d1", "d2"])
+        digest = digest_column([_digest(words[r], s, s + window, 8) for r, s in zip(row.tolist(), start.tolist(), strict=True)])
+        return pa.record_batch([ids.take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.repeat(found.anchor, found.n)), pa.array(digest)], names=["doc", "start", "anchor", "digest"])
 
     return emit
 
 
-def _later(rows: DataFrame) -> DataFrame:
+def _firsts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
+
+
+def _later(rows: DataFrame, firsts: DataFrame, n) -> DataFrame:
     """The rows that have an equal one before them, with the first one's coordinates."""
-    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.filter("copies > 1").drop("copies")
-    later = rows.join(first, ["d1", "d2"]).filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start"))))
-    return later.select("doc", "start", *([c for c in rows.columns if c == "n"] or [F.lit(1).alias("n")]), F.col("first.doc").alias("source"), F.col("first.start").alias("source_start"))
+    joined = rows.join(firsts.filter("copies > 1").drop("copies"), ["anchor", "digest"])
+    return joined.filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", n.alias("n"), F.col("first.doc").alias("source"), F.col("first.start").alias("source_start"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, start, n, source, source_start: n consecutive windows that also start at the earlier place."""
-    rows = docs.select(id_col, text_col)
-    kind = rows.schema[0].dataType.simpleString()
+    """doc, spans: start, n, source, source_start of n consecutive windows that also start at the earlier place."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter("doc is not null")
     tokenise = _tokeniser(anchor)
-    bitmap = repeated_bits(anchor_rows(rows, tokenise, window, anchor))
-    paths = written(candidate_runs(rows, tokenise, window, anchor, bitmap, _paths(window), f"doc {kind}, start int, n int, anchor long, d1 long, d2 long"), "paths")
-    distinct = paths.select("anchor", "d1", "d2").distinct()
-    branching = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("anchor"), "branching")
-    edges = candidate_runs(rows, tokenise, window, anchor, bits_of(branching, docs.sparkSession), _edges(window), f"doc {kind}, start int, d1 long, d2 long")
-    return _later(paths.drop("anchor")).unionByName(_later(written(edges, "edges")))
+    bitmap = repeated_bits(run_keys(rows, tokenise, window, anchor))
+    paths = written(candidate_runs(rows, tokenise, window, anchor, bitmap, _paths(window), "doc long, start int, n int, anchor long, digest long"), "paths")
+    firsts = written(_firsts(paths), "first-paths")
+    branching = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("anchor")
+    compared = written(hashed_places(firsts.join(branching, "anchor").select("first.doc", "first.start")), "compared-paths")
+    edges = candidate_runs(rows, tokenise, window, anchor, bitmap, _edges(window), "doc long, start int, anchor long, digest long", bits_of(compared))
+    edges = written(edges, "edges")
+    spans = _later(paths, firsts, F.col("n")).unionByName(_later(edges, _firsts(edges), F.lit(1)))
+    out = written(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "source", "source_start")).alias("spans")), "spans")
+    discard(paths, firsts, compared, edges)
+    return out
 
 
 def _union(spans: list[dict], window: int) -> list[list]:
@@ -97,11 +103,10 @@ def _union(spans: list[dict], window: int) -> list[list]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, removed (spans of words with the source of their first window) and kept (text) of each row."""
-    spans = repeated_spans(docs, window, anchor, id_col, text_col)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "source", "source_start")).alias("spans"))
+    by_doc = repeated_spans(docs, window, anchor, id_col, text_col)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    joined = rows.join(by_doc, rows[id_col].eqNullSafe(by_doc["doc"]), "left").select(id_col, "text", "spans")
+    joined = rows.join(by_doc, rows[id_col] == by_doc["doc"], "left").select(id_col, "text", "spans")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, removed, kept = [], [], [], []
@@ -116,10 +121,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             n_removed.append(len(words) - len(left))
             removed.append([{"start": a, "end": b, "source": s, "source_start": t} for a, b, s, t in own])
             kept.append(b" ".join(left).decode())
-        spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", part.column(0).type), ("source_start", pa.int32())]))
+        spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
         return pa.record_batch([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, spans_kind), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "removed", "kept"])
 
-    return map_slices(joined, run, f"`{id_col}` {kind}, n_words long, n_removed long, removed array<struct<start:int,end:int,source:{kind},source_start:int>>, kept string")
+    return map_slices(joined, run, f"`{id_col}` {kind}, n_words long, n_removed long, removed array<struct<start:int,end:int,source:long,source_start:int>>, kept string")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
