@@ -1,7 +1,7 @@
 """Suffix-array dedup with run-length Burrows-Wheeler indexes.
 
-Strings of `window` bytes meet by their anchors (see anchors.py). Runs of windows that are equal as a whole share a
-128-bit digest and need no index. Where different runs share an anchor, their bytes are gathered once each and indexed
+Strings of `window` bytes meet by their anchors (see anchors.py). Runs of windows that are equal as a whole share their
+anchor's hash and a 64-bit digest and need no index. Where different runs share an anchor, their bytes are gathered once each and indexed
 in blocks: a suffix array of the block gives its run-compressed Burrows-Wheeler transform; at the heads of its runs the
 suffix and its match with the suffix before it are sampled, and streaming over the text from one sample to the next
 gives the matching statistics of every position, since inside a run a match only gets one byte shorter. Matches of at
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Runs, anchor_rows, bits_of, candidate_runs, digests, repeated_bits
-from .tasks import MULTIPLIER, map_slices, mix, written
+from .anchors import Runs, bits_of, candidate_runs, digest_column, hashed_places, repeated_bits, run_keys
+from .tasks import MULTIPLIER, discard, map_slices, mix, written
 
 WINDOW = 50
-ANCHOR = 16
+ANCHOR = 17
 #: Different runs of one anchor that are indexed together; an anchor with more is compared string by string.
 INDEXED_RUNS = 64
 BLOCK_BYTES = 1 << 20
@@ -37,18 +37,17 @@ def _tokenise(texts: list[str | None]):
     have = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     for done in (1, 2, 4):  # eight bytes in one integer
         have = have[:-done] | (have[done:] << np.uint64(8 * done)) if len(have) > done else have[:0]
-    grams = mix(mix(have[: -(ANCHOR - 8)] * MULTIPLIER) + have[ANCHOR - 8 :]) if len(have) > ANCHOR - 8 else have[:0]
+    n = len(have) - (ANCHOR - 8)  # three overlapping parts of eight bytes make an anchor
+    grams = mix(mix(have[:n] * MULTIPLIER + have[8 : 8 + n]) * MULTIPLIER + have[ANCHOR - 8 :]) if n > 0 else have[:0]
     return raw, grams, np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _paths(window: int, payload: bool):
+def _runs(window: int, payload: bool):
     def emit(ids: pa.Array, raw, lengths, found: Runs) -> pa.RecordBatch:
-        bytes_ = [raw[r][s : s + n + window - 1] for r, s, n in zip(found.row.tolist(), found.start.tolist(), found.n.tolist(), strict=True)]
-        d1, d2 = digests([hashlib.blake2b(b, digest_size=16).digest() for b in bytes_])
-        doc, anchor = ids.take(pa.array(found.row)), pa.array(found.anchor)
-        if payload:
-            return pa.record_batch([doc, anchor, pa.array(d1), pa.array(d2), pa.array(bytes_, pa.binary())], names=["doc", "anchor", "d1", "d2", "bytes"])
-        return pa.record_batch([doc, anchor, pa.array(d1), pa.array(d2), pa.array(found.start.astype(np.int32)), pa.array(found.n.astype(np.int32))], names=["doc", "anchor", "d1", "d2", "start", "n"])
+        own = [raw[r][s : s + n + window - 1] for r, s, n in zip(found.row.tolist(), found.start.tolist(), found.n.tolist(), strict=True)]
+        digest = digest_column([hashlib.blake2b(b, digest_size=8).digest() for b in own])
+        rest = [pa.array(own, pa.binary())] if payload else [pa.array(found.n.astype(np.int32))]
+        return pa.record_batch([ids.take(pa.array(found.row)), pa.array(found.start.astype(np.int32)), pa.array(found.anchor), pa.array(digest), *rest], names=["doc", "start", "anchor", "digest", "bytes" if payload else "n"])
 
     return emit
 
@@ -134,13 +133,13 @@ RANGES = "array<struct<at:int,n:int>>"
 
 
 def _indexed(pieces: DataFrame, window: int) -> DataFrame:
-    """d1, d2, ranges of late windows, for pieces with columns anchor, d1, d2, doc, bytes."""
+    """anchor, digest, ranges of late windows, for pieces with columns anchor, digest, doc, bytes."""
     kinds = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
     def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         found = late_windows(table.column("bytes").to_pylist(), table.column("doc").to_numpy(), window)
-        return pa.record_batch([table.column("d1").combine_chunks(), table.column("d2").combine_chunks(), pa.array([[{"at": a, "n": n} for a, n in x] for x in found], kinds)], names=["d1", "d2", "ranges"])
+        return pa.record_batch([table.column("anchor").combine_chunks(), table.column("digest").combine_chunks(), pa.array([[{"at": a, "n": n} for a, n in x] for x in found], kinds)], names=["anchor", "digest", "ranges"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -148,7 +147,7 @@ def _indexed(pieces: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             anchor = batch.column(0).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]))
-            weight = np.concatenate(([0], np.cumsum([len(b) for b in batch.column(4).to_pylist()])))
+            weight = np.concatenate(([0], np.cumsum([len(b) for b in batch.column(3).to_pylist()])))
             at = 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if anchor[a] != last and size + weight[a] - weight[at] >= BLOCK_BYTES:
@@ -163,37 +162,39 @@ def _indexed(pieces: DataFrame, window: int) -> DataFrame:
         if held:
             yield block(held)
 
-    dealt = pieces.select("anchor", "d1", "d2", "doc", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, f"d1 long, d2 long, ranges {RANGES}").filter(F.size("ranges") > 0)
+    dealt = pieces.select("anchor", "digest", "doc", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, f"anchor long, digest long, ranges {RANGES}").filter(F.size("ranges") > 0)
 
 
 def _compared(pieces: DataFrame, window: int) -> DataFrame:
     """The same for anchors with very many pieces, string by string."""
-    each = pieces.select("d1", "d2", "doc", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {window - 1}), i -> substring(bytes, i, {window}))")).alias("at", "string"))
+    each = pieces.select("anchor", "digest", "doc", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {window - 1}), i -> substring(bytes, i, {window}))")).alias("at", "string"))
     first = each.groupBy("string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     late = each.join(first, "string").filter("first < doc")
-    return late.groupBy("d1", "d2").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"))).alias("ranges"))
+    return late.groupBy("anchor", "digest").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"))).alias("ranges"))
 
 
 def late_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """doc, spans: windows of doc that also start in a document with a smaller id."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter(F.col("doc").isNotNull())
-    bitmap = repeated_bits(anchor_rows(rows, _tokenise, window, ANCHOR))
-    paths = written(candidate_runs(rows, _tokenise, window, ANCHOR, bitmap, _paths(window, False), "doc long, anchor long, d1 long, d2 long, start int, n int"), "runs")
-    classes = paths.groupBy("anchor", "d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    bitmap = repeated_bits(run_keys(rows, _tokenise, window, ANCHOR))
+    runs = written(candidate_runs(rows, _tokenise, window, ANCHOR, bitmap, _runs(window, False), "doc long, start int, anchor long, digest long, n int"), "runs")
+    classes = runs.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last"))
     classes = written(classes, "classes")
-    anchors = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1")
-    anchors = written(anchors, "shared-anchors")
-    pieces = candidate_runs(rows, _tokenise, window, ANCHOR, bits_of(anchors, spark), _paths(window, True), "doc long, anchor long, d1 long, d2 long, bytes binary")
-    pieces = pieces.groupBy("anchor", "d1", "d2").agg(F.min("doc").alias("doc"), F.first("bytes").alias("bytes"))
-    pieces = written(pieces.join(anchors, "anchor"), "pieces")
-    late = _indexed(pieces.filter(F.col("paths") <= INDEXED_RUNS), window).unionByName(_compared(pieces.filter(F.col("paths") > INDEXED_RUNS), window))
-    verdicts = classes.join(late, ["d1", "d2"], "left").filter("last > first or ranges is not null").select("d1", "d2", "first", "ranges")
+    anchors = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1"), "shared-anchors")
+    firsts = written(classes.join(anchors, "anchor").select("anchor", "digest", "runs", "first.doc", "first.start"), "first-runs")
+    places = written(hashed_places(firsts), "places")
+    pieces = candidate_runs(rows, _tokenise, window, ANCHOR, bitmap, _runs(window, True), "doc long, start int, anchor long, digest long, bytes binary", bits_of(places))
+    pieces = written(pieces.join(firsts, ["anchor", "digest", "doc", "start"]).distinct(), "pieces")
+    late = _indexed(pieces.filter(F.col("runs") <= INDEXED_RUNS), window).unionByName(_compared(pieces.filter(F.col("runs") > INDEXED_RUNS), window))
+    late = written(late, "late-windows")
+    verdicts = classes.join(late, ["anchor", "digest"], "left").filter("last > first.doc or ranges is not null").select("anchor", "digest", F.col("first.doc").alias("first"), "ranges")
     whole = F.array(F.struct(F.col("start").alias("at"), F.col("n")))
     moved = F.expr(f"transform(coalesce(ranges, cast(array() as {RANGES})), r -> struct(start + r.at as at, r.n as n))")
-    found = paths.join(verdicts, ["d1", "d2"]).select("doc", F.when(F.col("doc") > F.col("first"), whole).otherwise(moved).alias("spans")).filter(F.size("spans") > 0)
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = runs.join(verdicts, ["anchor", "digest"]).select("doc", F.when(F.col("doc") > F.col("first"), whole).otherwise(moved).alias("spans")).filter(F.size("spans") > 0)
+    out = written(found.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(runs, classes, anchors, firsts, places, pieces, late)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
