@@ -54,7 +54,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = chunked(docs, id_col, text_col).filter("filled >= 2 and doc is not null").withColumn("hash", F.xxhash64("text"))
     # counted without their text; the first place is found among the repeated ones only
     again = written(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("hash"), "repeated-hashes")
-    copies = written(chunks.select("hash", "doc", "place", "text", "n_lines").join(again, "hash"), "repeated-chunks")
+    # the repeated hashes grow with the table, so the join is planned as it has to run on a large one, whatever their number
+    copies = written(chunks.select("hash", "doc", "place", "text", "n_lines").join(again.hint("merge"), "hash"), "repeated-chunks")
     first = copies.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"))
     firsts = copies.select("hash", F.struct("doc", "place").alias("first"), F.col("text").alias("first_text")).distinct().join(first, ["hash", "first"])
     both = copies.join(firsts, "hash").filter((F.struct("doc", "place") != F.col("first")) & (F.col("text") == F.col("first_text")))
