@@ -118,12 +118,20 @@ def best_class(own: int, right: np.ndarray, left: np.ndarray, counts: np.ndarray
 
 
 def _mover(counts: np.ndarray):
-    def move(group: pd.DataFrame) -> pd.DataFrame:
-        r, c = np.zeros(len(counts)), np.zeros(len(counts))
-        np.add.at(r, group["other"].to_numpy(), group["right"].to_numpy())
-        np.add.at(c, group["other"].to_numpy(), group["left"].to_numpy())
-        own = int(group["own"].iloc[0])
-        return pd.DataFrame({"symbol": [group["symbol"].iloc[0]], "class": [best_class(own, r, c, counts)]})
+    """Best classes for the symbols of a partition that is sorted by symbol; at most two rows for each symbol and class."""
+
+    def move(batches):
+        held = pa.Table.from_batches(found) if (found := list(batches)) else None
+        if held is None or not held.num_rows:
+            return
+        symbol, own, other, right, left = (held.column(c).to_numpy() for c in ("symbol", "own", "other", "right", "left"))
+        cuts = np.concatenate(([0], np.flatnonzero(symbol[1:] != symbol[:-1]) + 1, [len(symbol)]))
+        classes = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            r = np.bincount(other[a:b], right[a:b], len(counts))
+            c = np.bincount(other[a:b], left[a:b], len(counts))
+            classes.append(best_class(int(own[a]), r, c, counts))
+        yield pa.record_batch([pa.array(symbol[cuts[:-1]]), pa.array(np.array(classes, np.int32))], names=["symbol", "class"])
 
     return move
 
@@ -146,7 +154,8 @@ def exchange(pairs: DataFrame, start: np.ndarray, classes: int, rounds: int) ->
         left = joined.groupBy(F.col("s2").alias("symbol"), F.col("c2").alias("own"), F.col("c1").alias("other")).agg(F.sum("n").alias("left")).withColumn("right", F.lit(0).cast("long"))
         around = right.unionByName(left).filter(F.pmod(F.xxhash64("symbol", F.lit(turn // 2)), F.lit(2)) == turn % 2)
 
-        moved = around.groupBy("symbol").applyInPandas(_mover(counts), "symbol int, class int").collect()  # one row a symbol
+        around = around.repartition("symbol").sortWithinPartitions("symbol")
+        moved = around.mapInArrow(_mover(counts), "symbol int, class int").collect()  # one row a symbol
         for r in moved:
             of[r["symbol"]] = r["class"]
 
