@@ -135,16 +135,20 @@ def registry(spark: SparkSession) -> DataFrame:
 
 def signature_of(content: Column) -> Column:
     """struct(mime, category, executable) of the first matching signature of a binary column, or null."""
-    head = F.hex(F.substring(content, 1, 16))
-    out = None
-    for parts, mime, category, executable in SIGNATURES:
-        test = None
-        for at, code in parts:
-            here = F.substring(head, 2 * at + 1, len(code)) == code
-            test = here if test is None else test & here
-        found = F.struct(F.lit(mime).alias("mime"), F.lit(category).alias("category"), F.lit(executable).alias("executable"))
-        out = F.when(test, found) if out is None else out.when(test, found)
-    return out
+
+    def of_head(head: Column) -> Column:
+        out = None
+        for parts, mime, category, executable in SIGNATURES:
+            test = None
+            for at, code in parts:
+                here = head.startswith(code) if at == 0 else F.substring(head, 2 * at + 1, len(code)) == code
+                test = here if test is None else test & here
+            found = F.struct(F.lit(mime).alias("mime"), F.lit(category).alias("category"), F.lit(executable).alias("executable"))
+            out = F.when(test, found) if out is None else out.when(test, found)
+        return out
+
+    # the lambda binds the head once for all tests
+    return F.get(F.transform(F.array(F.hex(F.substring(content, 1, 16))), of_head), 0)
 
 
 def fence_language(name: Column, extension: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,12 +34,15 @@ def normalized(raw: Column, max_depth: int = MAX_DEPTH, max_length: int = MAX_LE
     return F.struct(ok(path).alias("path"), ok(safe_name).alias("name"), ok(extension).alias("extension"), ok(F.size(segments)).alias("depth"), error.alias("error"))
 
 
-@F.pandas_udf("string")
-def compose(paths):
+def compose(path: Column) -> Column:
     """Unicode composed form; Spark has no function for it."""
     import unicodedata
 
-    return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p))
+    @F.pandas_udf("string")
+    def composed(values: pd.Series) -> pd.Series:
+        return values.map(lambda p: None if p is None else unicodedata.normalize("NFC", p))
+
+    return composed(path)
 
 
 def ancestors(path: Column) -> Column:

@@ -58,21 +58,23 @@ def printable_share(text: Column) -> Column:
 
 def sniffed(content: Column) -> Column:
     """struct(is_text, encoding, warned) of a binary sample."""
-    head = F.hex(F.substring(content, 1, 3))
-    bom = head == "EFBBBF"
-    body = F.when(bom, F.substring(content, 4, 2**31 - 5)).otherwise(content)
-    valid = F.is_valid_utf8(body.cast("string"))
-    share = printable_share(F.make_valid_utf8(body.cast("string")))
-    binary = F.locate("00", F.hex(body)) % 2 == 1  # a zero byte anywhere, checked below where halves of two bytes meet
-    has_zero = F.when(F.locate("00", F.hex(body)) == 0, False).when(binary, True).otherwise(F.hex(body).rlike("^(?:[0-9A-F]{2})*?00"))
     of = lambda t, e, w: F.struct(F.lit(t).alias("is_text"), e.cast("string").alias("encoding"), F.lit(w).alias("warned"))
-    utf8 = F.when(bom, "utf-8-bom").otherwise("utf-8")
-    return (
-        F.when(F.octet_length(content) == 0, of(True, F.lit("utf-8"), False))
-        .when(F.substring(head, 1, 4) == "FFFE", of(True, F.lit("utf-16le"), False))
-        .when(F.substring(head, 1, 4) == "FEFF", of(True, F.lit("utf-16be"), False))
-        .when(has_zero, of(False, F.lit(None), False))
-        .when(valid & (share >= 0.85), of(True, utf8, False))
-        .when(~valid & (share >= 0.9), of(True, utf8, True))
-        .otherwise(of(False, F.lit(None), False))
-    )
+    null = F.lit(None)
+
+    def of_parts(x: Column) -> Column:
+        utf8 = F.when(x["head"] == "EFBBBF", "utf-8-bom").otherwise("utf-8")
+        return (
+            F.when(x["head"] == "", of(True, F.lit("utf-8"), False))
+            .when(x["head"].startswith("FFFE"), of(True, F.lit("utf-16le"), False))
+            .when(x["head"].startswith("FEFF"), of(True, F.lit("utf-16be"), False))
+            .when(x["body"].contains("\0"), of(False, null, False))
+            .when(x["valid"] & (x["share"] >= 0.85), of(True, utf8, False))
+            .when(~x["valid"] & (x["share"] >= 0.9), of(True, utf8, True))
+            .otherwise(of(False, null, False))
+        )
+
+    # lambdas bind what several tests use: first the bytes behind a mark, then what is known of them
+    head = F.hex(F.substring(content, 1, 3))
+    body = F.when(head == "EFBBBF", F.substring(content, 4, 2**31 - 5)).otherwise(content).cast("string")
+    known = lambda b: F.struct(head.alias("head"), F.make_valid_utf8(b).alias("body"), F.is_valid_utf8(b).alias("valid"), printable_share(F.make_valid_utf8(b)).alias("share"))
+    return F.get(F.transform(F.transform(F.array(body), known), of_parts), 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import formats, paths, text
 from .operators import importing, manifest, packing, preflight, security, selection, spreadsheet, tree
 from .plans import bundle
+from .sources import archives
 from .sources import files as sources
 
 GLOBS = ["conversations/**/*_system.*", "pages/page_1?.*", "documents/src1/**"]
@@ -259,6 +260,44 @@ def q_sections(spark, sf):
     return bundle.sections(rows).select("ordinal", "byte_length", F.sha2("content", 256).alias("sha256"))
 
 
+def q_html_active_counts(spark, sf):
+    return archives.active_counts(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def q_html_text(spark, sf):
+    return archives.html_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def q_validate_inclusion(spark, sf):
+    recs = manifest.file_records(_selected(spark, sf).filter("size <= 16384"))
+    broken = recs.withColumn("included", F.when(F.col("seq") % 50 == 0, ~F.col("included")).otherwise(F.col("included")))
+    return manifest.inconsistent(broken)
+
+
+def q_validate_unique(spark, sf):
+    return manifest.repeated_values(_files(spark, sf).filter("error is null"), "path")
+
+
+def q_file_security(spark, sf):
+    return security.file_rollup(_password_spans(spark, sf)).select("seq", "high", "medium", F.array_join("categories", ",").alias("categories"))
+
+
+def q_sensitive_names(spark, sf):
+    rows = _files(spark, sf).filter("error is null")
+    return rows.select("bundle_id", "seq", security.sensitive_name(F.col("path")).alias("sensitive")).filter("sensitive")
+
+
+def q_cap_and_count(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return spreadsheet.capped(li, "l_suppkey", "l_orderkey", 500)
+
+
+def q_interval_overlap(spark, sf):
+    rows = _password_spans(spark, sf).select("seq", "start", "end")
+    a, b = (rows.select("seq", *[F.col(c).alias(f"{c}_{x}") for c in ("start", "end")]) for x in "ab")
+    return a.join(b, "seq").filter("start_a < start_b and start_b < end_a + 2000").select("seq", "start_a", "start_b")
+
+
 _EXT = "[" + ", ".join(f"'{e}'" for e in sources.EXTENSIONS) + "]"
 _chr = lambda s: "||".join(f"chr({ord(c)})" for c in s)
 _HEAD = "CASE seq % 41 " + " ".join(f"WHEN {i} THEN {_chr(h)}" for i, h in enumerate(sources.HEADS)) + " ELSE '' END"
@@ -430,5 +469,12 @@ SELECT bundle_id, path, pages, kept_pages, CAST(2 + ceil(count(*) OVER (PARTITIO
     "grid_pages": "SELECT c_custkey AS sheet, CAST(d * 24 + 1 AS BIGINT) AS first_row, CAST(a * 12 + 1 AS BIGINT) AS first_column, least(c_custkey % 31 - a * 12, 12) > 7 AS landscape FROM customer, unnest(range(greatest(1, CAST(ceil((c_custkey % 130) / 24) AS BIGINT)))) AS u(d), unnest(range(greatest(1, CAST(ceil((c_custkey % 31) / 12) AS BIGINT)))) AS v(a)",
     "densify_grid": "WITH c AS (SELECT l_suppkey AS sheet, l_linenumber AS r, l_orderkey % 5 + 1 AS k, min(l_partkey) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL) SELECT s.sheet, CAST(rr AS INTEGER) AS \"row\", CAST(kk AS INTEGER) AS col, v AS value FROM (SELECT DISTINCT sheet FROM c) s CROSS JOIN unnest(range(1, 5)) AS a(rr) CROSS JOIN unnest(range(1, 7)) AS b(kk) LEFT JOIN c ON c.sheet = s.sheet AND c.r = rr AND c.k = kk",
     "image_resize_plan": "WITH i AS (SELECT p_partkey, p_partkey * 7919 % 9000 + 1 AS w0, p_partkey * 104729 % 7000 + 1 AS h0, p_partkey % 8 + 1 AS o FROM part), j AS (SELECT p_partkey, CASE WHEN o >= 5 THEN h0 ELSE w0 END AS w, CASE WHEN o >= 5 THEN w0 ELSE h0 END AS h FROM i), k AS (SELECT *, least(1.0::DOUBLE, sqrt(4000000.0::DOUBLE / (w * h)), 2400.0::DOUBLE / greatest(w, h)) AS s FROM j) SELECT p_partkey, greatest(1, CAST(floor(w * s + 0.5) AS BIGINT)) AS target_width, greatest(1, CAST(floor(h * s + 0.5) AS BIGINT)) AS target_height FROM k",
+    "html_active_counts": "SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) AS scripts, len(regexp_extract_all(html, '(?i)<style')) AS styles, len(regexp_extract_all(html, '(?i)<iframe')) AS frames, len(regexp_extract_all(html, '(?i)[ ]on[a-z]+=')) AS events FROM pages",
+    "validate_inclusion": _sql(SELECTED, ", r AS (SELECT bundle_id, seq, level, CASE WHEN seq % 50 = 0 THEN reason <> 'selected' ELSE reason = 'selected' END AS included, reason FROM sel) SELECT bundle_id, seq, 'inclusion-consistency' AS code FROM r WHERE included <> (reason = 'selected') UNION ALL SELECT bundle_id, seq, 'blocked-included' FROM r WHERE level = 'E' AND included"),
+    "validate_unique": _sql(FILES, "SELECT bundle_id, path, count(*) AS n FROM valid GROUP BY bundle_id, path HAVING count(*) > 1"),
+    "file_security": _sql(PASSWORDS, "SELECT seq, count(*) AS high, CAST(0 AS BIGINT) AS medium, 'password-assignment' AS categories FROM spans GROUP BY seq"),
+    "sensitive_names": _sql(FILES, "SELECT bundle_id, seq, TRUE AS sensitive FROM valid WHERE " + " OR ".join("regexp_matches(path, '" + p.replace("\\A", "^").replace("\\z", "$") + "')" for p in security.SENSITIVE_FILES)),
+    "cap_and_count": "SELECT l_suppkey, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS omitted FROM lineitem GROUP BY l_suppkey",
+    "interval_overlap": _sql(PASSWORDS, "SELECT a.seq, a.\"start\" AS start_a, b.\"start\" AS start_b FROM spans a JOIN spans b ON a.seq = b.seq AND a.\"start\" < b.\"start\" AND b.\"start\" < a.\"start\" + a.n + 2000"),
     "sections": _sql(BODIES, ", c AS (SELECT seq, '## '||path||chr(10)||chr(10)||'```markdown'||chr(10)||body||chr(10)||'```' AS s FROM bodies) SELECT seq AS ordinal, octet_length(encode(s)) AS byte_length, sha256(s) AS sha256 FROM c"),
 }
