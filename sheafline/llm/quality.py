@@ -145,3 +145,23 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     led = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     failed = ~passes("base")
     return led.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & passes("v1")).alias("kept"), "fail_bits")
+
+
+_FAILS = {r.name: r.fails for r in RULES}
+OP10_SQL = (
+    r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 7), ' ')) AS n FROM t, unnest(range(1, len(w) - 6)) AS u(i)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, unnest(range(0, 8)) AS v(j) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(s, chr(10)), lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')) AS lines FROM t),
+m AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(s, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM t JOIN l ON t.doc_id = l.doc_id LEFT JOIN r ON t.doc_id = r.doc_id)
+SELECT *, """
+    + " OR ".join(_FAILS[n] for n in POLICIES["base"])
+    + " AS base_failed, NOT ("
+    + " OR ".join(_FAILS[n] for n in POLICIES["v1"])
+    + ") AS kept, CAST("
+    + " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    + " AS BIGINT) AS fail_bits FROM m\n"
+)

@@ -14,4 +14,12 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op7_line_dedup": line_dedup.OP7_SQL, "op1_substring_dedup": substring_dedup.OP1_SQL, "op2_warc": warc.OP2_SQL}
+SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
+    "op3_minhash": minhash.OP3_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_quality": quality.OP10_SQL,
+}

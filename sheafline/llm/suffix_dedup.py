@@ -231,3 +231,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM t, unnest(range(0, n - 49)) AS u(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE first < doc_id),
+bytes AS (SELECT t.doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM t, unnest(range(0, n)) AS u(p)),
+gone AS (SELECT bytes.doc_id, p, b, max(late.i) OVER (PARTITION BY bytes.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS cut FROM bytes LEFT JOIN late ON bytes.doc_id = late.doc_id AND bytes.p = late.i),
+edges AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS starts FROM gone),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (WHERE NOT cut) AS kept FROM edges GROUP BY doc_id)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN sums ON t.doc_id = sums.doc_id
+"""
