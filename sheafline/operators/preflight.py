@@ -50,9 +50,17 @@ def looked_up(files: DataFrame) -> DataFrame:
 def classified(files: DataFrame) -> DataFrame:
     """files (path, name, extension, content, mime_declared) with mime, category, level, adapter, method, is_text, encoding, warned and four flags."""
     sample = F.substring("content", 1, SAMPLE_BYTES)
-    rows = looked_up(files).withColumn("__s", formats.signature_of(sample)).withColumn("__t", text.sniffed(sample))
-    reg, sig, txt = F.col("registered"), F.col("__s"), F.col("__t")
-    declared = F.coalesce(F.lower(F.trim("mime_declared")), F.lit(""))
+    known = F.struct(
+        F.col("registered").alias("reg"), formats.signature_of(sample).alias("sig"), text.sniffed(sample).alias("txt"),
+        F.coalesce(F.lower(F.trim("mime_declared")), F.lit("")).alias("declared"), F.col("extension").alias("extension"))
+    # the lambda binds what is known once; else each field of the result would repeat it all in the plan
+    found = F.get(F.transform(F.array(known), _decided), 0)
+    return looked_up(files).withColumn("__c", found).select(*files.columns, "__c.*")
+
+
+def _decided(known: Column) -> Column:
+    """The cascade: signatures, containers, extensions, text, declared types."""
+    reg, sig, txt, declared, extension = (known[k] for k in ("reg", "sig", "txt", "declared", "extension"))
     off = {k: F.lit(False) for k in ("macro", "active", "executable", "nested")}
 
     def result(mime, category, level, adapter, method, is_text=F.lit(False), encoding=None, warned=F.lit(False), flags=off) -> Column:
@@ -65,9 +73,9 @@ def classified(files: DataFrame) -> DataFrame:
     registered = lambda method, *a: result(reg["mime"], reg["category"], reg["level"], reg["adapter"], method, *a, flags=own)
     unknown = lambda method="unknown": result("application/octet-stream", "binary", "D", "inventory", method)
     image = sig["category"] == "image"
-    contained = ((sig["mime"] == "application/zip") & F.col("extension").isin(*formats.ZIP_CONTAINERS)) | ((sig["mime"] == "application/x-ole-storage") & F.col("extension").isin(*formats.OLE_CONTAINERS))
+    contained = ((sig["mime"] == "application/zip") & extension.isin(*formats.ZIP_CONTAINERS)) | ((sig["mime"] == "application/x-ole-storage") & extension.isin(*formats.OLE_CONTAINERS))
     code = F.when(declared.contains("javascript") | declared.contains("css"), "code").otherwise("text")
-    found = (
+    return (
         F.when(sig["executable"], result(sig["mime"], sig["category"], "E", "blocked", "signature", flags=off | {"executable": F.lit(True)}))
         .when(contained, registered("container-extension"))
         .when(sig.isNotNull() & F.coalesce(reg["mime"] == sig["mime"], F.lit(False)), result(sig["mime"], sig["category"], reg["level"], reg["adapter"], "signature", flags=own))
@@ -79,7 +87,6 @@ def classified(files: DataFrame) -> DataFrame:
         .when(declared.startswith("image/"), result(declared, "image", "C", "image", "declared"))
         .otherwise(unknown())
     )
-    return rows.withColumn("__c", found).select(*[c for c in files.columns], "__c.*")
 
 
 def mime_mismatch() -> Column:
