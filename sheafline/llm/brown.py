@@ -33,6 +33,8 @@ from .tasks import map_slices, slices, word_hashes, written
 HEAD, GROUPS, CLASSES, ROUNDS = 32_768, 1024, 96, 6
 END = b"\n"  # no word holds a line end
 PRIOR = 0.1
+#: Rows and bytes of text that are counted together before the shuffle.
+LARGE = (2048, 4 << 20)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SUFFIX = 3
 
@@ -80,7 +82,7 @@ def unigrams(rows: DataFrame) -> DataFrame:
         groups = [_GROUPS[tokens[i]] for i in first.tolist()]
         return pa.record_batch([pa.array(hashes), pa.array(groups, pa.int64()), pa.array(counts, pa.int64())], names=["word", "group", "n"])
 
-    return map_slices(rows, run, "word long, group long, n long").groupBy("word", "group").agg(F.sum("n").alias("n"))
+    return map_slices(rows, run, "word long, group long, n long", *LARGE).groupBy("word", "group").agg(F.sum("n").alias("n"))
 
 
 def bigrams(rows: DataFrame, heads, groups: int) -> DataFrame:
@@ -94,7 +96,7 @@ def bigrams(rows: DataFrame, heads, groups: int) -> DataFrame:
         pairs, counts = np.unique(symbols[:-1] << 32 | symbols[1:], return_counts=True)
         return pa.record_batch([pa.array(pairs), pa.array(counts, pa.int64())], names=["pair", "n"])
 
-    found = map_slices(rows, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = map_slices(rows, run, "pair long, n long", *LARGE).groupBy("pair").agg(F.sum("n").alias("n"))
     return found.select(F.shiftright("pair", 32).cast("int").alias("s1"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("s2"), "n")
 
 
@@ -189,11 +191,22 @@ class Model:
         return len(tokens), int(head.sum()), base, score, *np.unique(hashes[~head], return_counts=True)
 
 
+def _most_frequent(words: DataFrame, head: int) -> DataFrame:
+    """The `head` most frequent words. Only counts near enough to the top, by a histogram of their logarithms, are sorted."""
+    size = F.floor(F.log2("n") * 32)
+    left, least = head, 0
+    for r in words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # at most 32 rows for each bit of a count
+        least, left = r["size"], left - r["count"]
+        if left <= 0:
+            break
+    return words.filter(size >= least).orderBy(F.desc("n"), "word").limit(head)
+
+
 def train(rows: DataFrame, head: int = HEAD, groups: int = GROUPS, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the table of the counts of all words, from the texts in the second column of rows."""
     sc = rows.sparkSession.sparkContext
     words = written(unigrams(rows), "unigrams")
-    top = words.orderBy(F.desc("n"), "word").limit(head).collect()  # bounded: a parameter of the model
+    top = _most_frequent(words, head).collect()  # bounded: a parameter of the model
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
     by_hash = sorted((r["word"], r["n"]) for r in top)
     heads, head_counts = np.array([w for w, _ in by_hash], np.int64), np.array([n for _, n in by_hash], np.int64)

@@ -6,9 +6,11 @@ similar sets meet: sets of similarity 0.85 miss each other in all 24 bands once
 300,000. Documents with equal sets are one class; only one of each class goes into buckets.
 
 No bucket is expanded into all its pairs. First each member is compared with its bucket's first member; links are
-confirmed on full sets and joined into components. What then still shares a bucket across components is compared only
-where an exact bound allows a link: shingles that no other remaining document has cannot be shared, so n - u of a
-set's n shingles at most are, which settles large groups of loosely similar copies without comparing them.
+confirmed on full sets and joined into components. What then still shares a first member across components is compared
+only where an exact bound allows a link: two sets share at most what the lesser of them shares with the first member,
+and shingles outside the first member that both have. If a set needs q of the latter for any link, it must have one in
+common besides its q - 1 most frequent ones. So these are left out and the others joined, and large groups of
+loosely similar copies are settled without comparing all their pairs.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing; texts of fewer words than a
 shingle are one shingle; ties go to the smallest id; rows with equal ids count as one document; rows with a null id are
@@ -22,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import bits_of, has_bit
@@ -89,22 +91,32 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     return written(map_slices(rows, run, "doc long, text string"), "candidates")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("b", "text_b", "a", "text_a")
+    return left.join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("b", "text_b", "a", "text_a")
+
+
+def _each_pair(part: pa.RecordBatch, shingle: int):
+    """a, b and their full sets; the set of b is kept while b stays the same."""
+    last, own = None, None
+    for b, text_b, a, text_a in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        if own is None or b != last:
+            last, own = b, shingle_set(text_b, shingle)
+        yield a, b, shingle_set(text_a, shingle), own
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs a, b with the sizes of their full sets and of what these share."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        keep, last, own = [], None, None
-        for b, text_b, text_a in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
-            if own is None or b != last:
-                last, own = b, shingle_set(text_b, shingle)
-            other = shingle_set(text_a, shingle)
-            shared = len(np.intersect1d(own, other, assume_unique=True))
-            keep.append(bool(100 * shared >= percent * (len(own) + len(other) - shared)))
-        return part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        rows = [(a, b, len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for a, b, x, y in _each_pair(part, shingle)]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "n_a", "n_b", "shared"])
+
+    return map_slices(_with_texts(pairs, texts), run, "a long, b long, n_a long, n_b long, shared long")
+
 
-    return map_slices(both, run, "a long, b long")
+def similar(percent: int, shared: str = "shared") -> str:
+    return f"100 * ({shared}) >= {percent} * (n_a + n_b - ({shared}))"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -132,9 +144,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     buckets = written(members.join(buckets, "key").distinct(), "buckets")
     texts = texts_of(docs, written(buckets.select(F.col("doc").alias("key")).distinct(), "candidate-ids"), id_col, text_col)
     stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(confirmed(stars, texts, shingle, percent), "star-links")
-    rest = _rest(buckets, components(links), texts, shingle, percent)
-    more = written(confirmed(rest, texts, shingle, percent), "more-links")
+    stars = written(compared(stars, texts, shingle), "stars")
+    links = stars.filter(similar(percent)).select("a", "b")
+    rest = _rest(stars, components(links), texts, shingle, percent)
+    more = written(compared(rest, texts, shingle).filter(similar(percent)).select("a", "b"), "more-links")
     found = components(links.unionByName(more))
     own = every.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     out = own.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
@@ -142,29 +155,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce(linked, F.col("doc"))).alias("component"))
 
 
-def _rest(buckets: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs a, b of different components in one bucket that the bound on shared shingles does not rule out."""
-    labelled = buckets.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    left = written(labelled.join(mixed, "key"), "mixed-buckets")
-
-    def shingles(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-        doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], names=["doc", "shingle"])
-
-    each = map_slices(texts.join(left.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), shingles, "doc long, shingle long")
-    alone = each.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last")
-    alone = written(alone.groupBy("doc").agg(F.count(F.lit(1)).alias("alone")), "own-shingles")
-    left = left.join(alone, "doc", "left").select("key", "doc", "n", "component", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    smallest = left.groupBy("key").agg(F.min("n").alias("least"))
-    left = left.join(smallest, "key").filter(f"100 * most >= {percent} * (n + greatest(least, most) - most)").drop("least")
-    mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    left = written(left.join(mixed, "key"), "open-buckets")
-    a, b = (left.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "component", "most")]) for x in "ab")
-    bound = f"doc_a > doc_b and component_a <> component_b and 100 * least(most_a, most_b) >= {percent} * (n_a + n_b - least(most_a, most_b))"
-    pairs = a.join(b, [a["key"] == b["key"], F.expr(bound)])
-    return pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs a, b of different components and one first member (pivot) that may be linked, by the bound on what they can share."""
+    rows = stars.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), F.col("n_a").alias("n"), "shared")
+    rows = rows.join(found, "doc", "left").select("pivot", "doc", "n", "shared", F.coalesce("component", "doc").alias("component"))
+    mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("pivot")
+    rows = written(rows.join(mixed, "pivot"), "mixed-groups")
+
+    def outside(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = [(a, b, np.setdiff1d(x, y, assume_unique=True)) for a, b, x, y in _each_pair(part, shingle)]
+        sizes = [len(x) for _, _, x in own]
+        doc, pivot = (np.repeat(np.array([o[i] for o in own], np.int64), sizes) for i in (0, 1))
+        return pa.record_batch([pa.array(pivot), pa.array(doc), pa.array(np.concatenate([x for _, _, x in own]).view(np.int64))], names=["pivot", "doc", "shingle"])
+
+    pairs = rows.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    residue = map_slices(_with_texts(pairs, texts), outside, "pivot long, doc long, shingle long")
+    residue = written(residue, "residue")
+    common = residue.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    smallest = rows.groupBy("pivot").agg(F.min("n").alias("least"))
+    least = f"greatest(least, ceil({percent} * n / 100))"  # size of the smallest set that a link can have
+    needed = F.expr(f"cast(greatest(1, ceil({percent} * (n + {least}) / {100 + percent}) - shared) as int)").alias("needed")
+    named = rows.join(smallest, "pivot").select("pivot", "doc", "component", needed)
+    frequent = Window.partitionBy("pivot", "doc").orderBy(F.desc("df"), F.desc("shingle"))
+    named = residue.join(common, ["pivot", "shingle"]).join(named, ["pivot", "doc"]).withColumn("at", F.row_number().over(frequent)).filter("at >= needed")
+    named = written(named.select("pivot", "shingle", "doc", "component"), "needed-residue")
+    sides = [rows.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "shared", "component")]) for x in "ab"]
+    apart = F.expr("doc_a > doc_b and component_a <> component_b")
+    inside = "least(shared_a, shared_b)"  # of the pivot's shingles
+    near = sides[0].join(sides[1], [sides[0]["pivot"] == sides[1]["pivot"], apart, F.expr(similar(percent, inside))]).select("doc_a", "doc_b")
+    ends = [named.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "component")]) for x in "ab"]
+    more = ends[0].join(ends[1], [ends[0]["pivot"] == ends[1]["pivot"], ends[0]["shingle"] == ends[1]["shingle"], apart]).select("doc_a", "doc_b")
+    return near.unionByName(more).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

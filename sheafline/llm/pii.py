@@ -20,6 +20,7 @@ from .tasks import written
 _IN, _OUT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа"
+_KEY = r"""(?i:password|passwd|token|secret|api_?key)["']? {0,3}[=:] {0,3}["']?"""
 #: Patterns by type, the first that matches a place counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _OUT,
@@ -29,7 +30,7 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}_.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})" + _OUT,
     "iban": _IN + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)" + _OUT,
     "cloud_key": _IN + r"AKIA[0-9A-Z]{16}" + _OUT,
-    "secret": r"""(?<=(?i:password|passwd|token|secret|api_key|apikey)["']{0,1} {0,3}[=:] {0,3}["']{0,1})[A-Za-z0-9_+/.=-]{6,256}""",
+    "secret": _KEY + r"[A-Za-z0-9_+/.=-]{6,256}",
     "person": _IN + rf"(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}" + _OUT,
 }
 MASTER = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -70,7 +71,9 @@ def parts(text: Column) -> Column:
         given = F.when(F.get(words, 0).rlike(rf"^(?:{FEMALE})\.?$"), F.lit("given_f")).otherwise(F.lit("given_m"))
         named = F.flatten(F.transform(words, lambda w, i: F.array(piece(keep, F.when(i == 0, "").otherwise(" ")), piece(F.when(i == 0, keep).when(i == F.size(words) - 1, F.lit("surname")).otherwise(given), w))))
         kind = type_of(m)
-        return F.when(kind == "person", named).otherwise(F.array(piece(kind, m)))
+        key = F.regexp_extract(m, f"^{_KEY}", 0)
+        assigned = F.array(piece(keep, key), piece(F.lit("secret"), F.substr(m, F.length(key) + 1)))
+        return F.when(kind == "person", named).when(kind == "secret", assigned).otherwise(F.array(piece(kind, m)))
 
     found = F.regexp_extract_all(text, F.lit(MASTER), F.lit(0))
     between = F.split(text, MASTER, -1)

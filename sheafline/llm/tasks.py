@@ -28,11 +28,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             at = to
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
     """Apply fn to small slices of each Arrow batch, the second column being the text; a narrow operation."""
 
     def run(batches):
-        for part in slices(batches, rows):
+        for part in slices(batches, rows, size):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
