@@ -23,7 +23,7 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Mad
 _KEY = r"""(?i:password|passwd|token|secret|api_?key)["']? {0,3}[=:] {0,3}["']?"""
 #: Patterns by type, the first that matches a place counts.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _OUT,
+    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _OUT,
     "ip": r"(?<![\p{L}\p{N}_.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![\p{L}\p{N}_])(?!\.\d)",
     "ssn": _IN + r"\d{3}-\d{2}-\d{4}" + r"(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})" + r"(?![\p{L}\p{N}_])",
@@ -33,7 +33,9 @@ PATTERNS = {
     "secret": _KEY + r"[A-Za-z0-9_+/.=-]{6,256}",
     "person": _IN + rf"(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}" + _OUT,
 }
-MASTER = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# All types but secrets begin after no letter, digit or underscore: tested once a place, so that most places fail at once.
+_BEGIN = _IN + "(?=[A-Za-z0-9._%+(" + "".join(sorted({x[0] for x in f"{MALE}|{FEMALE}".split("|")} - set("FHMS"))) + "-])"
+MASTER = f"{_BEGIN}(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "secret") + f")|(?=[PpTtSsAa]){PATTERNS['secret']}"
 
 #: Syllables of invented names, by script.
 STEMS = {
@@ -61,23 +63,31 @@ def type_of(match: Column) -> Column:
     return out.otherwise(F.lit("secret"))
 
 
-def parts(text: Column) -> Column:
-    """The text as an array of (kind, value): kind is null for what stays."""
-    piece = lambda kind, s: F.struct(kind.cast("string").alias("kind"), s.alias("value"))
+def _piece(kind: Column, value: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+
+def _of_match(m: Column) -> Column:
+    """A match as an array of (kind, value)."""
     keep = F.lit(None)
+    words = F.split(m, " ")
+    given = F.when(F.get(words, 0).rlike(rf"^(?:{FEMALE})\.?$"), F.lit("given_f")).otherwise(F.lit("given_m"))
+    named = F.flatten(F.transform(words, lambda w, i: F.array(_piece(keep, F.when(i == 0, "").otherwise(" ")), _piece(F.when(i == 0, keep).when(i == F.size(words) - 1, F.lit("surname")).otherwise(given), w))))
+    kind = type_of(m)
+    key = F.regexp_extract(m, f"^{_KEY}", 0)
+    assigned = F.array(_piece(keep, key), _piece(F.lit("secret"), F.substr(m, F.length(key) + 1)))
+    return F.when(kind == "person", named).when(kind == "secret", assigned).otherwise(F.array(_piece(kind, m)))
 
-    def of_match(m: Column) -> Column:
-        words = F.split(m, " ")
-        given = F.when(F.get(words, 0).rlike(rf"^(?:{FEMALE})\.?$"), F.lit("given_f")).otherwise(F.lit("given_m"))
-        named = F.flatten(F.transform(words, lambda w, i: F.array(piece(keep, F.when(i == 0, "").otherwise(" ")), piece(F.when(i == 0, keep).when(i == F.size(words) - 1, F.lit("surname")).otherwise(given), w))))
-        kind = type_of(m)
-        key = F.regexp_extract(m, f"^{_KEY}", 0)
-        assigned = F.array(piece(keep, key), piece(F.lit("secret"), F.substr(m, F.length(key) + 1)))
-        return F.when(kind == "person", named).when(kind == "secret", assigned).otherwise(F.array(piece(kind, m)))
 
-    found = F.regexp_extract_all(text, F.lit(MASTER), F.lit(0))
+def _found(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(MASTER), F.lit(0))
+
+
+def parts(text: Column) -> Column:
+    """The text as an array of (kind, value): kind is null for what stays."""
+    found = _found(text)
     between = F.split(text, MASTER, -1)
-    return F.flatten(F.transform(between, lambda b, i: F.concat(F.array(piece(keep, b)), F.when(i < F.size(found), of_match(F.get(found, i))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)")))))
+    return F.flatten(F.transform(between, lambda b, i: F.concat(F.array(_piece(F.lit(None), b)), F.when(i < F.size(found), _of_match(F.get(found, i))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)")))))
 
 
 def _draws(key: str, length: Column) -> Column:
@@ -178,8 +188,9 @@ def surrogates(entities: DataFrame, key: str, most_draws: int = 64) -> DataFrame
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text, and n_entities: the number of replaced values."""
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(F.col("__text").rlike(MASTER))
-    every = rows.select("__doc", F.explode(F.array_distinct(F.filter(parts(F.col("__text")), lambda p: p["kind"].isNotNull()))).alias("p"))
+    rows = docs.select(F.col(id_col).alias("__doc"), _found(F.col(text_col)).alias("__found"))
+    values = F.filter(F.flatten(F.transform("__found", _of_match)), lambda p: p["kind"].isNotNull())
+    every = rows.select("__doc", F.explode(F.array_distinct(values)).alias("p"))
     every = written(every.select("__doc", "p.kind", "p.value"), "occurrences")
     table = surrogates(every, key)
     entry = F.struct(F.concat_ws("\x01", "kind", "value").alias("k"), F.col("surrogate").alias("v"))
