@@ -79,40 +79,40 @@ def q_signature_detect(spark, sf):
 
 def q_text_sniff(spark, sf):
     s = text.sniffed(F.substring("content", 1, preflight.SAMPLE_BYTES))
-    return _good(spark, sf).filter("size <= 16384").select("bundle_id", "seq", s["is_text"].alias("is_text"), s["encoding"].alias("encoding"))
+    return _good(spark, sf).select("bundle_id", "seq", s["is_text"].alias("is_text"), s["encoding"].alias("encoding"))
 
 
 def q_classify_files(spark, sf):
-    return preflight.classified(_good(spark, sf).filter("size <= 16384")).select("bundle_id", "seq", "mime", "category", "level", "adapter", "method", "is_text")
+    return preflight.classified(_good(spark, sf)).select("bundle_id", "seq", "mime", "category", "level", "adapter", "method", "is_text")
 
 
 def q_risk_assess(spark, sf):
-    rows = _records(spark, sf).filter("size <= 16384")
+    rows = _records(spark, sf)
     return rows.select("bundle_id", "seq", F.array_join(F.transform("risks", lambda r: F.concat(r["code"], F.lit(":"), r["level"])), ",").alias("risks"), "risk_level")
 
 
 def q_size_estimate(spark, sf):
-    return _records(spark, sf).filter("size <= 16384").select("bundle_id", "seq", "md_min", "md_max", "pdf_min", "pdf_max", "mf_min", "mf_max")
+    return _records(spark, sf).select("bundle_id", "seq", "md_min", "md_max", "pdf_min", "pdf_max", "mf_min", "mf_max")
 
 
 def q_preflight_totals(spark, sf):
-    return preflight.totals(_records(spark, sf).filter("size <= 16384"))
+    return preflight.totals(_records(spark, sf))
 
 
 def q_output_mode(spark, sf):
-    return preflight.output_mode(preflight.totals(_records(spark, sf).filter("size <= 16384")))
+    return preflight.output_mode(preflight.totals(_records(spark, sf)))
 
 
 def q_inclusion(spark, sf):
-    return _selected(spark, sf).filter("size <= 16384").select("bundle_id", "seq", "included", "reason", "matched_glob")
+    return _selected(spark, sf).select("bundle_id", "seq", "included", "reason", "matched_glob")
 
 
 def q_view_filter(spark, sf):
-    return selection.view(_selected(spark, sf).filter("size <= 16384"), "SRC", "A", "all", True).select("bundle_id", "seq", "path")
+    return selection.view(_selected(spark, sf), "SRC", "A", "all", True).select("bundle_id", "seq", "path")
 
 
 def q_manifest_summary(spark, sf):
-    return manifest.summary(_selected(spark, sf).filter("size <= 16384"))
+    return manifest.summary(_selected(spark, sf))
 
 
 def q_tree_nodes(spark, sf):
@@ -269,7 +269,7 @@ def q_html_text(spark, sf):
 
 
 def q_validate_inclusion(spark, sf):
-    recs = manifest.file_records(_selected(spark, sf).filter("size <= 16384"))
+    recs = manifest.file_records(_selected(spark, sf))
     broken = recs.withColumn("included", F.when(F.col("seq") % 50 == 0, ~F.col("included")).otherwise(F.col("included")))
     return manifest.inconsistent(broken)
 
