@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
@@ -32,15 +33,17 @@ SENSITIVE_FILES = (
 
 @dataclass(frozen=True)
 class ScanPolicy:
-    max_findings: int = 100
-    max_characters: int = 2_000_000
+    """Limits of a scan; no number of findings or of characters where these are None."""
+
+    max_findings: int | None = 100
+    max_characters: int | None = 2_000_000
     high_entropy: bool = True
     min_length: int = 24
     max_length: int = 512
     threshold: float = 4.2
 
     def __post_init__(self):
-        if not (0 < self.max_findings and 0 < self.max_characters and 0 < self.min_length <= self.max_length and self.threshold > 0):
+        if not (all(x is None or 0 < x for x in (self.max_findings, self.max_characters)) and 0 < self.min_length <= self.max_length and self.threshold > 0):
             raise ValueError("limits must be positive, and the least length no more than the greatest")
 
 
@@ -70,42 +73,58 @@ def _entropy(value: str) -> float:
 
 def scan(text: str, policy: ScanPolicy = ScanPolicy()) -> list[tuple[str, int, int]]:
     """(category, start, end) of the secrets in a text: patterns in their order, none over an earlier one."""
-    text, found = text[: policy.max_characters], []
-    free = lambda a, b: all(b <= s or a >= e for _, s, e in found)
+    text, found, taken = text[: policy.max_characters], [], []
+    most = math.inf if policy.max_findings is None else policy.max_findings
+
+    def free(a: int, b: int) -> bool:
+        """Whether a span lies over none that is taken (sorted, disjoint); it is taken then."""
+        at = bisect_left(taken, (a, b))
+        if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+            return False
+        taken.insert(at, (a, b))
+        return True
+
     for category, _, _, group, pattern, flags in PATTERNS:
         for m in re.compile(pattern, re.ASCII | flags).finditer(text):
             a, b = m.span(group)
             if b > a and free(a, b):
                 found.append((category, a, b))
-            if len(found) >= policy.max_findings:
+            if len(found) >= most:
                 return found
     if policy.high_entropy:
         for m in re.finditer(f"[A-Za-z0-9_+/=-]{{{policy.min_length},{policy.max_length}}}", text):
             v = m.group()
             if sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[_+/=-]")) >= 3 and len(set(v)) >= 12 and _entropy(v) >= policy.threshold and free(*m.span()):
                 found.append(("high-entropy", *m.span()))
-                if len(found) >= policy.max_findings:
+                if len(found) >= most:
                     break
     return found
 
 
 def findings(files: DataFrame, policy: ScanPolicy = ScanPolicy(), keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
     """keys, path, ordinal, category, severity, source, confidence, start, end, line, column: one row for each finding of files (keys, path, body)."""
-    spans = "array<struct<category:string,start:int,end:int>>"
+    spans = "array<struct<category:string,start:int,end:int,line:int,column:int>>"
+
+    def placed(t: str) -> list[dict]:
+        found = scan(t, policy)
+        ends = [m.start() for m in re.finditer("\n", t)] if found else []
+        lines = [bisect_left(ends, a) for _, a, _ in found]
+        return [{"category": c, "start": a, "end": b, "line": n + 1, "column": a - (ends[n - 1] if n else -1)} for (c, a, b), n in zip(found, lines, strict=True)]
 
     @F.pandas_udf(spans)
     def scanned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"category": c, "start": a, "end": b} for c, a, b in scan(t, policy)] if t else [])
+        return texts.map(lambda t: placed(t) if t else [])
 
-    named = F.when(sensitive_name(F.col("path")), F.array(F.struct(F.lit("sensitive-filename").alias("category"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))).otherwise(F.expr(f"cast(array() as {spans})"))
-    every = files.select(*keys, "path", "body", F.slice(F.concat(named, scanned("body")), 1, policy.max_findings).alias("all"))
-    each = every.select(*keys, "path", "body", F.posexplode("all").alias("at", "f"))
-    before = F.substring("body", F.lit(1), F.col("f.start"))
+    named = F.when(sensitive_name(F.col("path")), F.array(F.struct(F.lit("sensitive-filename").alias("category"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end", "line", "column")]))).otherwise(F.expr(f"cast(array() as {spans})"))
+    every = F.concat(named, scanned("body"))
+    every = files.select(*keys, "path", (every if policy.max_findings is None else F.slice(every, 1, policy.max_findings)).alias("all"))
+    # places come with the spans, so that bodies are not repeated for each finding
+    each = every.select(*keys, "path", F.posexplode("all").alias("at", "f"))
     medium = F.col("f.category").isin("high-entropy", "sensitive-filename")
     return each.select(
         *keys, "path", (F.col("at") + 1).alias("ordinal"), F.col("f.category").alias("category"), F.when(medium, "medium").otherwise("high").alias("severity"),
         F.when(F.col("f.start").isNull(), "filename").otherwise("content").alias("source"), F.when(medium | (F.col("f.category") == "password-assignment"), "medium").otherwise("high").alias("confidence"),
-        F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.size(F.split(before, "\n", -1)).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
+        *[F.col(f"f.{c}").alias(c) for c in ("start", "end", "line", "column")])
 
 
 def merged_intervals(spans: DataFrame, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:

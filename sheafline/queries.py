@@ -38,7 +38,7 @@ def _bodies(spark, sf):
 
 
 def _password_spans(spark, sf):
-    found = security.findings(_bodies(spark, sf), security.ScanPolicy(high_entropy=False))
+    found = security.findings(_bodies(spark, sf), security.ScanPolicy(None, None, high_entropy=False))
     return found.filter("category = 'password-assignment'")
 
 
@@ -178,11 +178,11 @@ def q_redact_passwords(spark, sf):
 
 
 def q_secret_findings(spark, sf):
-    return security.findings(_bodies(spark, sf)).select("seq", "ordinal", "category", "severity", "source", "confidence", "start", "end", "line", "column")
+    return security.findings(_bodies(spark, sf), security.ScanPolicy(None, None)).select("seq", "ordinal", "category", "severity", "source", "confidence", "start", "end", "line", "column")
 
 
 def q_security_summary(spark, sf):
-    return security.summary(security.findings(_bodies(spark, sf)))
+    return security.summary(security.findings(_bodies(spark, sf), security.ScanPolicy(None, None)))
 
 
 def q_secure_modes(spark, sf):

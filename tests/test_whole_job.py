@@ -37,3 +37,17 @@ def test_totals_count_long_files(spark, tables):
     assert (summary["documents"].files, summary["documents"].bytes) == (4, size)
     assert {r.seq for r in QUERIES["view_filter"](spark, tables).collect()} >= {29}
     assert [r.seq for r in QUERIES["validate_inclusion"](spark, tables).collect()] == [100]
+
+
+def test_secrets_behind_the_limits_of_a_scan(spark, tmp_path):
+    keys = "\n".join(f"AKIA{i:016d}" for i in range(150))
+    docs = [(1, f"{keys}\npassword = 'hunter22'"), (2, "a b " * 600_000 + "\ntoken = abcdef12"), (3, "\n".join(f"secret: value{i}" for i in range(120)))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    found = run("password_findings")
+    assert sorted((r.seq, r.line, r.column) for r in found if r.seq < 3) == [(1, 151, 13), (2, 2, 9)] and sum(r.seq == 3 for r in found) == 120
+    assert {r.seq: r.redactions for r in run("redact_passwords")} == {1: 1, 2: 1, 3: 120}
+    assert {(r.mode, r.status, r.files) for r in run("secure_modes")} == {("report", "flagged", 3), ("redact", "redacted", 3), ("exclude", "excluded", 3)}
+    assert {r.seq: r.high for r in run("file_security")} == {1: 1, 2: 1, 3: 120}
+    assert len(run("secret_findings")) == 272 and run("security_summary")[0].findings == 272
+    assert sum(r.seq == 3 for r in run("interval_overlap")) == 120 * 119 // 2
