@@ -23,14 +23,14 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Mad
 _KEY = r"""(?i:password|passwd|token|secret|api_?key)["']? {0,3}[=:] {0,3}["']?"""
 #: Patterns by type, the first that matches a place counts.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _OUT,
+    "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _OUT,
     "ip": r"(?<![\p{L}\p{N}_.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![\p{L}\p{N}_])(?!\.\d)",
     "ssn": _IN + r"\d{3}-\d{2}-\d{4}" + r"(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})" + r"(?![\p{L}\p{N}_])",
     "card": r"(?<![\p{L}\p{N}_.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})" + _OUT,
     "iban": _IN + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)" + _OUT,
     "cloud_key": _IN + r"AKIA[0-9A-Z]{16}" + _OUT,
-    "secret": _KEY + r"[A-Za-z0-9_+/.=-]{6,256}",
+    "secret": _KEY + r"[A-Za-z0-9_+/.=-]{6,}",
     "person": _IN + rf"(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}" + _OUT,
 }
 # All types but secrets begin after no letter, digit or underscore: tested once a place, so that most places fail at once.
@@ -91,29 +91,32 @@ def parts(text: Column) -> Column:
 
 
 def _draws(key: str, length: Column) -> Column:
-    """At least `length` keyed bytes as hexadecimal digits, from kind, value and draw."""
-    seed = lambda b: F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "value", F.col("draw").cast("string"), b.cast("string")), 512)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")), seed), "")
+    """At least `length` keyed bytes as hexadecimal digits, 64 bytes a string, from kind, value and draw."""
+    # a long value's digest stands for it, so that time follows its length and not the square
+    value = F.when(length > 256, F.sha2(F.col("value"), 512)).otherwise(F.col("value"))
+    seed = lambda v, b: F.sha2(F.concat_ws("\x01", F.lit(key), "kind", v, F.col("draw").cast("string"), b.cast("string")), 512)
+    return F.get(F.transform(F.array(value), lambda v: F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")), lambda b: seed(v, b))), 0)
 
 
 def _byte(hexes: Column, i: Column) -> Column:
-    return F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substr(F.get(hexes, F.floor(i / 64).cast("int")), i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _same_format(value: Column, hexes: Column) -> Column:
     """Each letter and digit replaced by one of its kind."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, hex_digits: Column) -> Column:
         b = _byte(hexes, i)
         letter = lambda first, n: F.substr(F.lit(first), b % n + 1, F.lit(1))
         lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        hex_digits = (F.col("kind") == "secret") & value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$")
         return (
             F.when(hex_digits, letter("0123456789abcdef", 16)).when(c.rlike("[0-9]"), F.when(i == 0, letter("123456789", 9)).otherwise(letter("0123456789", 10)))
             .when(c.rlike("[a-z]"), letter(lower, 26)).when(c.rlike("[A-Z]"), letter(upper, 26)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    # bound once, not tested again at each character
+    hexadecimal = (F.col("kind") == "secret") & value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$")
+    return F.get(F.transform(F.array(hexadecimal), lambda x: F.array_join(F.transform(F.split(value, ""), lambda c, i: one(c, i, x)), "")), 0)
 
 
 def _luhn(digits: Column) -> Column:
