@@ -192,8 +192,10 @@ def q_secure_modes(spark, sf):
 
 
 def q_shannon_entropy(spark, sf):
-    rows = _bodies(spark, sf).select("seq", F.substring("body", 1, 200).alias("v"))
-    return rows.filter("v <> ''").select("seq", F.round(security.entropy_of(F.col("v")), 6).alias("entropy"))
+    chars = _bodies(spark, sf).filter("body <> ''").select("seq", F.explode(F.split("body", "")).alias("c"))
+    counts = chars.groupBy("seq", "c").agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy("seq").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return sums.select("seq", F.round(F.log2("t") - F.col("s") / F.col("t"), 6).alias("entropy"))
 
 
 def q_merge_intervals(spark, sf):
@@ -245,9 +247,9 @@ def q_grid_pages(spark, sf):
 
 
 def q_densify_grid(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_linenumber <= 4")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     cells = li.groupBy(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_orderkey") % 5 + 1).cast("int").alias("col")).agg(F.min("l_partkey").alias("value"))
-    return spreadsheet.densified(cells, 4, 6)
+    return spreadsheet.densified(cells, 7, 6)
 
 
 def q_image_resize_plan(spark, sf):

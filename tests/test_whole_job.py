@@ -1,5 +1,7 @@
 """Registered queries cover every row and all of each text."""
 
+import math
+
 import pytest
 
 from sheafline.queries import QUERIES
@@ -65,3 +67,14 @@ def test_long_secrets_and_emails_leave_nothing(spark):
     assert not any(token[i : i + 12] in new for i in range(989))
     assert out[2].text.startswith("to ") and out[2].text.endswith(".example now") and local not in out[2].text
     assert len(out[3].text) == 120_007 and "Ab3Ab3Ab3" not in out[3].text
+
+
+def test_entropy_of_whole_texts_and_all_lines_of_the_grid(spark, tmp_path):
+    docs = [(1, "a" * 300 + "b" * 300), (2, "abc" * 100 + "😀" * 200), (3, "z"), (4, ""), (5, None)]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.seq: r.entropy for r in QUERIES["shannon_entropy"](spark, str(tmp_path)).collect()}
+    want = {i: -sum(p * math.log2(p) for p in (t.count(c) / len(t) for c in set(t))) for i, t in docs if t}
+    assert set(got) == {1, 2, 3} and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    spark.createDataFrame([(1, n, 4, 10 + n) for n in range(1, 8)], "l_suppkey long, l_linenumber long, l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = QUERIES["densify_grid"](spark, str(tmp_path)).collect()
+    assert len(cells) == 42 and {r.row: r.value for r in cells if r.col == 5} == {n: 10 + n for n in range(1, 8)}
