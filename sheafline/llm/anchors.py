@@ -1,28 +1,36 @@
 """Anchored runs of windows: how equal windows of different rows meet without shuffling every window.
 
 A window of `window` tokens is anchored at its leftmost k-gram of least hash, so equal windows have equal anchors at
-equal places. Consecutive windows with one anchor form a run, about one run for every (window - k) / 2 tokens. Two
-equal windows also share the anchor with the `side` tokens to its right, or else with those to its left, where `side` is
-half of what the anchor leaves of the window. A first pass counts hashes of these longer grams with partial aggregation,
-and the repeated ones set bits of a bitmap of bounded size. Later passes read the texts again and keep the runs that
-have a bit set. The bitmap only saves work: a bit set by chance lets a run through that then proves to be unique.
+equal places. Consecutive windows with one anchor form a run, about one run for every (window - k) / 2 tokens. A run
+travels as one record: the hash of its anchor (key), a digest of all its tokens, hashes of the anchor with the tokens to
+its right and to its left, and its place. Records meet by key. Records with equal key and digest are one class: every
+later copy of a class repeats the first one whole, and only first copies go on. Two classes with one key may share some
+of their windows; if so they also share what lies right of the anchor, or else left of it, and only such classes are
+compared window by window afterwards, by the operators that use this module.
+
+Each task drops its own later copies before the shuffle, so a class sends few records however often it occurs. A text of
+any length is handled in stretches of STRETCH tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .tasks import MULTIPLIER, discard, map_slices, mix, written
+from .packed import SCHEMA, dealt, gathered, joined, part_of, parts_of
+from .tasks import MULTIPLIER, mix, slices
 
-#: Bounds of the bitmap's size in bits; 2^28 bits are 32 MB.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-BITS_A_KEY = 16
+#: Kinds of packed rows: records of runs, windows that repeat an earlier place, first copies to be compared.
+RECORD, LATE, PIECE = 0, 1, 2
+RECORDS = [np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64]  # key, digest, right, left, doc, start, n
+LATES = [np.int64] * 5  # doc, start, n, source, source_start
+PIECES = [np.int64, np.int64, np.int64, np.uint64, np.int64]  # doc, start, n, key, classes of the key
+#: Records that a task gathers before it sends them, and tokens of a text handled at once.
+FLUSH, STRETCH = 1 << 20, 1 << 18
 
 
 class Runs(NamedTuple):
@@ -64,91 +72,114 @@ def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
     return Runs(owner, at - (ends - lengths)[owner], np.diff(np.append(first, len(inside))), least[at].view(np.int64), at, place[first])
 
 
-def side_keys(grams: np.ndarray, found: Runs, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs with windows that reach `side` tokens right of the anchor and their keys, then the same for the left of other windows."""
+def records(grams: np.ndarray, lengths: np.ndarray, docs: np.ndarray, base: int, window: int, k: int) -> list[np.ndarray]:
+    """The columns of RECORDS for rows of so many tokens; base is the place of the first token in its text."""
     side = (window - k) // 2
     if side > k:
         raise ValueError("the anchor must be longer than half of what it leaves of the window")
+    found = runs(grams, lengths, window, k)
+    key = found.anchor.view(np.uint64)
+    # a run's tokens are covered by k-grams; the last one ends where the run ends
+    size = found.n + window - 1
+    digest = size.astype(np.uint64)
+    for j in range(-(-(2 * window - k) // k)):
+        digest = mix(digest * MULTIPLIER + grams[found.first + np.minimum(j * k, size - k)])
     before = found.place - found.first  # tokens left of the anchor in the first window; one less in each next one
-    right = np.flatnonzero(before - found.n + 1 <= window - k - side)
-    left = np.flatnonzero(before > window - k - side)
-    at, to = found.place[right], found.place[left]
-    return right, mix(grams[at] * MULTIPLIER + grams[at + side]), left, mix(grams[to - side] * MULTIPLIER + grams[to] + np.uint64(1))
-
-
-def repeated_bits(keys: DataFrame) -> Broadcast:
-    """A broadcast bitmap with the bits of all values of column key that occur more than once in keys."""
-    again = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-keys")
-    out = bits_of(again)
-    discard(again)
-    return out
-
-
-def bits_of(keys: DataFrame) -> Broadcast:
-    """The bitmap of a written table of keys; its size follows their number up to a bound."""
-    spark = keys.sparkSession
-    wanted = keys.count() * BITS_A_KEY
-    bits = LEAST_BITS
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
-    parts = keys.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
-    out = bytearray(bits // 8)
-    for r in parts.toLocalIterator():
-        out[r.part * 4096 : (r.part + 1) * 4096] = r.map
-    return spark.sparkContext.broadcast(bytes(out))
-
-
-def has_bit(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
-    return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def run_keys(docs: DataFrame, tokenise, window: int, k: int) -> DataFrame:
-    """The keys of all runs. tokenise gives the units of a slice of texts, their k-gram hashes and their numbers."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        _, grams, lengths = tokenise(part.column(1).to_pylist())
-        _, right, _, left = side_keys(grams, runs(grams, lengths, window, k), window, k)
-        return pa.record_batch([pa.array(np.concatenate([right, left]).view(np.int64), pa.int64())], names=["key"])
-
-    return map_slices(docs, run, "key long")
-
-
-def place_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Key of a run by its coordinates."""
-    return (doc.astype(np.int64).view(np.uint64) << np.uint64(20)) + start.astype(np.uint64)
-
-
-def candidate_runs(docs: DataFrame, tokenise, window: int, k: int, bitmap: Broadcast, emit, schema: str, places: Broadcast | None = None) -> DataFrame:
-    """What emit makes of the runs of each slice that have a bit set, and, if places are given, whose coordinates have one there."""
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        units, grams, lengths = tokenise(part.column(1).to_pylist())
-        found = runs(grams, lengths, window, k)
-        right, right_keys, left, left_keys = side_keys(grams, found, window, k)
-        keep = np.zeros(len(found.row), bool)
-        keep[right[has_bit(bitmap.value, right_keys)]] = True
-        keep[left[has_bit(bitmap.value, left_keys)]] = True
-        if places is not None:
-            doc = part.column(0).to_numpy(zero_copy_only=False)[found.row]
-            keep &= has_bit(places.value, mix(place_key(doc, found.start)))
-        if not keep.any():
-            return None
-        return emit(part.column(0), units, lengths, Runs(*(x[keep] for x in found)))
-
-    return map_slices(docs, run, schema)
-
-
-def hashed_places(rows: DataFrame) -> DataFrame:
-    """Column key for bits_of from columns doc and start, equal to mix of place_key."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([pa.array(mix(place_key(b.column(0).to_numpy(), b.column(1).to_numpy())).view(np.int64))], names=["key"])
-
-    return rows.select("doc", "start").mapInArrow(run, "key long")
-
-
-def digest_column(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), "<i8")
+    right, left = np.zeros(len(key), np.uint32), np.zeros(len(key), np.uint32)
+    to = np.flatnonzero(before - found.n + 1 <= window - k - side)
+    right[to] = mix(key[to] * MULTIPLIER + grams[found.place[to] + side]) | np.uint64(1)
+    to = np.flatnonzero(before > window - k - side)
+    left[to] = mix(key[to] + grams[found.place[to] - side] * MULTIPLIER) | np.uint64(1)
+    return [key, digest, right, left, docs[found.row], found.start + base, found.n.astype(np.int64)]
+
+
+def _first_copies(columns: list[np.ndarray], within: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which records stay, and the columns of LATES for the others: those with an equal one at an earlier place."""
+    key, digest, _, _, doc, start, n = columns
+    both = mix(key + digest * MULTIPLIER)
+    order = np.argsort(both)
+    same = both[order][1:] == both[order][:-1]
+    again = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
+    stay = np.ones(len(key), bool)
+    if not len(again):
+        return stay, [np.empty(0, np.int64)] * 5
+    again = again[np.lexsort((start[again], doc[again], both[again]))]
+    new = np.concatenate(([True], both[again][1:] != both[again][:-1]))
+    first = again[new][np.cumsum(new) - 1]
+    late = (doc[again] != doc[first]) | ((start[again] != start[first]) & within)
+    gone, source = again[late], first[late]
+    stay[gone] = False
+    return stay, [doc[gone], start[gone], n[gone], doc[source], start[source]]
+
+
+def _pairs_shared(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which of these classes share key and side with another one; a side of 0 is none."""
+    both = mix(key + side.astype(np.uint64) * MULTIPLIER)
+    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+    return (counts[inverse] > 1) & (side > 0)
+
+
+def located(docs: DataFrame, tokenise: Callable, window: int, k: int, within: bool) -> DataFrame:
+    """Packed rows dealt by document: LATE windows, and PIECEs that may share windows with other classes.
+
+    docs has columns doc and text; tokenise gives, for a slice of texts, the k-gram hashes of all tokens in one line (as
+    a function of a range of them) and the number of tokens of each text. within: copies inside one document count.
+    """
+    parts = parts_of(docs)
+
+    def flush(held: list[list[np.ndarray]]):
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        stay, late = _first_copies(columns, within)
+        if len(late[0]):
+            yield dealt(part_of(mix(late[0].view(np.uint64)), parts), LATE, late, parts)
+        columns = [c[stay] for c in columns]
+        yield dealt(part_of(mix(columns[0]), parts), RECORD, columns, parts)
+
+    def send(batches):
+        held, size = [], 0
+        for part in slices(batches):
+            docs_of = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            grams, lengths = tokenise(part.column(1))
+            if len(lengths) > 1 or lengths[0] <= STRETCH:
+                stretches = [(0, grams(0, int(lengths.sum())), lengths)]
+            else:
+                n = int(lengths[0])
+                stretches = ((a, grams(a, min(n, a + STRETCH + window - 1)), np.array([min(n, a + STRETCH + window - 1) - a])) for a in range(0, n - window + 1, STRETCH))
+            for base, found, own in stretches:
+                held.append(records(found, own, docs_of, base, window, k))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def meet(held):
+        for data in held.get(LATE, []):  # dealt by document already; this part only passes it on
+            yield dealt_late(data)
+        columns = joined(held.get(RECORD, []), RECORDS)
+        order = np.argsort(columns[0])
+        key = columns[0][order]
+        same = key[1:] == key[:-1]
+        again = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
+        columns = [c[again] for c in columns]
+        if not len(columns[0]):
+            return
+        stay, late = _first_copies(columns, within)
+        if len(late[0]):
+            yield dealt(part_of(mix(late[0].view(np.uint64)), parts), LATE, late, parts)
+        key, digest, right, left, doc, start, n = columns = [c[stay] for c in columns]
+        # one row for each class: those that stay of one class lie in one document
+        _, one, of = np.unique(mix(key + digest * MULTIPLIER), return_index=True, return_inverse=True)
+        shared = (_pairs_shared(key[one], right[one]) | _pairs_shared(key[one], left[one]))[of]
+        if shared.any():
+            _, place, size = np.unique(key[one], return_inverse=True, return_counts=True)
+            classes = size[place][of]
+            piece = [doc[shared], start[shared], n[shared], key[shared], classes[shared]]
+            yield dealt(part_of(mix(piece[0].view(np.uint64)), parts), PIECE, piece, parts)
+
+    def dealt_late(data: bytes) -> pa.RecordBatch:
+        late = joined([data], LATES)
+        return dealt(part_of(mix(late[0].view(np.uint64)), parts), LATE, late, parts)
+
+    return gathered(docs.select("doc", "text").mapInArrow(send, SCHEMA), parts, meet, SCHEMA)

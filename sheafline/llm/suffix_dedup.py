@@ -1,55 +1,56 @@
 """Suffix-array dedup with run-length Burrows-Wheeler indexes.
 
-Strings of `window` bytes meet by their anchors (see anchors.py). Runs of windows that are equal as a whole share their
-anchor's hash and a 64-bit digest and need no index. Where different runs share an anchor, their bytes are gathered once each and indexed
-in blocks: a suffix array of the block gives its run-compressed Burrows-Wheeler transform; at the heads of its runs the
-suffix and its match with the suffix before it are sampled, and streaming over the text from one sample to the next
-gives the matching statistics of every position, since inside a run a match only gets one byte shorter. Matches of at
-least `window` bytes group equal strings, and each group's smallest document keeps its bytes. Anchors with very many
-different runs are compared string by string in a grouped aggregation instead, which splits them over all tasks.
+Strings of `window` bytes meet by their anchors (see anchors.py): later copies of whole runs of windows go at once, and the
+first copies of runs that may share windows with others are gathered by anchor and indexed in blocks. A block's index is
+its run-compressed Burrows-Wheeler transform with samples at the ends of runs: the place of the suffix that heads a run,
+the place of the suffix that ends the run before, and how many bytes the two share. The pieces are streamed through
+the samples: from one sample to the next each place's neighbour moves on by one byte and its match gets one byte shorter,
+which gives every place's neighbour and matching statistic. Neighbours with matches of at least `window` bytes form chains
+of equal strings, and in each chain the smallest document keeps its bytes. Pieces of one anchor are kept together up to
+TOGETHER of them; those of more frequent anchors are cut into their single windows, which meet by their own hashes in the
+same kind of index, and of which each task sends one copy only.
 
 Null and empty texts have no bytes; texts shorter than a window are kept whole; strings that repeat inside one document
-only are kept; rows with a null id are kept whole and are no sources; rows with equal ids count as one document; an
-empty table gives an empty result; columns other than the id and the text are not read.
+only are kept; rows with a null id are kept whole and are no sources; rows with equal ids count as one document; ties do
+not occur, as the smallest id decides and ids that are no integers are numbered in their order; a text of any length is
+handled in stretches of about a million bytes, except that the last step holds it whole; an empty table gives an empty
+result; columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .anchors import Runs, bits_of, candidate_runs, digest_column, hashed_places, repeated_bits, run_keys
-from .tasks import MULTIPLIER, discard, map_slices, mix, written
+from .anchors import LATE, LATES, PIECE, PIECES, RECORD, located
+from .packed import SCHEMA, by_doc, dealt, gathered, joined, part_of, parts_of, unpack
+from .tasks import MULTIPLIER, by_id, bytes_of, discard, map_slices, mix, numbered, slices, written
 
 WINDOW = 50
 ANCHOR = 17
-#: Different runs of one anchor that are indexed together; an anchor with more is compared string by string.
-INDEXED_RUNS = 64
-BLOCK_BYTES = 1 << 20
+#: Pieces of one anchor that are indexed together; pieces of anchors with more are indexed window by window.
+TOGETHER = 64
+#: Bytes in one index, and bytes of pieces that a task gathers before it sends them.
+BLOCK_BYTES, SENT_BYTES = 1 << 20, 8 << 20
 
 
-def _tokenise(texts: list[str | None]):
-    raw = [t.encode() if t else b"" for t in texts]
-    have = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+def _grams(have: np.ndarray) -> np.ndarray:
+    have = have.astype(np.uint64)
     for done in (1, 2, 4):  # eight bytes in one integer
         have = have[:-done] | (have[done:] << np.uint64(8 * done)) if len(have) > done else have[:0]
     n = len(have) - (ANCHOR - 8)  # three overlapping parts of eight bytes make an anchor
-    grams = mix(mix(have[:n] * MULTIPLIER + have[8 : 8 + n]) * MULTIPLIER + have[ANCHOR - 8 :]) if n > 0 else have[:0]
-    return raw, grams, np.fromiter(map(len, raw), np.int64, len(raw))
+    return mix(mix(have[:n] * MULTIPLIER + have[8 : 8 + n]) * MULTIPLIER + have[ANCHOR - 8 :]) if n > 0 else have[:0]
 
 
-def _runs(window: int, payload: bool):
-    def emit(ids: pa.Array, raw, lengths, found: Runs) -> pa.RecordBatch:
-        own = [raw[r][s : s + n + window - 1] for r, s, n in zip(found.row.tolist(), found.start.tolist(), found.n.tolist(), strict=True)]
-        digest = digest_column([hashlib.blake2b(b, digest_size=8).digest() for b in own])
-        rest = [pa.array(own, pa.binary())] if payload else [pa.array(found.n.astype(np.int32))]
-        return pa.record_batch([ids.take(pa.array(found.row)), pa.array(found.start.astype(np.int32)), pa.array(found.anchor), pa.array(digest), *rest], names=["doc", "start", "anchor", "digest", "bytes" if payload else "n"])
-
-    return emit
+def _tokenise(column: pa.Array):
+    data, places = bytes_of(column)
+    return lambda a, b: _grams(data[a:b]), np.diff(places)
 
 
 def suffix_array(text: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,171 +62,236 @@ def suffix_array(text: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> np.nd
     packed = np.zeros(n, np.uint64)
     for i in range(8):
         packed = packed << np.uint64(8) | np.where(at + i <= end, padded[i : n + i], np.uint64(0))
-    order = np.lexsort((np.where(end < at + 8, piece + 1, 0), packed))
-    tie = np.where(end < at + 8, piece + 1, 0)[order]
-    keys = packed[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (tie[1:] != tie[:-1])))
+    tie = np.where(end < at + 8, piece + 1, 0)
+    order = np.lexsort((tie, packed))
+    new = np.concatenate(([True], (packed[order][1:] != packed[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0)) + 1
     h = 8
-    while not new.all():
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        ahead = np.zeros(n, np.int64)
-        ahead[:-h] = rank[h:] if h < n else 0
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        h *= 2
-        if h >= n:
+    while h < n:
+        open_ = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))  # places in the order that still tie with others
+        if not len(open_):
             break
+        own = order[open_]
+        ahead = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], 0)
+        key = rank[own] * (n + 1) + ahead
+        sort = np.argsort(key)
+        order[open_] = own[sort]
+        new[open_] = np.concatenate(([True], key[sort][1:] != key[sort][:-1]))
+        rank[order[open_]] = np.maximum.accumulate(np.where(new[open_], open_, 0)) + 1
+        h *= 2
     return order
 
 
-def matching_statistics(text: np.ndarray, order: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each place in the text, how many bytes it shares with the suffix before it in the order, from sampled run heads."""
-    before = text[order - 1].astype(np.int32)
-    before[text[order - 1] == 255] = 256 + piece[order - 1][text[order - 1] == 255]  # separators differ
-    head = np.concatenate(([True], before[1:] != before[:-1]))
-    samples = order[head]
-    previous = np.concatenate(([0], order[:-1]))[head]
-    limit = np.minimum(ends[piece[samples]] - samples, ends[piece[previous]] - previous)
-    limit[0] = 0
-    match = np.zeros(len(samples), np.int64)
-    live = np.flatnonzero(limit > 0)
-    step = 0
-    while len(live):
-        live = live[(text[samples[live] + step] == text[previous[live] + step])]
-        match[live] += 1
-        step += 1
-        live = live[limit[live] > step]
-    at_sample = np.full(len(text), -1, np.int64)
-    at_sample[samples] = match
-    place = np.arange(len(text))
-    last = np.maximum.accumulate(np.where(at_sample >= 0, place, 0))
-    return np.maximum(at_sample[last] - (place - last), 0)
-
-
-def late_windows(pieces: list[bytes], docs: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """For each piece, ranges (offset, number) of its windows that a piece of a smaller document has too."""
-    text = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-    ends = np.cumsum(sizes) - 1
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    order = suffix_array(text, piece, ends)
-    shared = matching_statistics(text, order, piece, ends)[order] >= window
-    group = np.cumsum(~shared)
-    own = docs[piece[order]]
-    least = np.minimum.reduceat(own, np.concatenate(([0], np.flatnonzero(~shared)[0 if shared[0] else 1 :])))
-    if shared[0]:
-        group += 1
-    late = np.sort(order[least[group - 1] < own])
-    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
-    if len(late):
-        cut = np.flatnonzero((np.diff(late) != 1) | (piece[late[1:]] != piece[late[:-1]])) + 1
-        starts, stops = late[np.concatenate(([0], cut))], late[np.concatenate((cut - 1, [len(late) - 1]))]
-        for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-            p = int(piece[a])
-            out[p].append((a - int(ends[p] - sizes[p] + 1), b - a + 1))
-    return out
-
-
-RANGES = "array<struct<at:int,n:int>>"
-
-
-def _indexed(pieces: DataFrame, window: int) -> DataFrame:
-    """anchor, digest, ranges of late windows, for pieces with columns anchor, digest, doc, bytes."""
-    kinds = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
-
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        found = late_windows(table.column("bytes").to_pylist(), table.column("doc").to_numpy(), window)
-        return pa.record_batch([table.column("anchor").combine_chunks(), table.column("digest").combine_chunks(), pa.array([[{"at": a, "n": n} for a, n in x] for x in found], kinds)], names=["anchor", "digest", "ranges"])
+class RunIndex:
+    """The run-compressed Burrows-Wheeler transform of pieces, with samples at the ends of its runs; the suffix array is not kept."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.text = text = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)  # no byte of UTF-8 is 255
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        self.ends = ends = np.cumsum(self.sizes) - 1
+        self.piece = piece = np.repeat(np.arange(len(pieces)), self.sizes)
+        order = suffix_array(text, piece, ends)
+        before = text[order - 1].astype(np.int64)
+        apart = before == 255
+        before[apart] = 256 + piece[order - 1][apart]  # separators differ
+        head = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        self.letters, self.lengths = before[head], np.diff(np.append(head, len(text)))
+        sample, previous = order[head], order[head - 1]
+        match = self._shared(sample, previous)
+        match[0] = 0  # nothing stands before the first suffix
+        by_place = np.argsort(sample)
+        self.sample, self.previous, self.match = sample[by_place], previous[by_place], match[by_place]
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at a and b share, up to the ends of their pieces."""
+        limit = np.minimum(self.ends[self.piece[a]] - a, self.ends[self.piece[b]] - b)
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(limit > 0)
+        while len(live):
+            live = live[self.text[a[live] + out[live]] == self.text[b[live] + out[live]]]
+            out[live] += 1
+            live = live[limit[live] > out[live]]
+        return out
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbour and the matching statistic of every place, streamed from each sample to the next one."""
+        last = np.repeat(np.arange(len(self.sample)), np.diff(np.append(self.sample, len(self.text))))
+        step = np.arange(len(self.text)) - self.sample[last]
+        return self.previous[last] + step, np.maximum(self.match[last] - step, 0)
+
+
+def late_windows(pieces: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (piece, offset, number) of windows that a piece of a smaller document has too."""
+    index = RunIndex(pieces)
+    to, match = index.stream()
+    linked = np.flatnonzero(match >= window)
+    root = np.arange(len(to))
+    root[linked] = to[linked]
+    while True:  # chains halve with each step
+        further = root[root[linked]]
+        if np.array_equal(further, root[linked]):
+            break
+        root[linked] = further
+    own = docs[index.piece]
+    least = own.copy()
+    np.minimum.at(least, root[linked], own[linked])
+    tops = np.unique(root[linked])
+    late = np.sort(np.concatenate((linked[least[root[linked]] < own[linked]], tops[least[tops] < own[tops]])))
+    if not len(late):
+        return late, late, late
+    cut = np.flatnonzero((np.diff(late) != 1) | (index.piece[late[1:]] != index.piece[late[:-1]])) + 1
+    starts, stops = late[np.concatenate(([0], cut))], late[np.concatenate((cut - 1, [len(late) - 1]))]
+    p = index.piece[starts]
+    return p, starts - (index.ends[p] - index.sizes[p] + 1), stops - starts + 1
+
+
+def _late_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    zero = np.zeros(len(doc), np.int64)
+    return dealt(part_of(mix(doc.astype(np.int64).view(np.uint64)), parts), LATE, [doc, start, n, zero, zero], parts)
+
+
+def _cut(window: int, parts: int, together: int):
+    """Packed pieces, dealt by key, from batches of doc, text and packed places."""
+
+    def send(key, doc, start, size, pieces):
+        columns = [np.array(key, np.uint64), *(np.array(c, np.int64) for c in (doc, start, size))]
+        return dealt(part_of(mix(columns[0]), parts), RECORD, columns, parts, pieces)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
-        for batch in batches:
-            anchor = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]))
-            weight = np.concatenate(([0], np.cumsum([len(b) for b in batch.column(3).to_pylist()])))
-            at = 0
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if anchor[a] != last and size + weight[a] - weight[at] >= BLOCK_BYTES:
-                    if a > at:
-                        held.append(batch.slice(at, a - at))
-                    yield block(held)
-                    held, size, at = [], 0, a
-                last = anchor[b - 1]
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-                size += int(weight[-1] - weight[at])
-        if held:
-            yield block(held)
-
-    dealt = pieces.select("anchor", "digest", "doc", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, f"anchor long, digest long, ranges {RANGES}").filter(F.size("ranges") > 0)
-
-
-def _compared(pieces: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many pieces, string by string."""
-    each = pieces.select("anchor", "digest", "doc", F.posexplode(F.expr(f"transform(sequence(1, octet_length(bytes) - {window - 1}), i -> substring(bytes, i, {window}))")).alias("at", "string"))
-    first = each.groupBy("string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    late = each.join(first, "string").filter("first < doc")
-    return late.groupBy("anchor", "digest").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"))).alias("ranges"))
-
-
-def late_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, spans: windows of doc that also start in a document with a smaller id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_col).filter(F.col("doc").isNotNull())
-    bitmap = repeated_bits(run_keys(rows, _tokenise, window, ANCHOR))
-    runs = written(candidate_runs(rows, _tokenise, window, ANCHOR, bitmap, _runs(window, False), "doc long, start int, anchor long, digest long, n int"), "runs")
-    classes = runs.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("last"))
-    classes = written(classes, "classes")
-    anchors = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1"), "shared-anchors")
-    firsts = written(classes.join(anchors, "anchor").select("anchor", "digest", "runs", "first.doc", "first.start"), "first-runs")
-    places = written(hashed_places(firsts), "places")
-    pieces = candidate_runs(rows, _tokenise, window, ANCHOR, bitmap, _runs(window, True), "doc long, start int, anchor long, digest long, bytes binary", bits_of(places))
-    pieces = written(pieces.join(firsts, ["anchor", "digest", "doc", "start"]).distinct(), "pieces")
-    late = _indexed(pieces.filter(F.col("runs") <= INDEXED_RUNS), window).unionByName(_compared(pieces.filter(F.col("runs") > INDEXED_RUNS), window))
-    late = written(late, "late-windows")
-    verdicts = classes.join(late, ["anchor", "digest"], "left").filter("last > first.doc or ranges is not null").select("anchor", "digest", F.col("first.doc").alias("first"), "ranges")
-    whole = F.array(F.struct(F.col("start").alias("at"), F.col("n")))
-    moved = F.expr(f"transform(coalesce(ranges, cast(array() as {RANGES})), r -> struct(start + r.at as at, r.n as n))")
-    found = runs.join(verdicts, ["anchor", "digest"]).select("doc", F.when(F.col("doc") > F.col("first"), whole).otherwise(moved).alias("spans")).filter(F.size("spans") > 0)
-    out = written(found.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    discard(runs, classes, anchors, firsts, places, pieces, late)
-    return out
-
-
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        held, size, gone = ([], [], [], [], []), 0, ([], [])
+        windows: dict[bytes, list[int]] = {}  # single windows: their smallest document and its places
+        for part in slices(batches):
+            for doc, text, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                raw = text.encode()
+                for a, n, key, classes in zip(*(c.tolist() for c in unpack(data)[0]), strict=True):
+                    if classes <= together:
+                        piece = raw[a : a + n + window - 1]
+                        for c, x in zip(held, (key, doc, a, len(piece), piece), strict=True):
+                            c.append(x)
+                        size += len(piece)
+                        continue
+                    for b in range(a, a + n):
+                        piece = raw[b : b + window]
+                        least = windows.get(piece)
+                        if least is None or doc < least[0]:
+                            if least is not None:
+                                gone[0].extend(least[:1] * (len(least) - 1))
+                                gone[1].extend(least[1:])
+                            windows[piece] = [doc, b]
+                            size += window
+                        elif doc == least[0]:
+                            least.append(b)
+                        else:
+                            gone[0].append(doc)
+                            gone[1].append(b)
+            if size >= SENT_BYTES:
+                yield from flush(held, windows, gone)
+                held, size, gone, windows = ([], [], [], [], []), 0, ([], []), {}
+        yield from flush(held, windows, gone)
+
+    def flush(held, windows, gone):
+        for piece, (doc, *places) in windows.items():
+            key = xxhash.xxh3_64_intdigest(piece)
+            for b in places:
+                for c, x in zip(held, (key, doc, b, window, piece), strict=True):
+                    c.append(x)
+        if gone[0]:
+            yield _late_rows(np.array(gone[0]), np.array(gone[1]), np.ones(len(gone[0]), np.int64), parts)
+        if held[0]:
+            yield send(*held)
+
+    return run
+
+
+def _indexed(window: int, parts: int):
+    """Late windows, dealt by document, of the pieces of one part, in blocks of whole keys."""
+
+    def pieces_of(values: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+        pieces = []
+        for v in values:
+            (_, _, _, size), payload = unpack(v)
+            to = np.cumsum(size, dtype=np.int64).tolist()
+            pieces += [bytes(payload[a:b]) for a, b in zip([0, *to[:-1]], to, strict=True)]
+        return joined(values, [np.uint64, np.int64, np.int64, np.int64]), pieces
+
+    def blocks(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        cuts = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]))
+        ends = np.concatenate(([0], np.cumsum(size[order])))[cuts]
+        at = 0
+        while at < len(cuts) - 1:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
+            yield order[cuts[at] : cuts[to]]
+            at = to
+
+    def fn(held):
+        for v in held.get(LATE, []):
+            yield _late_rows(*joined([v], LATES)[:3], parts)
+        if RECORD not in held:
+            return
+        (key, doc, start, size), pieces = pieces_of(held[RECORD])
+        for block in blocks(key, size):
+            once: dict[tuple[int, bytes], int] = {}
+            of = np.array([once.setdefault((d, pieces[i]), len(once)) for d, i in zip(doc[block].tolist(), block.tolist(), strict=True)])
+            p, at, n = late_windows([x for _, x in once], np.array([d for d, _ in once], np.int64), window)
+            # the ranges of a piece hold for all places where its document has it
+            by = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[by], p)
+            times = np.searchsorted(of[by], p, "right") - first
+            row = block[by[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())]]
+            if len(row):
+                yield _late_rows(doc[row], start[row] + np.repeat(at, times), np.repeat(n, times), parts)
+
+    return fn
+
+
+def late_runs(docs: DataFrame, window: int, together: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc and packed spans (start, number, and two unused columns): windows of doc that also start in a smaller one; names of docs."""
+    rows, names = numbered(docs, id_col, text_col)
+    parts = parts_of(docs)
+    found = written(located(rows, _tokenise, window, ANCHOR, False), "located")
+    asked = by_doc(found.filter(F.col("kind") == PIECE), parts, PIECES)
+    pieces = rows.join(asked, "doc").select("doc", "text", "data").mapInArrow(_cut(window, parts, together), SCHEMA)
+    late = written(gathered(pieces, parts, _indexed(window, parts), SCHEMA), "late-windows")
+    spans = written(by_doc(found.filter(F.col("kind") == LATE).unionByName(late), parts, LATES), "spans")
+    discard(found, late)
+    return spans, names
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, removed (disjoint spans of bytes) and kept (bytes) of each row."""
-    by_doc = late_runs(docs, window, id_col, text_col)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    joined = rows.join(by_doc, rows[id_col] == by_doc["doc"], "left").select(id_col, "text", "spans")
+    spans, names = late_runs(docs, window, together, id_col, text_col)
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text"))
+    own = by_id(rows, id_col, spans.withColumnRenamed("data", "__data"), names).select(f"`{id_col}`", "__text", "__data")
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    schema = StructType([own.schema[0], StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("removed", ArrayType(span)), StructField("kept", BinaryType())])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n_bytes, n_removed, removed, kept = [], [], [], []
-        for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+        for text, data in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
             raw = text.encode() if text else b""
-            own: list[list[int]] = []
-            for a, n in sorted((s["at"], s["n"]) for s in found or []):
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], a + n + window - 1)
-                else:
-                    own.append([a, a + n + window - 1])
+            spans = union(*unpack(data)[0][:2], window) if data is not None else []
             left, at = [], 0
-            for a, b in own:
+            for a, b in spans:
                 left.append(raw[at:a])
                 at = b
             kept.append(b"".join([*left, raw[at:]]))
             n_bytes.append(len(raw))
             n_removed.append(len(raw) - len(kept[-1]))
-            removed.append([{"start": a, "end": b} for a, b in own])
-        return pa.record_batch([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, spans_kind), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "removed", "kept"])
+            removed.append([{"start": a, "end": b} for a, b in spans])
+        return pa.record_batch([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, spans_kind), pa.array(kept, pa.binary())], names=schema.names)
+
+    return map_slices(own, run, schema)
+
 
-    return map_slices(joined, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+def union(start: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Disjoint spans of tokens covered by n windows from each start, given in the order of start."""
+    start = start.astype(np.int64)
+    reach = np.maximum.accumulate(start + n + window - 1)
+    cut = np.flatnonzero(start[1:] > reach[:-1]) + 1
+    return list(zip(start[np.concatenate(([0], cut))].tolist(), reach[np.concatenate((cut - 1, [len(start) - 1]))].tolist(), strict=True))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 #: Rows and bytes of text a task handles at once, so that memory follows these and not the size of a partition.
-SLICE, SLICE_BYTES = 256, 1 << 20
+SLICE, SLICE_BYTES = 1024, 1 << 18
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,7 +31,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             at = to
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
     """Apply fn to small slices of each Arrow batch, the second column being the text; a narrow operation."""
 
     def run(batches):
@@ -41,9 +44,11 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share; a local one only where the cluster names none and is this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sheafline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -79,23 +84,114 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen lately; the number kept is bounded."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows doc (long, in the order of the ids) and text with an id, and a table doc, id where ids are no integers.
 
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    Integers are their own numbers. Other ids are sorted and numbered once, in a written table.
+    """
+    kind = docs.schema[id_col].dataType
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text")
+    if isinstance(kind, IntegralType):
+        return docs.select(own.cast("long").alias("doc"), text).filter("doc is not null"), None
+    names = docs.select(own.alias("id")).filter("id is not null").distinct().orderBy("id")
+    names = written(names.select(F.monotonically_increasing_id().alias("doc"), "id"), "ids")
+    return docs.select(own.alias("id"), text).join(names, "id").select("doc", "text"), names
+
+
+def by_id(docs: DataFrame, id_col: str, found: DataFrame, names: DataFrame | None) -> DataFrame:
+    """docs with the columns of found (one row for each doc) beside them, null where there is none; doc itself goes."""
+    if names is not None:
+        found = found.join(names, "doc").drop("doc")
+    else:
+        found = found.withColumnRenamed("doc", "id")
+    found = found.withColumnRenamed("id", "__id")
+    return docs.join(found, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with a table that holds each key once, with the number of rows that the key may have in column weight.
+
+    Fewer than SHARES keys can have more than total / SHARES rows each; these are broadcast, so that no task gets all
+    rows of one. Other keys are shuffled.
+    """
+    hot = F.col(weight) > max(1, total // SHARES)
+    few, rest = table.filter(hot), table.filter(~hot)
+    left = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(few), keys).unionByName(left)
+
+
+SHARES = 1024
+
+
+class Words(NamedTuple):
+    """Words of a slice of texts: the texts' bytes in one line, where words begin and end there, words by text, 64-bit hashes."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in one line, and where each begins (and the last ends); null is empty."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_binary())
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    line = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data is not None else np.empty(0, np.uint8)
+    return line, places - places[0]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def words_in(column: pa.Array, lower: bool = False) -> Words:
+    """Maximal runs of anything but space and U+0009 to U+000D in each text."""
+    data, places = bytes_of(column)
+    if lower:
+        data = LOWER[data]
+    word = ~_SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edges = places[1:-1][(places[1:-1] > 0) & (places[1:-1] < len(data))]  # words do not run on into the next text
+    first[edges] = word[edges]
+    last[edges - 1] = word[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(data, starts, ends, np.diff(np.searchsorted(starts, places)), span_hashes(data, starts, ends))
+
+
+#: Bytes hashed at once; words of more than LONG bytes are hashed by xxhash, one by one.
+_BLOCK, LONG = 1 << 17, 256
+_RNG = np.random.default_rng(7)
+_BYTE = _RNG.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(_BLOCK, _BASE, np.uint64), dtype=np.uint64)
+_INVERSE = np.cumprod(np.full(_BLOCK, pow(_BASE, -1, 2**64), np.uint64), dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of bytes: polynomials over a random value for each byte, from running sums."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + _BLOCK, "right")))
+        if ends[to - 1] - begin <= _BLOCK:
+            line = _BYTE[data[begin : ends[to - 1]]]
+            line *= _POWERS[: len(line)]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(line, dtype=np.uint64)))
+            a = starts[at:to] - begin
+            out[at:to] = (sums[ends[at:to] - begin] - sums[a]) * _INVERSE[a]
+        at = to
+    out = mix(out)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:

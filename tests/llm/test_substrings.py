@@ -64,10 +64,9 @@ def test_words_with_repeated_rows_and_null_ids(spark, empty):
     assert wd.substring_dedup(empty).count() == 0 and sd.suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("indexed", [64, 1])
-def test_bytes_equal_brute_force(docs, plain, indexed, monkeypatch):
-    monkeypatch.setattr(sd, "INDEXED_RUNS", indexed)
-    rows = sd.suffix_dedup(docs).collect()
+@pytest.mark.parametrize("together", [64, 1])
+def test_bytes_equal_brute_force(docs, plain, together):
+    rows = sd.suffix_dedup(docs, together=together).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in rows} == brute_bytes(plain, 50) and len(rows) == len(plain)
 
 
@@ -87,6 +86,5 @@ def test_index_finds_all_long_matches():
         pieces = [bytes(r.choice(b"abc") for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(1, 12))]
         docs = np.array([r.randrange(5) for _ in pieces])
         window = r.randrange(2, 6)
-        for i, ranges in enumerate(sd.late_windows(pieces, docs, window)):
-            want = {a for a in range(len(pieces[i]) - window + 1) if any(docs[j] < docs[i] and pieces[i][a : a + window] in p for j, p in enumerate(pieces))}
-            assert {a + x for a, n in ranges for x in range(n)} == want
+        got = {(i, a + x) for i, a, n in zip(*(c.tolist() for c in sd.late_windows(pieces, docs, window)), strict=True) for x in range(n)}
+        assert got == {(i, a) for i in range(len(pieces)) for a in range(len(pieces[i]) - window + 1) if any(docs[j] < docs[i] and pieces[i][a : a + window] in p for j, p in enumerate(pieces))}
