@@ -14,8 +14,9 @@ loosely similar copies are settled without comparing all their pairs.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing; texts of fewer words than a
 shingle are one shingle; ties go to the smallest id; rows with equal ids count as one document; rows with a null id are
-linked with nothing, have a null component and are kept; an empty table gives an empty result; columns other than the
-id and the text are not read.
+linked with nothing, have a null component and are kept; ids that are no integers are numbered in their order; a text
+of any length is one set, held whole by its task; an empty table gives an empty result; columns other than the id and the
+text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,24 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import bits_of, has_bit
-from .tasks import gram_hashes, map_slices, mix, word_hashes, written
+from .tasks import discard, gram_hashes, join_hot, map_slices, mix, numbered, words_in, written
 
 SHINGLE, LEAST_PERCENT = 3, 85
 PERMUTATIONS, BANDS = 48, 24
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; a text of fewer words is one shingle, one without words none."""
-    words = text.encode().translate(LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(word_hashes(words), min(shingle, len(words))))
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each text; one of fewer words is one shingle, one without words none."""
+    words = words_in(texts, lower=True)
+    grams = gram_hashes(words.hashes, shingle)
+    ends = np.cumsum(words.lengths)
+    out = []
+    for end, n in zip(ends.tolist(), words.lengths.tolist(), strict=True):
+        own = grams[end - n : end - shingle + 1] if n >= shingle else gram_hashes(words.hashes[end - n : end], n) if n else grams[:0]
+        out.append(np.unique(own))
+    return out
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -65,44 +68,31 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def sets(rows: DataFrame, shingle: int) -> DataFrame:
     """doc, n_shingles, digest of the set (s1, s2) and band keys of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+        found = shingle_sets(part.column(1), shingle)
         both = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found), "<i8").reshape(-1, 2)
         bands = np.stack([band_keys(signature(x)) for x in found]).view(np.int64)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
         return pa.record_batch([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), keys], names=["doc", "n", "s1", "s2", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_col)
     return map_slices(rows, run, "doc long, n long, s1 long, s2 long, bands array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc and text of the documents in ids (column key, written), found by a bitmap without a shuffle; some others too."""
-    bitmap = bits_of(ids)
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        return part.filter(pa.array(has_bit(bitmap.value, doc)))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    return written(map_slices(rows, run, "doc long, text string"), "candidates")
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
     return left.join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("b", "text_b", "a", "text_a")
 
 
 def _each_pair(part: pa.RecordBatch, shingle: int):
-    """a, b and their full sets; the set of b is kept while b stays the same."""
-    last, own = None, None
-    for b, text_b, a, text_a in zip(*(c.to_pylist() for c in part.columns), strict=True):
-        if own is None or b != last:
-            last, own = b, shingle_set(text_b, shingle)
-        yield a, b, shingle_set(text_a, shingle), own
+    """a, b and their full sets, from columns b, text_b, a, text_a; rows with one b lie together and its set is made once."""
+    b = part.column(0).to_numpy()
+    new = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    own = shingle_sets(part.column(1).take(pa.array(new)), shingle)
+    of = np.cumsum(np.concatenate(([False], b[1:] != b[:-1])))
+    yield from zip(part.column(2).to_pylist(), b.tolist(), shingle_sets(part.column(3), shingle), (own[i] for i in of.tolist()), strict=True)
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -134,33 +124,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, n_shingles and component (the smallest id linked with the row, itself included) of each row."""
-    every = written(sets(docs, shingle, id_col, text_col), "sets")
-    full = every.filter("n > 0 and doc is not null")
-    classes = written(full.groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
+def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
+    """doc, n_shingles and component (the smallest doc linked with the row, itself included) of rows doc, text."""
+    every = written(sets(rows, shingle), "sets")
+    full = every.filter("n > 0")
+    classes = written(full.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")), "classes")
     members = full.join(classes.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "pivot")
-    buckets = written(members.join(buckets, "key").distinct(), "buckets")
-    texts = texts_of(docs, written(buckets.select(F.col("doc").alias("key")).distinct(), "candidate-ids"), id_col, text_col)
-    stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = written(join_hot(members, written(buckets, "shared-buckets"), ["key"], "size", members.count()).select("doc", "pivot").distinct(), "buckets")
+    ids = buckets.select("doc").distinct()
+    texts = written(rows.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "candidates")
+    stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     stars = written(compared(stars, texts, shingle), "stars")
     links = stars.filter(similar(percent)).select("a", "b")
     rest = _rest(stars, components(links), texts, shingle, percent)
     more = written(compared(rest, texts, shingle).filter(similar(percent)).select("a", "b"), "more-links")
     found = components(links.unionByName(more))
-    own = every.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    out = own.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
-    linked = F.when(F.col("n") > 0, F.coalesce("component", "rep"))
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce(linked, F.col("doc"))).alias("component"))
+    own = every.select("doc", "n", "s1", "s2").filter("n > 0")
+    own = join_hot(own, classes, ["s1", "s2"], "times", own.count()).join(found.withColumnRenamed("doc", "rep"), "rep", "left")
+    out = own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+    empty = every.filter("n = 0").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component"))
+    out = written(out.unionByName(empty), "near-duplicates")
+    discard(every, classes, buckets, texts, stars, more)
+    return out
 
 
 def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs a, b of different components and one first member (pivot) that may be linked, by the bound on what they can share."""
     rows = stars.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), F.col("n_a").alias("n"), "shared")
     rows = rows.join(found, "doc", "left").select("pivot", "doc", "n", "shared", F.coalesce("component", "doc").alias("component"))
-    mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("pivot")
-    rows = written(rows.join(mixed, "pivot"), "mixed-groups")
+    rows = written(rows, "grouped")
+    mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    mixed = written(mixed.filter("low < high").drop("low", "high"), "mixed")
+    rows = written(join_hot(rows, mixed, ["pivot"], "size", rows.count()), "mixed-groups")
 
     def outside(part: pa.RecordBatch) -> pa.RecordBatch:
         own = [(a, b, np.setdiff1d(x, y, assume_unique=True)) for a, b, x, y in _each_pair(part, shingle)]
@@ -172,14 +168,15 @@ def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, pe
     residue = map_slices(_with_texts(pairs, texts), outside, "pivot long, doc long, shingle long")
     residue = written(residue, "residue")
     common = residue.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    smallest = rows.groupBy("pivot").agg(F.min("n").alias("least"))
-    least = f"greatest(least, ceil({percent} * n / 100))"  # size of the smallest set that a link can have
-    needed = F.expr(f"cast(greatest(1, ceil({percent} * (n + {least}) / {100 + percent}) - shared) as int)").alias("needed")
-    named = rows.join(smallest, "pivot").select("pivot", "doc", "component", needed)
+    smallest = f"greatest(least, ceil({percent} * n / 100))"  # size of the smallest set that a link can have
+    needed = F.expr(f"cast(greatest(1, ceil({percent} * (n + {smallest}) / {100 + percent}) - shared) as int)").alias("needed")
+    named = rows.select("pivot", "doc", "component", needed)
     frequent = Window.partitionBy("pivot", "doc").orderBy(F.desc("df"), F.desc("shingle"))
-    named = residue.join(common, ["pivot", "shingle"]).join(named, ["pivot", "doc"]).withColumn("at", F.row_number().over(frequent)).filter("at >= needed")
-    named = written(named.select("pivot", "shingle", "doc", "component"), "needed-residue")
-    sides = [rows.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "shared", "component")]) for x in "ab"]
+    named = join_hot(residue, written(common, "common-residue"), ["pivot", "shingle"], "df", residue.count()).join(named, ["pivot", "doc"])
+    named = written(named.withColumn("at", F.row_number().over(frequent)).filter("at >= needed").select("pivot", "shingle", "doc", "component"), "needed-residue")
+    # only what may be linked with a set of the least size that still allows it, sharing no more than it shares with the pivot
+    able = rows.filter(similar(percent).replace("n_a + n_b", f"n + {smallest}"))
+    sides = [able.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "shared", "component")]) for x in "ab"]
     apart = F.expr("doc_a > doc_b and component_a <> component_b")
     inside = "least(shared_a, shared_b)"  # of the pivot's shingles
     near = sides[0].join(sides[1], [sides[0]["pivot"] == sides[1]["pivot"], apart, F.expr(similar(percent, inside))]).select("doc_a", "doc_b")
@@ -190,13 +187,29 @@ def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, pe
 
 def keep_one(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs but those linked, directly or through others, with a smaller id."""
-    near = near_duplicates(docs, shingle, percent, id_col, text_col).filter("doc <> component").select("doc").distinct()
-    return docs.join(near, docs[id_col] == near["doc"], "left_anti")
+    rows, names = numbered(docs, id_col, text_col)
+    near = near_duplicates(rows, shingle, percent).filter("doc <> component").select("doc").distinct()
+    near = (near if names is None else near.join(names, "doc").select("id")).toDF("__id")
+    return docs.join(near, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+
+
+def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles and component_id (the smallest id linked with the row) of each row; those with a null id have a null component."""
+    rows, names = numbered(docs, id_col, text_col)
+    found = near_duplicates(rows, shingle, percent)
+    lost = map_slices(docs.filter(F.col(f"`{id_col}`").isNull()).select(F.lit(0).cast("long").alias("doc"), F.col(f"`{text_col}`")), lambda part: pa.record_batch([pa.array([len(x) for x in shingle_sets(part.column(1), shingle)], pa.int64())], names=["n"]), "n long")
+    kind = docs.schema[id_col].dataType
+    if names is None:
+        out = found.select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"))
+    else:
+        heads = names.withColumnsRenamed({"doc": "component", "id": "component_id"})
+        out = found.join(names, "doc").join(heads, "component").select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    return out.unionByName(lost.select(F.lit(None).cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id")))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    out = minhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 OP3_SQL = r"""

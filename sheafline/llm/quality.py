@@ -3,7 +3,9 @@
 Every rule is evaluated once per row: the ledger keeps the measurements and one bit per failed rule. Policies are
 versioned masks over the bits, and ablations are bitwise aggregations of the ledger, so neither reads texts again.
 Null and empty texts have zero measurements and fail the rule on the number of words; repeated rows are judged one by
-one; an empty table gives an empty ledger; columns other than the id and the text are not read.
+one, so there are no ties; ids of any type, and null ones, pass through; a text of any length is measured whole; an empty
+table gives an empty ledger; columns other than the id and the text are not read by the ledger, and keep_good keeps them
+under their own names, whatever these are.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .tasks import gram_hashes, map_slices, mix, word_hashes
+from .tasks import Words, gram_hashes, map_slices, mix, slices, words_in
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -54,16 +57,15 @@ def mask(policy: str) -> int:
     return sum(1 << bits[name] for name in POLICIES[policy])
 
 
-def _repeat_words(words: list[list[bytes]]) -> list[int]:
+def _repeat_words(words: Words) -> list[int]:
     """For each text, its words inside windows of REPEAT_WINDOW words that the text has at least twice."""
-    lengths = np.array([len(w) for w in words])
-    out = [0] * len(words)
-    flat = [w for ws in words for w in ws]
-    if len(flat) < REPEAT_WINDOW:
+    lengths = words.lengths
+    out = [0] * len(lengths)
+    grams = gram_hashes(words.hashes, REPEAT_WINDOW)
+    if not len(grams):
         return out
-    grams = gram_hashes(word_hashes(flat), REPEAT_WINDOW)
     ends = np.cumsum(lengths)
-    doc = np.repeat(np.arange(len(words)), lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     starts = np.flatnonzero(doc[: len(grams)] == doc[REPEAT_WINDOW - 1 :])
     key = mix(grams[starts] + doc[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
@@ -72,10 +74,11 @@ def _repeat_words(words: list[list[bytes]]) -> list[int]:
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     hits = starts[twice]
     for d in np.unique(doc[hits]).tolist():
-        at = (hits[doc[hits] == d] - (ends[d] - lengths[d])).tolist()
-        seen: dict[tuple, list[int]] = {}
-        for s in at:  # equal hashes are compared word by word
-            seen.setdefault(tuple(words[d][s : s + REPEAT_WINDOW]), []).append(s)
+        first = int(ends[d] - lengths[d])
+        seen: dict[bytes, list[int]] = {}
+        for s in hits[doc[hits] == d].tolist():  # equal hashes are compared word by word
+            own = b" ".join(words.data[words.starts[i] : words.ends[i]].tobytes() for i in range(s, s + REPEAT_WINDOW))
+            seen.setdefault(own, []).append(s - first)
         inside = np.zeros(lengths[d] + 1, np.int64)
         for places in seen.values():
             if len(places) > 1:
@@ -87,13 +90,13 @@ def _repeat_words(words: list[list[bytes]]) -> list[int]:
 
 def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     texts = [t or "" for t in part.column(1).to_pylist()]
-    words = [t.encode().split() for t in texts]
+    words = words_in(part.column(1))
     dup = []
     for t in texts:
         lines = [x for x in t.split("\n") if x.strip(BLANKS)]
         dup.append(len(lines) - len(set(lines)))
     measures = [
-        [len(w) for w in words],
+        words.lengths,
         [len(t) - sum(map(t.count, BLANKS)) for t in texts],
         [sum(map(t.count, SYMBOLS)) for t in texts],
         dup,
@@ -111,8 +114,8 @@ def fail_bits() -> Column:
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measurements and fail_bits of each row; a narrow operation."""
-    kind = df.select(id_col).schema[0].dataType.simpleString()
-    out = map_slices(df.select(id_col, text_col), _measure, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    out = map_slices(rows, _measure, StructType([rows.schema[0], *(StructField(m, LongType()) for m in MEASURES)]))
     return out.withColumn("fail_bits", fail_bits())
 
 
@@ -135,10 +138,22 @@ def ablation(led: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_good(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """Rows that the policy keeps, with all their columns."""
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kept = ledger(row, "row", "text").filter(passes(policy))
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    """Rows that the policy keeps, with all their columns; measurements are put beside the rows, so nothing is joined or shuffled."""
+    at = df.columns.index(text_col)
+    plain = [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]  # names that clash with no measurement
+    schema = StructType([*plain, *(StructField(m, LongType()) for m in MEASURES)])
+
+    def run(batches):
+        for batch in batches:
+            two = pa.record_batch([batch.column(at), batch.column(at)], names=["id", "text"])
+            done = 0
+            for part in slices(iter([two])):
+                own = batch.slice(done, part.num_rows)
+                done += part.num_rows
+                yield pa.record_batch([*own.columns, *_measure(part).columns[1:]], names=schema.names)
+
+    kept = df.mapInArrow(run, schema).withColumn("fail_bits", fail_bits()).filter(passes(policy))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -46,15 +46,15 @@ def test_components_equal_all_pairs(spark, shingle, percent):
     ids = r.sample(range(1000), len(texts))
     plain = dict(zip(ids, texts, strict=True))
     df = spark.createDataFrame(list(plain.items()), "doc_id long, text string").repartition(3)
-    rows = mh.near_duplicates(df, shingle, percent).collect()
-    assert {x.doc: (x.n_shingles, x.component) for x in rows} == brute(plain, shingle, percent) and len(rows) == len(plain)
+    rows = mh.minhash_dedup(df, shingle, percent).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == brute(plain, shingle, percent) and len(rows) == len(plain)
 
 
 def test_edge_cases(spark, docs, empty, plain):
-    assert {x.doc: (x.n_shingles, x.component) for x in mh.near_duplicates(docs).collect()} == brute(plain, 3, 85)
-    assert mh.near_duplicates(empty).count() == 0
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in mh.minhash_dedup(docs).collect()} == brute(plain, 3, 85)
+    assert mh.minhash_dedup(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (7, "a b c d"), (8, None)], "doc_id long, text string")
-    got = sorted((x.doc or 0, x.n_shingles, x.component) for x in mh.near_duplicates(df).collect())
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id) for x in mh.minhash_dedup(df).collect())
     assert got == [(0, 2, None), (3, 2, 3), (3, 2, 3), (7, 2, 3), (8, 0, 8)]
     kept = mh.keep_one(df, 5, 80)
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["3", "3", "8", "None"] and kept.columns == df.columns
