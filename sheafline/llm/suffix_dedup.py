@@ -37,7 +37,7 @@ ANCHOR = 17
 #: Pieces of one anchor that are indexed together; pieces of anchors with more are indexed window by window.
 TOGETHER = 64
 #: Bytes in one index, and bytes of pieces that a task gathers before it sends them.
-BLOCK_BYTES, SENT_BYTES = 1 << 20, 8 << 20
+BLOCK_BYTES, SENT_BYTES = 1 << 17, 8 << 20
 
 
 def _grams(have: np.ndarray) -> np.ndarray:
@@ -53,32 +53,34 @@ def _tokenise(column: pa.Array):
     return lambda a, b: _grams(data[a:b]), np.diff(places)
 
 
-def suffix_array(text: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by prefix doubling; suffixes end at separators, which differ and sort by their place."""
+def _order(rank: np.ndarray, ahead: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places own in the order of (rank, ahead), and which of them differ from the one before; numbers have at most width bits."""
+    if 3 * width <= 63:  # all three in one integer, which sorts much faster than an index
+        key = np.sort(rank << 2 * width | ahead << width | own)
+        return key & ((1 << width) - 1), np.concatenate(([True], key[1:] >> width != key[:-1] >> width))
+    sort = np.lexsort((ahead, rank))
+    rank, ahead = rank[sort], ahead[sort]
+    return own[sort], np.concatenate(([True], (rank[1:] != rank[:-1]) | (ahead[1:] != ahead[:-1])))
+
+
+def suffix_array(text: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Order of all suffixes by prefix doubling; suffixes end at separators (255), which differ and sort by their place."""
     n = len(text)
-    end = ends[piece]
     at = np.arange(n)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    packed = np.zeros(n, np.uint64)
-    for i in range(8):
-        packed = packed << np.uint64(8) | np.where(at + i <= end, padded[i : n + i], np.uint64(0))
-    tie = np.where(end < at + 8, piece + 1, 0)
-    order = np.lexsort((tie, packed))
-    new = np.concatenate(([True], (packed[order][1:] != packed[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
-    rank = np.empty(n, np.int64)
+    rank = np.where(text == 255, 256 + piece, text)
+    width = max(n, 256 + int(piece[-1]) + 1).bit_length()
+    order, new = _order(rank, np.append(rank[1:], 0), at, width)
     rank[order] = np.maximum.accumulate(np.where(new, at, 0)) + 1
-    h = 8
+    h = 2
     while h < n:
         open_ = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))  # places in the order that still tie with others
         if not len(open_):
             break
         own = order[open_]
         ahead = np.where(own + h < n, rank[np.minimum(own + h, n - 1)], 0)
-        key = rank[own] * (n + 1) + ahead
-        sort = np.argsort(key)
-        order[open_] = own[sort]
-        new[open_] = np.concatenate(([True], key[sort][1:] != key[sort][:-1]))
-        rank[order[open_]] = np.maximum.accumulate(np.where(new[open_], open_, 0)) + 1
+        own, new[open_] = _order(rank[own], ahead, own, width)
+        order[open_] = own
+        rank[own] = np.maximum.accumulate(np.where(new[open_], open_, 0)) + 1
         h *= 2
     return order
 
@@ -91,7 +93,7 @@ class RunIndex:
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         self.ends = ends = np.cumsum(self.sizes) - 1
         self.piece = piece = np.repeat(np.arange(len(pieces)), self.sizes)
-        order = suffix_array(text, piece, ends)
+        order = suffix_array(text, piece)
         before = text[order - 1].astype(np.int64)
         apart = before == 255
         before[apart] = 256 + piece[order - 1][apart]  # separators differ
