@@ -1,11 +1,16 @@
 """WARC archives as seekable Zstandard bundles.
 
-Each record is an independent Zstandard frame; a bundle ends with a seek table in a skippable frame (the published
-seekable format: compressed and decompressed size of each frame), and an index maps record ids to bundle, frame and
-offsets. Bundles are binary values of bounded size in a written table, so any store that Spark reaches can hold them.
-Null and empty payloads are response records of no bytes; payloads shorter than `least` are never revisits; among
-equal payloads the largest id is the response; columns other than those named are not read; an empty table gives no
-bundles. Ids are taken to be unique: repeated rows get a record each.
+Records are grouped into frames of about FRAME_BYTES, each an independent Zstandard frame; a bundle ends with a seek table in
+a skippable frame (the published seekable format: compressed and decompressed size of each frame). The index maps each
+record's id to its bundle and frame and to its offset and length inside the decompressed frame; archives are read through
+it, whole or record by record. Bundles are binary values of bounded size in a written table, so any store that Spark
+reaches can hold them.
+
+Null and empty payloads are response records of no bytes; payloads shorter than `least` are never revisits; among equal
+payloads the largest id is the response, so there are no ties; pages with a null id are responses and are never referred
+to; ids are taken to be unique, repeated rows get a record each; a payload of any length is one record in a frame of its
+own, held whole by its task; an empty table gives no bundles; columns other than those named are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import written
+from .tasks import join_hot, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES, FRAME_BYTES = 4 << 20, 64 << 10
 LEAST_REVISIT = 1000
 
 
@@ -41,13 +46,13 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int]]:
     return list(struct.iter_unpack("<II", bundle[at : at + 8 * n]))
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
     """A WARC/1.1 record; a revisit has no payload but the digest and length of the whole one."""
     block = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -70,106 +75,127 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.removeprefix("<urn:page:").rstrip(">")) if urn else None
+    number = urn.removeprefix("<urn:page:").rstrip(">") if urn else ""
+    return int(number) if number else None
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, payload, sha1, refers_to. Only digests are shuffled to find equal payloads."""
+    """page_id, url, payload, sha1, refers_to. Only ids and digests are shuffled to find equal payloads, and ids to mark revisits."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     digests = rows.filter(F.octet_length("payload") >= least).select("page_id", F.sha2("payload", 256).alias("key"))
-    groups = digests.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "last")
-    groups = written(groups, "warc-revisits")  # its size is known from here on: Spark broadcasts it only where it is small
-    keyed = rows.withColumn("sha1", F.sha1("payload")).withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    joined = keyed.join(groups, "key", "left")
-    return joined.select("page_id", "url", "payload", "sha1", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
+    digests = written(digests.filter("page_id is not null"), "warc-digests")
+    groups = digests.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    revisits = join_hot(digests, written(groups, "warc-groups"), ["key"], "n", digests.count()).filter("page_id <> last")
+    revisits = written(revisits.select("page_id", "key", F.col("last").alias("refers_to")).distinct(), "warc-revisits")
+    keyed = rows.withColumns({"sha1": F.sha1("payload"), "key": F.when(F.octet_length("payload") >= least, F.sha2("payload", 256))})
+    # joined by id as well, so that a frequent payload is no frequent key
+    return keyed.join(revisits, ["page_id", "key"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
 
 
-def write_bundles(rows: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """bundle (name) and data of each archive, written once to the shared folder."""
+ENTRIES = "array<struct<page_id:long,frame:int,offset:long,length:long,raw_length:long,inner:long,size:long>>"
+ENTRY = ("page_id", "frame", "offset", "length", "raw_length", "inner", "size")
+
+
+def write_bundles(rows: DataFrame, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """bundle (name), data and entries (the index) of each archive, written once to the shared folder."""
+    kind = pa.list_(pa.struct([(c, pa.int32() if c == "frame" else pa.int64()) for c in ENTRY]))
 
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=3, write_content_size=True)
         frames: list[bytes] = []
         sizes: list[tuple[int, int]] = []
-        held = 0
+        entries: list[dict] = []
+        open_: list[tuple[int, bytes]] = []  # ids and records of the frame that is being filled
+        held = filled = 0
+
+        def close_frame():
+            nonlocal held, filled
+            frames.append(compressor.compress(b"".join(r for _, r in open_)))
+            inner = 0
+            for page, r in open_:
+                entries.append(dict(zip(ENTRY, (page, len(sizes), held, len(frames[-1]), filled, inner, len(r)), strict=True)))
+                inner += len(r)
+            sizes.append((len(frames[-1]), filled))
+            held += len(frames[-1])
+            open_.clear()
+            filled = 0
 
         def close():
             nonlocal held
             data = b"".join([*frames, seek_table(sizes)])
             name = f"{uuid.UUID(bytes=hashlib.sha256(data).digest()[:16])}.warc.zst"
-            frames.clear()
-            sizes.clear()
+            out = pa.record_batch([pa.array([name]), pa.array([data], pa.binary()), pa.array([entries], kind)], names=["bundle", "data", "entries"])
+            for x in (frames, sizes, entries):
+                x.clear()
             held = 0
-            return pa.record_batch([pa.array([name]), pa.array([data], pa.binary())], names=["bundle", "data"])
+            return out
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for r in batch.slice(at, 256).to_pylist():
-                    raw = record(r["page_id"], r["url"], r["payload"], r["refers_to"], r["sha1"])
-                    frames.append(compressor.compress(raw))
-                    sizes.append((len(frames[-1]), len(raw)))
-                    held += len(frames[-1])
-                    if held >= bundle_bytes:
-                        yield close()
+                    open_.append((r["page_id"], record(r["page_id"], r["url"], r["payload"], r["refers_to"], r["sha1"])))
+                    filled += len(open_[-1][1])
+                    if filled >= frame_bytes:
+                        close_frame()
+                        if held >= bundle_bytes:
+                            yield close()
+        if open_:
+            close_frame()
         if frames:
             yield close()
 
-    return written(rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(run, "bundle string, data binary"), "warc")
+    rows = rows.select("page_id", "url", "payload", "sha1", "refers_to")
+    return written(rows.mapInArrow(run, f"bundle string, data binary, entries {ENTRIES}"), "warc")
 
 
 def index(bundles: DataFrame) -> DataFrame:
-    """page_id, bundle, frame, offset and length of the frame in the bundle, and its decompressed length."""
-    return _each_frame(bundles, lambda r: r[0], "page_id long, bundle string, frame int, offset long, length long, raw_length long")
+    """page_id, bundle, frame, offset and length of the frame in the bundle, its decompressed length, and offset and size of the record inside it."""
+    return bundles.select("bundle", F.explode("entries").alias("e")).select("e.page_id", "bundle", *[f"e.{c}" for c in ENTRY[1:]])
 
 
-def read_records(bundles: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to, url, payload_bytes, payload_digest and block of each record."""
-    return _each_frame(bundles, lambda r: r[1], "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, block binary")
+RECORDS = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, block binary"
 
 
-def _each_frame(bundles: DataFrame, pick, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+def _records(rows: DataFrame) -> DataFrame:
+    """The records that rows of bundle, data and entries ask for; only their frames are decompressed, one at a time."""
+    kinds = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("block", pa.binary())])
 
     def run(batches):
         reader = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                rows, at = [], 0
-                for frame, (size, raw_size) in enumerate(read_seek_table(data)):
-                    fields, block = parse(reader.decompress(data[at : at + size], max_output_size=raw_size))
+                name, data, entries = (c[i].as_py() for c in batch.columns)
+                sizes = read_seek_table(data)
+                rows, frame, raw = [], None, b""
+                for e in sorted(entries, key=lambda e: (e["frame"], e["inner"])):
+                    if e["frame"] != frame:
+                        frame = e["frame"]
+                        if sizes[frame] != (e["length"], e["raw_length"]):
+                            raise ValueError(f"index and seek table of {name} differ")
+                        raw = reader.decompress(data[e["offset"] : e["offset"] + e["length"]], max_output_size=e["raw_length"])
+                    fields, block = parse(raw[e["inner"] : e["inner"] + e["size"]])
                     page, digest = _page(fields["WARC-Record-ID"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
+                    if page != e["page_id"] or fields["WARC-Type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
                         raise ValueError(f"record of page {page} in {name} is damaged")
-                    rows.append(pick((
-                        (page, name, frame, at, size, raw_size),
-                        (page, fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], int(fields["WARC-Payload-Length"]), digest, block),
-                    )))
-                    at += size
+                    rows.append((page, fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], int(fields["WARC-Payload-Length"]), digest, block))
                     if len(rows) >= 256:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
                         rows = []
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return bundles.select("bundle", "data").mapInArrow(run, schema)
+    return rows.select("bundle", "data", "entries").mapInArrow(run, RECORDS)
 
 
-def read_at(bundles: DataFrame, found: DataFrame) -> DataFrame:
-    """Records of the index rows found, each decompressed from its own frame only."""
-    place = found.select("page_id", "bundle", "offset", "length", "raw_length")
-    frames = place.join(bundles, "bundle").select("page_id", "raw_length", F.expr("substring(data, int(offset) + 1, int(length))").alias("frame"))
+def read_records(bundles: DataFrame) -> DataFrame:
+    """page_id, record_type, refers_to, url, payload_bytes, payload_digest and block of each record, through the index of each bundle."""
+    return _records(bundles)
 
-    def run(batches):
-        reader = zstandard.ZstdDecompressor()
-        for batch in batches:
-            raw = [reader.decompress(f, max_output_size=n) for f, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], names=["page_id", "record"])
 
-    return frames.mapInArrow(run, "page_id long, record binary")
+def read_at(bundles: DataFrame, found: DataFrame) -> DataFrame:
+    """The records of the index rows found, each from its own frame only; a bundle is read once for all of its records."""
+    asked = found.groupBy("bundle").agg(F.collect_list(F.struct(*ENTRY)).alias("entries"))  # at most what one bundle holds
+    return _records(bundles.select("bundle", "data").join(asked, "bundle"))
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
