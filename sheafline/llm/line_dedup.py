@@ -1,14 +1,16 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-Each line has a 60-bit hash; a rolling hash over the last ROLL lines ends a chunk where it is divisible by DIVISOR, so
-boundaries depend on nearby lines only and shift with them. Chunks of at least two lines with content that occur again
-anywhere in the table are removed wherever they are not first (smallest id, then smallest place), after their bytes
-have been compared with the first one's. Chunks of one line stay, however common.
+Each line has a 60-bit hash; a hash that rolls over the last two lines with content ends a chunk after a line whose own
+hash is divisible by DIVISOR while that of the line before is not, so boundaries depend on two lines only and shift
+with them, and every chunk but a text's last one holds at least two lines with content. Chunks of at least two such lines
+that occur again anywhere in the table are removed wherever they are not first (smallest id, then smallest place), after
+their bytes have been compared with the first one's. Lines outside such chunks stay, however common: those of a shared
+passage before its first boundary and after its last one, and a last line that is a chunk of its own.
 
 Null texts stay null, with no lines; empty texts are one blank line; ties cannot occur, as places differ; rows with
 equal ids count as one document; rows with a null id are kept whole and are nobody's first; an empty table gives an
-empty result; a chunk whose 64-bit hash equals another's by chance is kept. Columns of the input pass through
-line_dedup under their own names; working columns live in tables that hold ids and chunks only.
+empty result; a chunk whose 64-bit hash equals another's by chance is kept; a text of any length is cut within its row.
+Columns of the input pass through line_dedup under their own names, also those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import written
+from .tasks import discard, join_hot, written
 
-ROLL, DIVISOR = 3, 3
-BLANK = r"^[\\x20\\x09-\\x0D]*$"
+DIVISOR = 3
+BLANK = r"^[\x20\x09-\x0D]*$"
 
 
 def lines_of(text: Column) -> Column:
@@ -28,15 +30,13 @@ def lines_of(text: Column) -> Column:
 
 def chunk_ends(lines: Column) -> Column:
     """1-based numbers of the last line of each chunk."""
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long"))
-
-    def ends(h: Column) -> Column:
-        before = lambda i, k: F.when(i > k, F.shiftleft(F.get(h, i - 1 - k), k)).otherwise(F.lit(0).cast("long"))
-        rolled = lambda i: F.get(h, i - 1).bitwiseXOR(before(i, 1)).bitwiseXOR(before(i, 2))
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (rolled(i) % DIVISOR == 0))
-
+    ends = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long") % DIVISOR == 0
+    # number of the line and whether its hash would end a chunk, for lines with content
+    filled = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(BLANK), F.struct((i + 1).alias("at"), ends(x).alias("ends")))), lambda x: x.isNotNull())
+    rolled = lambda f: F.filter(f, lambda x, j: (j > 0) & x["ends"] & ~F.get(f, F.greatest(j - 1, F.lit(0)))["ends"])
     # bound once by a lambda over an array of one, so that lines are not hashed again at each use
-    return F.get(F.transform(F.array(hashes), ends), 0)
+    cuts = F.get(F.transform(F.array(filled), lambda f: F.transform(rolled(f), lambda x: x["at"])), 0)
+    return F.when(lines.isNotNull(), F.concat(F.filter(cuts, lambda e: e < F.size(lines)), F.array(F.size(lines))))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,7 +45,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select("doc", "lines", chunk_ends(F.col("lines")).alias("ends"))
     cut = F.transform("ends", lambda e, k: F.slice("lines", F.when(k == 0, 1).otherwise(F.get("ends", k - 1) + 1), e - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))))
     each = rows.select("doc", F.posexplode(cut).alias("place", "own"))
-    filled = F.size(F.filter("own", lambda x: ~x.rlike(BLANK.replace("\\\\", "\\"))))
+    filled = F.size(F.filter("own", lambda x: ~x.rlike(BLANK)))
     return each.select("doc", "place", F.array_join("own", "\n").alias("text"), F.size("own").alias("n_lines"), filled.alias("filled"))
 
 
@@ -53,13 +53,21 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc, place, n_lines of the chunks that repeat an earlier one byte for byte."""
     chunks = chunked(docs, id_col, text_col).filter("filled >= 2 and doc is not null").withColumn("hash", F.xxhash64("text"))
     # counted without their text; the first place is found among the repeated ones only
-    again = written(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("hash"), "repeated-hashes")
+    again = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    again = written(again, "repeated-hashes")
+    total = again.agg(F.sum("copies")).first()[0] or 0
     # the repeated hashes grow with the table, so the join is planned as it has to run on a large one, whatever their number
-    copies = written(chunks.select("hash", "doc", "place", "text", "n_lines").join(again.hint("merge"), "hash"), "repeated-chunks")
-    first = copies.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"))
-    firsts = copies.select("hash", F.struct("doc", "place").alias("first"), F.col("text").alias("first_text")).distinct().join(first, ["hash", "first"])
-    both = copies.join(firsts, "hash").filter((F.struct("doc", "place") != F.col("first")) & (F.col("text") == F.col("first_text")))
-    return both.select("doc", "place", "n_lines").distinct()
+    copies = join_hot(chunks.select("hash", "doc", "place", "text", "n_lines"), again.hint("merge"), ["hash"], "copies", total)
+    copies = written(copies, "repeated-chunks")
+    first = copies.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    place = [F.col("first.doc").alias("doc"), F.col("first.place").alias("place")]
+    firsts = copies.select("hash", "doc", "place", F.col("text").alias("first_text")).distinct().join(first.select("hash", "copies", *place), ["hash", "doc", "place"])
+    firsts = written(firsts.select("hash", "copies", "first_text", F.col("doc").alias("first_doc"), F.col("place").alias("first_place")), "first-chunks")
+    both = join_hot(copies.drop("copies"), firsts, ["hash"], "copies", total)
+    later = (F.col("doc") != F.col("first_doc")) | (F.col("place") != F.col("first_place"))
+    out = written(both.filter(later & (F.col("text") == F.col("first_text"))).select("doc", "place", "n_lines").distinct(), "later-chunks")
+    discard(again, copies, firsts)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
@@ -67,20 +75,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     drop_emptied: rows that had content and lose all of it go.
     """
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # names that clash with no working column
+    own = dict(zip(docs.columns, columns, strict=True))
+    rows, the_id, the_text = docs.toDF(*columns), F.col(own[id_col]), F.col(own[text_col])
     gone = repeated_chunks(docs, id_col, text_col).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("place").alias("__gone"))
-    lines = lines_of(F.col(text_col))
-    joined = docs.join(gone, docs[id_col] == gone["__doc"], "left").drop("__doc")
+    lines = lines_of(the_text)
+    joined = rows.join(gone, the_id == F.col("__doc"), "left").drop("__doc")
     rebuilt = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines)).withColumn("__ends", F.when(F.col("__gone").isNotNull(), chunk_ends(F.col("__lines"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__ends") - 1), "__gone")
     start = lambda k: F.when(k == 0, 1).otherwise(F.get("__ends", k - 1) + 1)
     left = F.flatten(F.transform(stay, lambda k: F.slice("__lines", start(k), F.get("__ends", k) - start(k) + 1)))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = rebuilt.withColumn("__new", text)
+    out = rebuilt.withColumn("__new", F.when(F.col("__gone").isNull(), the_text).otherwise(F.array_join(left, "\n")))
     if drop_emptied:
-        out = out.filter(F.col("__gone").isNull() | ~F.col("__new").rlike(BLANK.replace("\\\\", "\\")))
-    kinds = dict(docs.dtypes)
-    new = {text_col: F.col("__new")} | ({"n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(kinds["n_chars"]))} if "n_chars" in kinds else {})
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        out = out.filter(F.col("__gone").isNull() | ~F.col("__new").rlike(BLANK))
+    new = {text_col: F.col("__new")}
+    if "n_chars" in own:
+        chars = F.col(own["n_chars"])
+        new["n_chars"] = F.when(F.col("__gone").isNull(), chars).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col(own[c])).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -94,8 +106,9 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 #: Chunks, their first places and what is left, for any table or expression named docs.
 CHUNK_SQL = r"""
 {p}lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs} WHERE text IS NOT NULL),
-{p}hashes AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h FROM {p}lines),
-{p}ends AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR xor(xor(h[i], CASE WHEN i > 1 THEN h[i - 1] << 1 ELSE 0 END), CASE WHEN i > 2 THEN h[i - 2] << 2 ELSE 0 END) % 3 = 0) AS e FROM {p}hashes),
+{p}filled AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_full_match(l[i], '[\x20\x09-\x0D]*')) AS f FROM {p}lines),
+{p}hashes AS (SELECT doc_id, l, f, list_transform(f, lambda i: CAST('0x' || substr(md5(l[i]), 1, 15) AS BIGINT) % 3 = 0) AS h FROM {p}filled),
+{p}ends AS (SELECT doc_id, l, list_append(list_transform(list_filter(range(2, len(f) + 1), lambda j: h[j] AND NOT h[j - 1] AND f[j] < len(l)), lambda j: f[j]), len(l)) AS e FROM {p}hashes),
 {p}chunks AS (SELECT doc_id, k, list_slice(l, CASE WHEN k = 1 THEN 1 ELSE e[k - 1] + 1 END, e[k]) AS c FROM {p}ends, unnest(range(1, len(e) + 1)) AS u(k)),
 {p}ranked AS (SELECT doc_id, k, c, len(list_filter(c, lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*'))) >= 2 AS multi, row_number() OVER (PARTITION BY c, len(list_filter(c, lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*'))) >= 2 ORDER BY doc_id, k) AS n FROM {p}chunks),
 {p}kept AS (SELECT doc_id, bool_or(multi AND n > 1) AS cut, coalesce(string_agg(array_to_string(c, chr(10)), chr(10) ORDER BY k) FILTER (WHERE NOT multi OR n = 1), '') AS s FROM {p}ranked GROUP BY doc_id)

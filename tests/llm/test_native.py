@@ -69,11 +69,13 @@ def brute_lines(plain):
             out[d] = None
             continue
         lines = plain[d].split("\n")
-        hs = [h(x) for x in lines]
-        chunks, start = [], 0
-        for i in range(len(lines)):
-            rolled = hs[i] ^ (hs[i - 1] << 1 if i > 0 else 0) ^ (hs[i - 2] << 2 if i > 1 else 0)
-            if rolled % 3 == 0 or i == len(lines) - 1:
+        chunks, start, before = [], 0, True
+        for i, line in enumerate(lines):
+            ends = False
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                own = h(line) % 3 == 0
+                ends, before = own and not before, own
+            if ends or i == len(lines) - 1:
                 chunks.append(lines[start : i + 1])
                 start = i + 1
         left = []
