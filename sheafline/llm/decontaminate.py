@@ -1,9 +1,13 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-Items are dealt into blocks of a bounded number of words; each block gives an automaton that is broadcast, and every
-text is streamed through it, tracking the longest match that ends at each word. Null and empty texts have no words and
-no hits; items without words match nothing; repeated items are all reported; an empty benchmark leaves all texts as
-they are; repeated rows are matched one by one; columns other than those named are not read.
+Items are dealt into blocks of a bounded number of words; each block is broadcast and gives an automaton, and every
+text is streamed through it, tracking the longest match that ends at each word. With several blocks a task holds texts of
+HELD_BYTES and streams them through one automaton after the other, so the texts are read once.
+
+Null and empty texts have no words and no hits; items without words match nothing; repeated items are all reported, and
+items with a null id hit like others and are reported as null; an empty benchmark leaves all texts as they are; repeated
+rows are matched one by one, so there are no ties; ids of any type, and null ones, pass through; a text of any length is
+streamed whole; columns of any name pass through decontaminate, and contamination reads the named ones only.
 """
 
 from __future__ import annotations
@@ -13,13 +17,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .tasks import map_slices, written
+from .tasks import SLICE_BYTES, map_slices, slices
 
 #: Words of test items in one automaton; larger benchmarks take several passes.
 BLOCK_WORDS = 200_000
+#: Rows and bytes of text that a task holds while it goes through several automata.
+HELD_ROWS, HELD_BYTES = 16_384, 16 << 20
 WINDOW = 10
 #: A-Z to lower case; every byte below 0x80 that is no digit or letter to space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -29,7 +37,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 class Automaton:
     """Generalised suffix automaton of word sequences with the items behind each state."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -143,10 +151,11 @@ class Automaton:
 _AUTOMATA: dict[str, Automaton] = {}
 
 
-def _automaton(key: str, items, window: int) -> Automaton:
+def _automaton(key: str, items: Broadcast, window: int) -> Automaton:
+    """The automaton of a block; a worker keeps the last one."""
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton(items, window)
+        _AUTOMATA[key] = Automaton(items.value, window)
     return _AUTOMATA[key]
 
 
@@ -158,43 +167,45 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_words: int):
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     for b in range(n):
         rows = items.filter(F.col("block") == b).select("item", "text").collect()
-        if rows or n == 1:
-            yield n, [(str(r.item), r.text) for r in rows]
+        if rows:
+            yield [(r.item, r.text) for r in rows]
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """id, text, n_words, spans (of words, half open, disjoint) and items of each row of docs."""
-    out = docs.select(
-        F.col(id_col), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>) spans"), F.expr("cast(array() as array<string>) items"),
-    )
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    for n, rows in _blocks(bench, item_col, item_text_col, block_words):
-        out = _pass(out, rows, window, schema)
-        out = written(out, "decontamination") if n > 1 else out
-    return out
+def _matcher(docs: DataFrame, bench: DataFrame, window: int, item_col: str, text_col: str, block_words: int):
+    """A function from a list of texts to (number of words, spans, items) of each; every block is loaded once for the list."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [(sc.broadcast(rows), hashlib.sha256(repr((rows, window)).encode()).hexdigest()) for rows in _blocks(bench, item_col, text_col, block_words)]
+
+    def match(texts: list[str | None]) -> list[tuple[int, list, list]]:
+        words = [t.encode().translate(TO_WORDS).split() if t else [] for t in texts]
+        spans: list[list] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        for shared, key in blocks:
+            automaton = _automaton(key, shared, window)
+            for i, own in enumerate(words):
+                got, found = automaton.match(own)
+                if got:
+                    spans[i] = _merged(spans[i] + got) if spans[i] else got
+                items[i] |= found
+        return [(len(w), s, sorted(f, key=lambda x: (x is None, x))) for w, s, f in zip(words, spans, items, strict=True)]
+
+    return match, HELD_BYTES if len(blocks) > 1 else SLICE_BYTES
 
 
-def _pass(df: DataFrame, rows: list[tuple[str, str]], window: int, schema: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(rows)
-    key = hashlib.sha256(repr((rows, window)).encode()).hexdigest()
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id, n_words, spans (of words, half open, disjoint) and items of each row of docs, in one pass over the texts."""
+    match, held = _matcher(docs, bench, window, item_col, item_text_col, block_words)
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+    schema = StructType([rows.schema[0], StructField("n_words", LongType()), StructField("spans", ArrayType(span)), StructField("items", ArrayType(StringType()))])
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = _automaton(key, shared.value, window)
-        n_words, all_spans, all_items = [], [], []
-        for text, spans, items in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-            words = text.encode().translate(TO_WORDS).split() if text else []
-            got, found = automaton.match(words)
-            if spans:
-                got = _merged([(s["start"], s["end"]) for s in spans] + got)
-            n_words.append(len(words))
-            all_spans.append([{"start": a, "end": b} for a, b in got])
-            all_items.append(sorted(found.union(items)))
-        return pa.record_batch([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(all_spans, kinds[0]), pa.array(all_items, kinds[1])], names=part.schema.names)
+        found = match(part.column(1).to_pylist())
+        spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
+        return pa.record_batch([part.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, kinds[0]), pa.array([i for _, _, i in found], kinds[1])], names=schema.names)
 
-    return map_slices(df, run, schema)
+    return map_slices(rows, run, schema, HELD_ROWS, held)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -218,23 +229,40 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode(errors="ignore")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, min_words: int = 1, **kw) -> DataFrame:
-    """docs without the spans of at least min_words words; rows of which more than max_coverage is hit go."""
-    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    kinds, columns = dict(docs.dtypes), docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    found = contamination(packed, bench, **(kw | {"id_col": "row", "text_col": "text"}))
-    found = found.withColumn("spans", F.expr(f"filter(spans, s -> s.end - s.start >= {int(min_words)})"))
-    hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
-    found = found.filter(hit <= F.lit(max_coverage) * F.col("n_words"))
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        new = [cut_spans(t, [(s["start"], s["end"]) for s in sp]) if sp else t for t, sp in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-        return pa.record_batch([part.column(0), pa.array(new, pa.string())], names=["row", "text"])
-
-    row = found.schema["row"].dataType.simpleString()
-    out = map_slices(found.select("row", "text", "spans"), run, f"row {row}, text string")
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.length("text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in columns])
+def decontaminate(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, min_words: int = 1, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the spans of at least min_words words; rows of which more than max_coverage is hit go.
+
+    Whole rows pass through, whatever their columns are called; n_chars, where there is one, follows a changed text.
+    """
+    match, held = _matcher(docs, bench, window, item_col, item_text_col, block_words)
+    at, schema = docs.columns.index(text_col), docs.schema
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            two = pa.record_batch([batch.column(at), batch.column(at)], names=["id", "text"])
+            done = 0
+            for part in slices(iter([two]), HELD_ROWS, held):
+                own = batch.slice(done, part.num_rows)
+                done += part.num_rows
+                texts, keep, changed = part.column(1).to_pylist(), [], []
+                for i, (n_words, spans, _) in enumerate(match(texts)):
+                    spans = [(a, b) for a, b in spans if b - a >= min_words]
+                    keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
+                    if spans:
+                        texts[i] = cut_spans(texts[i], spans)
+                        changed.append(i)
+                columns = list(own.columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars is not None and changed:
+                    sizes = columns[chars].to_pylist()
+                    for i in changed:
+                        sizes[i] = len(texts[i])
+                    columns[chars] = pa.array(sizes, columns[chars].type)
+                yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))]).filter(pa.array(keep))
+
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def keep_good(df: DataFrame, policy: str = "v1", text_col: str = "text") -> Data
                 done += part.num_rows
                 yield pa.record_batch([*own.columns, *_measure(part).columns[1:]], names=schema.names)
 
-    kept = df.mapInArrow(run, schema).withColumn("fail_bits", fail_bits()).filter(passes(policy))
+    kept = df.toDF(*schema.names[: len(plain)]).mapInArrow(run, schema).withColumn("fail_bits", fail_bits()).filter(passes(policy))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 

@@ -67,6 +67,18 @@ def test_contamination_equals_brute_force(spark, docs, plain, block_words):
         assert x["items"] == sorted(map(str, found))
 
 
+def test_null_items_and_odd_columns(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(None, passage), (2, passage)], "item_id long, text string")
+    df = spark.createDataFrame([(1, passage + " and " * 20, 3, "x"), (None, None, None, None)], "`my id` long, `the text` string, `a.b-c` long, n_words string")
+    got = {r[0]: (r.n_words, r["items"]) for r in decontaminate.contamination(df, bench, id_col="my id", text_col="the text").collect()}
+    assert got == {1: (30, ["2", None]), None: (0, [])}
+    out = decontaminate.decontaminate(df, bench, text_col="the text")
+    assert out.columns == df.columns and {r[0]: r[3] for r in out.collect()} == {1: "x", None: None}
+    kept = quality.keep_good(df, "base", "the text")
+    assert kept.columns == df.columns and kept.count() == 0  # too many repeated words, too few words
+
+
 def test_decontaminate_cuts_spans_and_keeps_columns(spark, docs, empty, plain):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
@@ -119,5 +131,16 @@ def test_warc_round_trip(spark):
         assert got[i].refers_to == want.get(i) and got[i].record_type == ("revisit" if i in want else "response")
         assert got[i].block == (b"" if i in want else raw)
     found = warc.read_at(bundles, warc.index(bundles).filter("page_id in (2, 7)")).collect()
-    assert {r.page_id: warc.parse(bytes(r.record))[1] for r in found} == {2: small.encode(), 7: big.encode()}
+    assert {r.page_id: bytes(r.block) for r in found} == {2: small.encode(), 7: big.encode()}
+    places = warc.index(bundles).collect()
+    frames = {}
+    for r in places:
+        frames.setdefault((r.bundle, r.frame), []).append(r)
+    assert len(places) == len(rows) and max(map(len, frames.values())) > 1  # several records share a frame
+    for own in frames.values():
+        own.sort(key=lambda r: r.inner)
+        assert [r.inner for r in own] == [sum(x.size for x in own[:i]) for i in range(len(own))] and sum(r.size for r in own) == own[0].raw_length
+    lost = spark.createDataFrame([(None, "u", big), (None, None, small), (3, "u", big)], "page_id long, url string, html string")
+    got = warc.read_records(warc.write_bundles(warc.with_revisits(lost), frame_bytes=1)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.payload_bytes) for r in got) == [(0, "response", 8), (0, "response", 1200), (3, "response", 1200)]
     assert warc.read_records(warc.write_bundles(warc.with_revisits(pages.limit(0)))).count() == 0
