@@ -56,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Lets Spark delete the shuffle files of a job when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds the bytes that Spark hands to a Python worker at once; 10,000 rows of long texts may be very large.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -65,12 +67,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", ARROW_BYTES: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
