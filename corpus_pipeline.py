@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm import bpe, decontaminate, line_dedup, minhash, quality
-from sheafline.llm.tasks import written
+from sheafline.llm.tasks import discard, written
 
 #: Near duplicates: words in a shingle, and the least similarity in percent.
 SHINGLE, LEAST_PERCENT = 5, 80
@@ -54,9 +54,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, done = written(stage(spark, docs, sf_dir), name), before
+        if done is not None:  # what the stage before wrote is of no more use
+            discard(done)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
