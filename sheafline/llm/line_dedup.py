@@ -79,13 +79,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = dict(zip(docs.columns, columns, strict=True))
     rows, the_id, the_text = docs.toDF(*columns), F.col(own[id_col]), F.col(own[text_col])
     gone = repeated_chunks(docs, id_col, text_col).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("place").alias("__gone"))
+    # the documents with repeats grow with the table: planned alike at every size
+    joined = rows.join(gone.hint("merge"), the_id == F.col("__doc"), "left").drop("__doc")
     lines = lines_of(the_text)
-    joined = rows.join(gone, the_id == F.col("__doc"), "left").drop("__doc")
-    rebuilt = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines)).withColumn("__ends", F.when(F.col("__gone").isNotNull(), chunk_ends(F.col("__lines"))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__ends") - 1), "__gone")
-    start = lambda k: F.when(k == 0, 1).otherwise(F.get("__ends", k - 1) + 1)
-    left = F.flatten(F.transform(stay, lambda k: F.slice("__lines", start(k), F.get("__ends", k) - start(k) + 1)))
-    out = rebuilt.withColumn("__new", F.when(F.col("__gone").isNull(), the_text).otherwise(F.array_join(left, "\n")))
+
+    def left(s: Column) -> Column:
+        """The lines that stay, of a struct of lines and chunk ends."""
+        start = lambda k: F.when(k == 0, 1).otherwise(F.get(s["ends"], F.greatest(k - 1, F.lit(0))) + 1)
+        stay = F.array_except(F.sequence(F.lit(0), F.size(s["ends"]) - 1), F.col("__gone"))
+        return F.array_join(F.flatten(F.transform(stay, lambda k: F.slice(s["lines"], start(k), F.get(s["ends"], k) - start(k) + 1))), "\n")
+
+    # bound once by a lambda over an array of one; exploded, so that the new text is made once for all that reads it
+    cut = F.get(F.transform(F.array(F.struct(lines.alias("lines"), chunk_ends(lines).alias("ends"))), left), 0)
+    out = joined.select("*", F.explode(F.array(F.when(F.col("__gone").isNull(), the_text).otherwise(cut))).alias("__new"))
     if drop_emptied:
         out = out.filter(F.col("__gone").isNull() | ~F.col("__new").rlike(BLANK))
     new = {text_col: F.col("__new")}

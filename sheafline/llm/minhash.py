@@ -82,8 +82,8 @@ def sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
-    return left.join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("b", "text_b", "a", "text_a")
+    left = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}).hint("merge"), "a")
+    return left.join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}).hint("merge"), "b").select("b", "text_b", "a", "text_a")
 
 
 def _each_pair(part: pa.RecordBatch, shingle: int):
@@ -133,7 +133,8 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(join_hot(members, written(buckets, "shared-buckets"), ["key"], "size", members.count()).select("doc", "pivot").distinct(), "buckets")
     ids = buckets.select("doc").distinct()
-    texts = written(rows.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "candidates")
+    # what joins with texts grows with the table, so these joins are planned alike at every size
+    texts = written(rows.join(ids.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "candidates")
     stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     stars = written(compared(stars, texts, shingle), "stars")
     links = stars.filter(similar(percent)).select("a", "b")
@@ -190,7 +191,7 @@ def keep_one(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id"
     rows, names = numbered(docs, id_col, text_col)
     near = near_duplicates(rows, shingle, percent).filter("doc <> component").select("doc").distinct()
     near = (near if names is None else near.join(names, "doc").select("id")).toDF("__id")
-    return docs.join(near, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    return docs.join(near.hint("merge"), F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
