@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .lineage import settled
 
 
 def with_paths(files: DataFrame) -> DataFrame:
@@ -37,24 +37,28 @@ def issues(files: DataFrame) -> DataFrame:
 def accept_greedy(files: DataFrame) -> DataFrame:
     """bundle_id, seq, path, code for every valid path: a file is rejected for what was accepted before it only.
 
-    Files can conflict only within their top-level name, so each of these is decided apart, in order of sequence.
+    Copies share the fate of their path's first file. Among paths that lie below each other, each round accepts those with
+    no open or accepted one before them and rejects those with an accepted one; few paths conflict, so few rows are joined.
     """
-    top = F.substring_index("path", "/", 1)
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        taken, above, codes = set(), set(), []
-        for p in group.sort_values("seq", kind="stable")["path"]:
-            parts = p.split("/")
-            ups = {"/".join(parts[:i]) for i in range(1, len(parts))}
-            code = "duplicate-path" if p in taken else "path-conflict" if p in above or ups & taken else None
-            if code is None:
-                taken.add(p)
-                above |= ups
-            codes.append(code)
-        return group.sort_values("seq", kind="stable").assign(code=codes)[["bundle_id", "seq", "path", "code"]]
-
-    rows = files.filter("error is null").select("bundle_id", "seq", "path", top.alias("top"))
-    return rows.groupBy("bundle_id", "top").applyInPandas(decide, "bundle_id string, seq long, path string, code string")
+    rows = files.filter("error is null").select("bundle_id", "seq", "path")
+    firsts = rows.groupBy("bundle_id", "path").agg(F.min("seq").alias("first"))
+    below = path_conflicts(rows)
+    seq = lambda c, name: firsts.select("bundle_id", F.col("path").alias(c), F.col("first").alias(name))
+    both = below.join(seq("path", "s"), ["bundle_id", "path"]).join(seq("conflict", "t"), ["bundle_id", "conflict"])
+    early = F.col("s") < F.col("t")
+    edges = settled(both.select("bundle_id", F.when(early, F.col("path")).otherwise(F.col("conflict")).alias("before"), F.when(early, F.col("conflict")).otherwise(F.col("path")).alias("path")).distinct())
+    open_ = settled(edges.select("bundle_id", "path").union(edges.select("bundle_id", F.col("before"))).distinct())
+    decided = open_.limit(0).withColumn("ok", F.lit(True))
+    live = edges  # edges from a path that may still be accepted, or is
+    while not open_.isEmpty():
+        good = settled(open_.join(live.select("bundle_id", "path").distinct(), ["bundle_id", "path"], "left_anti"))
+        bad = settled(live.join(good.withColumnRenamed("path", "before"), ["bundle_id", "before"], "left_semi").select("bundle_id", "path").distinct())
+        decided = settled(decided.unionByName(good.withColumn("ok", F.lit(True))).unionByName(bad.withColumn("ok", F.lit(False))))
+        open_ = settled(open_.join(good.unionByName(bad), ["bundle_id", "path"], "left_anti"))
+        live = settled(live.join(bad.withColumnRenamed("path", "before"), ["bundle_id", "before"], "left_anti").join(open_, ["bundle_id", "path"], "left_semi"))
+    fate = rows.join(firsts, ["bundle_id", "path"]).join(decided, ["bundle_id", "path"], "left")
+    code = F.when(~F.col("ok"), "path-conflict").when(F.col("seq") != F.col("first"), "duplicate-path")
+    return fate.select("bundle_id", "seq", "path", code.alias("code"))
 
 
 def zip_acceptance(entries: DataFrame, max_entry: int = 256 << 20, max_total: int = 1 << 30, max_ratio: float = 200.0) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 RESERVED = 1024
 
 
@@ -37,12 +41,26 @@ def _growing(held: list[str], unit: str) -> bool:
     return len(held) > 0 and "".join(held) == unit[: sum(map(len, held))] and not held[-1].endswith("\n")
 
 
-def segments(files: DataFrame, limit: int, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
-    """keys, segment (from 1), content, byte_length."""
+def fence_bytes(piece: str) -> int:
+    """Bytes that a fence around the piece takes at most, besides its language."""
+    return 2 * max(3, 1 + max(map(len, re.findall("`+", piece)), default=0)) + 4
+
+
+def fitting(text: str, limit: int, most: int | None) -> list[str]:
+    """Pieces of at most `limit` bytes; where one with its fence has more than `most`, all are cut again at half the limit."""
+    pieces = split_utf8(text, limit)
+    while most is not None and limit > 4 and any(len(p.encode()) + fence_bytes(p) > most for p in pieces):
+        limit //= 2
+        pieces = split_utf8(text, limit)
+    return pieces
+
+
+def segments(files: DataFrame, limit: int, keys: tuple[str, ...] = ("bundle_id", "seq"), most: int | None = None) -> DataFrame:
+    """keys, segment (from 1), content, byte_length; with its fence no segment has more than `most` bytes."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_utf8(t, limit))
+        return texts.map(lambda t: [] if t is None else fitting(t, limit, most))
 
     each = files.select(*keys, F.posexplode(cut("body")).alias("at", "content"))
     return each.select(*keys, (F.col("at") + 1).alias("segment"), "content", F.octet_length("content").cast("long").alias("byte_length"))
@@ -54,30 +72,53 @@ def anchors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("anchor", name)
 
 
+def running_totals(rows: DataFrame, group: tuple[str, ...], order: str, size: str) -> DataFrame:
+    """rows with upto: the total of size up to the row in its group. No task sees more than its range of the order."""
+    held = settled(rows.repartitionByRange(*group, order).withColumn("__range", F.spark_partition_id()))
+    sums = held.groupBy(*group, "__range").agg(F.sum(size).alias("__sum"))  # one row for each range of a group
+    ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum(size).over(Window.partitionBy(*group, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return held.join(ahead.drop("__sum"), [*group, "__range"]).withColumn("upto", F.col("__ahead") + within).drop("__range", "__ahead")
+
+
+#: Budgets in a stretch of atoms that one task searches, a bound on what it holds.
+STRETCH = 16
+
+
 def pack(atoms: DataFrame, max_part: int, group: tuple[str, ...] = ("bundle_id",), order: str = "ordinal") -> DataFrame:
     """group, order, part: next-fit packing of atoms (byte_length) in order; an atom costs its bytes and two for the blank line.
 
-    Packing is sequential within a group by definition, so only ordinals and lengths are gathered for each group, in
-    two compact arrays, never contents. Where one group is very large, give finer groups.
+    From running totals each atom finds the one that would open the next part after it: it lies at most two budgets
+    ahead, so it is looked for in stretches of totals. Which atoms do open parts follows from these links by doubling: the
+    openers known so far are led as many parts on as they span.
     """
     budget = max_part - RESERVED
-
-    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, used, part = [], 0, 1
-        for n in pdf["byte_length"]:
-            cost = int(n) + 2
-            if cost > budget:
-                raise ValueError(f"an atom of {n} bytes does not fit a part")
-            if used and used + cost > budget:
-                part, used = part + 1, 0
-            used += cost
-            out.append(part)
-        return pdf[[*group, order]].assign(part=out)
-
-    kinds = dict(atoms.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*group, order)) + ", part int"
-    return atoms.select(*group, order, "byte_length").groupBy(*group).applyInPandas(parts, schema)
+    bad = F.raise_error(F.concat(F.lit("an atom of "), F.col("byte_length"), F.lit(" bytes does not fit a part")))
+    cost = F.when(F.col("byte_length") + 2 > budget, bad).otherwise(F.col("byte_length") + 2).cast("long")
+    rows = settled(running_totals(atoms.select(*group, order, "byte_length").withColumn("cost", cost), group, order, "cost"))
+    # the part that begins after `before` bytes ends before the first atom that goes beyond before + budget
+    rows = rows.withColumn("before", F.col("upto") - F.col("cost"))
+    stretch = lambda c: F.floor(c / (budget * STRETCH))
+    ends = rows.select(*group, F.col("before").alias("opens"), F.col("upto").alias("at"), F.lit(1).alias("real"), F.array(stretch(F.col("upto"))).alias("in"))
+    wanted = F.col("before") + budget
+    asks = rows.select(*group, F.col("before").alias("opens"), wanted.alias("at"), F.lit(0).alias("real"), F.array_distinct(F.array(stretch(wanted), stretch(wanted + budget))).alias("in"))
+    near = Window.partitionBy(*group, "in").orderBy(F.col("at").desc(), "real").rowsBetween(Window.unboundedPreceding, -1)
+    both = ends.unionByName(asks).select(*group, "opens", "at", "real", F.explode("in").alias("in"))
+    found = both.withColumn("to", F.last(F.when(F.col("real") == 1, F.col("opens")), ignorenulls=True).over(near)).filter("real = 0 and to is not null")
+    links = settled(found.groupBy(*group, "opens").agg(F.min("to").alias("to")))
+    opened = rows.filter("before = 0").select(*group, F.lit(0).cast("long").alias("opens"), F.lit(1).cast("long").alias("part")).distinct()
+    span, known = 1, 0
+    while True:
+        more = opened.join(links, [*group, "opens"]).select(*group, F.col("to").alias("opens"), (F.col("part") + span).alias("part"))
+        opened = settled(opened.unionByName(more).groupBy(*group, "opens").agg(F.min("part").alias("part")))
+        if (n := opened.count()) == known:
+            break
+        known, span = n, span * 2
+        further = links.withColumnsRenamed({"to": "mid"}).join(links.withColumnsRenamed({"opens": "mid"}), [*group, "mid"])
+        links = settled(further.select(*group, "opens", "to"))
+    marks = rows.select(*group, order, "before").join(opened.withColumnRenamed("opens", "before"), [*group, "before"], "left")
+    marked = running_totals(marks.withColumn("opens", F.when(F.col("part").isNotNull(), 1).otherwise(0).cast("long")), group, order, "opens")
+    return marked.select(*group, order, F.col("upto").cast("int").alias("part"))
 
 
 def parts_text(atoms: DataFrame, packed: DataFrame) -> DataFrame:

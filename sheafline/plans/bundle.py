@@ -14,13 +14,18 @@ def accepted(files: DataFrame) -> DataFrame:
     return importing.first_wins(importing.with_paths(files)).filter("copy = 1").drop("copy", "error")
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """ordinal, file_id, content, byte_length of a fenced section for each file with a body, in path order within its bundle."""
-    body = text.normalize_newlines(F.col("body"))
-    head = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"))
-    content = F.concat(head, text.fenced(body, formats.fence_language(F.col("name"), F.col("extension"))))
-    rows = files.filter("body is not null").select("bundle_id", F.col("seq").alias("ordinal"), paths.node_id("file", F.col("path")).alias("file_id"), content.alias("content"))
-    return rows.withColumn("byte_length", F.octet_length("content").cast("long"))
+def sections(files: DataFrame, max_part: int = 1 << 20) -> DataFrame:
+    """bundle_id, ordinal, file_id, content, byte_length: fenced sections of the files with a body, in path order.
+
+    Bodies are cut first and each piece gets its own fence, so no part ends inside one. The ordinal is path and segment.
+    """
+    most = max_part - 2 * packing.RESERVED
+    rows = files.filter("body is not null").withColumn("body", text.normalize_newlines(F.col("body")))
+    pieces = packing.segments(rows, most, ("bundle_id", "path", "name", "extension"), most)
+    head = F.concat(F.lit("## "), F.col("path"), F.when(F.col("segment") > 1, F.format_string(" (%d)", F.col("segment"))).otherwise(""), F.lit("\n\n"))
+    content = F.concat(head, text.fenced(F.col("content"), formats.fence_language(F.col("name"), F.col("extension"))))
+    out = pieces.select("bundle_id", F.struct("path", "segment").alias("ordinal"), paths.node_id("file", F.col("path")).alias("file_id"), content.alias("content"))
+    return out.withColumn("byte_length", F.octet_length("content").cast("long"))
 
 
 def run_bundle(files: DataFrame, globs: list[str] = (), excluded: DataFrame | None = None, mode: str = "redact", max_part: int = 1 << 20) -> dict[str, DataFrame]:
@@ -32,12 +37,10 @@ def run_bundle(files: DataFrame, globs: list[str] = (), excluded: DataFrame | No
     bodies = chosen.withColumn("body", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
     found = security.findings(bodies)
     safe = security.by_mode(bodies, found, mode)
-    atoms = sections(safe)
-    pieces = packing.segments(atoms.withColumnsRenamed({"ordinal": "seq", "content": "body"}), max_part - 2 * packing.RESERVED)
-    cut = pieces.select("bundle_id", F.struct("seq", "segment").alias("ordinal"), "content", "byte_length").withColumn("ordinal", F.col("ordinal.seq") * 1000 + F.col("ordinal.segment"))
-    packed = packing.pack(cut, max_part)
+    atoms = sections(safe, max_part)
+    packed = packing.pack(atoms, max_part)
     records = manifest.file_records(recs)
     return {
         "issues": importing.issues(with_path), "preflight": recs, "totals": preflight.totals(recs), "mode": preflight.output_mode(preflight.totals(recs)), "nodes": tree.nodes(good),
-        "findings": found, "security": security.summary(found), "parts": packing.parts_text(cut, packed), "manifest": records, "summary": manifest.summary(recs), "violations": manifest.inconsistent(records),
+        "findings": found, "security": security.summary(found), "parts": packing.parts_text(atoms, packed), "manifest": records, "summary": manifest.summary(recs), "violations": manifest.inconsistent(records),
     }

@@ -205,7 +205,9 @@ def q_merge_intervals(spark, sf):
 
 
 def q_pack_parts(spark, sf):
-    atoms = _bodies(spark, sf).select("bundle_id", F.col("seq").alias("ordinal"), F.octet_length("body").cast("long").alias("byte_length"))
+    pieces = F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("body") / 10_000).cast("int") - 1)))
+    cut = _bodies(spark, sf).select("bundle_id", "seq", "body", pieces.alias("at", "piece"))  # pieces of at most 10,000 characters
+    atoms = cut.select("bundle_id", (F.col("seq") * 1_000_000 + F.col("at")).alias("ordinal"), F.octet_length(F.substr("body", F.col("at") * 10_000 + 1, F.lit(10_000))).cast("long").alias("byte_length"))
     return packing.pack(atoms, 64_512 + packing.RESERVED).select("ordinal", "part")
 
 
@@ -344,7 +346,7 @@ classified AS (SELECT *, CASE WHEN k IN (1, 3, 4) THEN sig.mime WHEN k IN (2, 6)
   CASE WHEN k = 1 THEN 'blocked' WHEN k IN (2, 3, 6) THEN r_adapter WHEN k = 4 THEN CASE WHEN sig.category = 'image' THEN 'image' ELSE 'inventory' END WHEN k IN (7, 8) THEN 'text' ELSE 'inventory' END AS adapter,
   CASE WHEN k IN (1, 3, 4) THEN 'signature' WHEN k = 2 THEN 'container-extension' WHEN k = 6 THEN 'extension' WHEN k = 7 THEN 'text-heuristic' WHEN k = 8 THEN 'declared' ELSE 'unknown' END AS method,
   CASE WHEN k = 6 THEN txt WHEN k IN (7, 8) THEN TRUE ELSE FALSE END AS is_text,
-  k IN (2, 3, 6) AND r_macro AS macro, k IN (2, 3, 6) AND r_active AS active, k = 1 OR (k IN (2, 3, 6) AND r_executable) AS executable, k IN (2, 3, 6) AND r_nested AS nested FROM cases WHERE size <= 16384)
+  k IN (2, 3, 6) AND r_macro AS macro, k IN (2, 3, 6) AND r_active AS active, k = 1 OR (k IN (2, 3, 6) AND r_executable) AS executable, k IN (2, 3, 6) AND r_nested AS nested FROM cases)
 """
 )
 _SENS = " OR ".join("regexp_matches(path, '" + p.replace("\\A", "^").replace("\\z", "$").replace("'", "''") + "')" for p in preflight.SENSITIVE)
@@ -422,7 +424,7 @@ SQL = {
     "node_ids": _sql(FILES, f"SELECT bundle_id, seq, {_id('file', 'path')} AS node_id FROM valid"),
     "registry_lookup": _sql(FILES + "," + REGISTERED.format(source="valid"), "SELECT bundle_id, seq, r_mime AS mime, r_category AS category, r_level AS level, r_adapter AS adapter FROM looked"),
     "signature_detect": _sql(FILES, f"SELECT bundle_id, seq, sig.mime AS mime, sig.category AS category FROM (SELECT bundle_id, seq, {_SIG} AS sig FROM (SELECT *, hex(encode(substr(body, 1, 16))) AS hx FROM good))"),
-    "text_sniff": _sql(FILES, "SELECT bundle_id, seq, t AS is_text, CASE WHEN t THEN 'utf-8' END AS encoding FROM (SELECT *, body = '' OR 1 - (length(body) - length(regexp_replace(body, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) / length(body) >= 0.85 AS t FROM good WHERE size <= 16384)"),
+    "text_sniff": _sql(FILES, "SELECT bundle_id, seq, t AS is_text, CASE WHEN t THEN 'utf-8' END AS encoding FROM (SELECT *, body = '' OR 1 - (length(body) - length(regexp_replace(body, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) / length(body) >= 0.85 AS t FROM good)"),
     "classify_files": _sql(CLASSIFIED, "SELECT bundle_id, seq, mime, category, level, adapter, method, is_text FROM classified"),
     "risk_assess": _sql(RECORDS, "SELECT bundle_id, seq, array_to_string(rs, ',') AS risks, risk_level FROM recs"),
     "size_estimate": _sql(RECORDS, "SELECT bundle_id, seq, md_min, md_max, pdf_min, pdf_max, mf_min, mf_max FROM recs"),
@@ -449,12 +451,13 @@ SQL = {
 SELECT 'report' AS mode, CASE WHEN hit THEN 'flagged' ELSE 'clean' END AS status, count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS characters FROM counted GROUP BY hit
 UNION ALL SELECT 'redact', CASE WHEN hit THEN 'redacted' ELSE 'clean' END, count(*), CAST(sum(safe) AS BIGINT) FROM counted GROUP BY hit
 UNION ALL SELECT 'exclude', CASE WHEN hit THEN 'excluded' ELSE 'clean' END, count(*), CAST(CASE WHEN hit THEN NULL ELSE sum(length(body)) END AS BIGINT) FROM counted GROUP BY hit"""),
-    "shannon_entropy": _sql(BODIES, "SELECT seq, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT seq, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY seq) AS t FROM (SELECT seq, unnest(string_split(substr(body, 1, 200), '')) AS c FROM bodies WHERE body <> '') GROUP BY seq, c) GROUP BY seq"),
+    "shannon_entropy": _sql(BODIES, "SELECT seq, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT seq, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY seq) AS t FROM (SELECT seq, unnest(string_split(body, '')) AS c FROM bodies WHERE body <> '') GROUP BY seq, c) GROUP BY seq"),
     "merge_intervals": """WITH s AS (SELECT user_id, event_id * 37 % 10007 AS a, event_id * 37 % 10007 + event_id % 90 AS b, event_type FROM events),
 m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b, event_type ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT user_id, min(a) AS "start", max(b) AS "end" FROM i GROUP BY user_id, island""",
-    "pack_parts": "WITH RECURSIVE " + BODIES + """, o AS (SELECT seq, octet_length(encode(body)) + 2 AS cost, row_number() OVER (ORDER BY seq) AS n FROM bodies),
+    "pack_parts": "WITH RECURSIVE " + BODIES + """, c AS (SELECT seq * 1000000 + k AS seq, octet_length(encode(substr(body, CAST(k * 10000 + 1 AS INTEGER), 10000))) + 2 AS cost FROM bodies, unnest(range(greatest(1, CAST(ceil(length(body) / 10000) AS BIGINT)))) AS u(k)),
+o AS (SELECT seq, cost, row_number() OVER (ORDER BY seq) AS n FROM c),
 r AS (SELECT n, seq, cost AS used, 1 AS part FROM o WHERE n = 1 UNION ALL SELECT o.n, o.seq, CASE WHEN r.used + o.cost > 64512 THEN o.cost ELSE r.used + o.cost END, CASE WHEN r.used + o.cost > 64512 THEN r.part + 1 ELSE r.part END FROM r JOIN o ON o.n = r.n + 1)
 SELECT seq AS ordinal, CAST(part AS INTEGER) AS part FROM r""",
     "split_utf8": _sql(BODIES, "SELECT seq, sha256(body) AS sha256, TRUE AS fits FROM bodies"),
@@ -469,7 +472,7 @@ SELECT bundle_id, path, pages, kept_pages, CAST(2 + ceil(count(*) OVER (PARTITIO
     "excel_address": "SELECT o_orderkey, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 % 26 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + (n - 27) // 26 % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, n FROM (SELECT o_orderkey, o_orderkey % 18278 + 1 AS n FROM orders)",
     "excel_serial": "SELECT o_orderkey, strftime(TIMESTAMP '1899-12-30 06:00:00' + to_days(CAST(o_orderkey % 60000 AS INTEGER)), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders",
     "grid_pages": "SELECT c_custkey AS sheet, CAST(d * 24 + 1 AS BIGINT) AS first_row, CAST(a * 12 + 1 AS BIGINT) AS first_column, least(c_custkey % 31 - a * 12, 12) > 7 AS landscape FROM customer, unnest(range(greatest(1, CAST(ceil((c_custkey % 130) / 24) AS BIGINT)))) AS u(d), unnest(range(greatest(1, CAST(ceil((c_custkey % 31) / 12) AS BIGINT)))) AS v(a)",
-    "densify_grid": "WITH c AS (SELECT l_suppkey AS sheet, l_linenumber AS r, l_orderkey % 5 + 1 AS k, min(l_partkey) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL) SELECT s.sheet, CAST(rr AS INTEGER) AS \"row\", CAST(kk AS INTEGER) AS col, v AS value FROM (SELECT DISTINCT sheet FROM c) s CROSS JOIN unnest(range(1, 5)) AS a(rr) CROSS JOIN unnest(range(1, 7)) AS b(kk) LEFT JOIN c ON c.sheet = s.sheet AND c.r = rr AND c.k = kk",
+    "densify_grid": "WITH c AS (SELECT l_suppkey AS sheet, l_linenumber AS r, l_orderkey % 5 + 1 AS k, min(l_partkey) AS v FROM lineitem GROUP BY ALL) SELECT s.sheet, CAST(rr AS INTEGER) AS \"row\", CAST(kk AS INTEGER) AS col, v AS value FROM (SELECT DISTINCT sheet FROM c) s CROSS JOIN unnest(range(1, 8)) AS a(rr) CROSS JOIN unnest(range(1, 7)) AS b(kk) LEFT JOIN c ON c.sheet = s.sheet AND c.r = rr AND c.k = kk",
     "image_resize_plan": "WITH i AS (SELECT p_partkey, p_partkey * 7919 % 9000 + 1 AS w0, p_partkey * 104729 % 7000 + 1 AS h0, p_partkey % 8 + 1 AS o FROM part), j AS (SELECT p_partkey, CASE WHEN o >= 5 THEN h0 ELSE w0 END AS w, CASE WHEN o >= 5 THEN w0 ELSE h0 END AS h FROM i), k AS (SELECT *, least(1.0::DOUBLE, sqrt(4000000.0::DOUBLE / (w * h)), 2400.0::DOUBLE / greatest(w, h)) AS s FROM j) SELECT p_partkey, greatest(1, CAST(floor(w * s + 0.5) AS BIGINT)) AS target_width, greatest(1, CAST(floor(h * s + 0.5) AS BIGINT)) AS target_height FROM k",
     "html_active_counts": "SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) AS scripts, len(regexp_extract_all(html, '(?i)<style')) AS styles, len(regexp_extract_all(html, '(?i)<iframe')) AS frames, len(regexp_extract_all(html, '(?i)[ ]on[a-z]+=')) AS events FROM pages",
     "validate_inclusion": _sql(SELECTED, ", r AS (SELECT bundle_id, seq, level, CASE WHEN seq % 50 = 0 THEN reason <> 'selected' ELSE reason = 'selected' END AS included, reason FROM sel) SELECT bundle_id, seq, 'inclusion-consistency' AS code FROM r WHERE included <> (reason = 'selected') UNION ALL SELECT bundle_id, seq, 'blocked-included' FROM r WHERE level = 'E' AND included"),
