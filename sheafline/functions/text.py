@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ESCAPED = ("\\", "`", "*", "_", "{", "}", "[", "]", "<", ">", "#", "|")
-
 
 def normalize_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -78,3 +77,52 @@ def sniffed(content: Column) -> Column:
     body = F.when(head == "EFBBBF", F.substring(content, 4, 2**31 - 5)).otherwise(content).cast("string")
     known = lambda b: F.struct(head.alias("head"), F.make_valid_utf8(b).alias("body"), F.is_valid_utf8(b).alias("valid"), printable_share(F.make_valid_utf8(b)).alias("share"))
     return F.get(F.transform(F.transform(F.array(body), known), of_parts), 0)
+
+
+#: The characters that Windows-1252 has in place of the control characters 80 to 9F; five codes stay controls.
+WINDOWS_1252 = (
+    "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f"
+    "\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+)
+
+
+def _utf16(content: Column) -> Column:
+    """Bytes that begin with a mark of UTF-16 as text; Spark's decode raises where a surrogate stands alone."""
+
+    @F.pandas_udf("string")
+    def decoded_16(values: pd.Series) -> pd.Series:
+        order = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
+        return values.map(lambda b: None if b is None else bytes(b[2:]).decode(order[bytes(b[:2])], "replace"))
+
+    return decoded_16(content)
+
+
+def decoded(content: Column) -> Column:
+    """struct(text, encoding, fallback) of whole bytes: by their mark, else UTF-8 where valid, else Windows-1252.
+
+    Newlines become line feeds. Only bytes marked as UTF-16 are sent to Python.
+    """
+    head = F.hex(F.substring(content, 1, 3))
+    little, big, marked = head.startswith("FFFE"), head.startswith("FEFF"), head == "EFBBBF"
+    wide = little | big
+    rest = F.when(marked, F.substring(content, 4, 2**31 - 5)).otherwise(content)
+    valid = F.is_valid_utf8(rest.cast("string"))
+    single = F.translate(F.decode(rest, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WINDOWS_1252)
+    body = F.when(wide, _utf16(F.when(wide, content))).when(valid, rest.cast("string")).otherwise(single)
+    encoding = F.when(little, "utf-16le").when(big, "utf-16be").when(~valid, "windows-1252").when(marked, "utf-8-bom").otherwise("utf-8")
+    return F.struct(normalize_newlines(body).alias("text"), encoding.alias("encoding"), (~wide & ~valid).alias("fallback"))
+
+
+def escaped(text: Column) -> Column:
+    """Text that Markdown shows as it is: angle brackets and ampersands as entities, a backslash before marks."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return F.regexp_replace(text, r"[\\*_\[\]#]", r"\\$0")
+
+
+def is_iso(text: Column) -> Column:
+    """Whether a text is a UTC time with milliseconds in the one form that timestamps are written in."""
+    shaped = F.coalesce(text.rlike(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z\z"), F.lit(False))
+    plain = F.substring(text, 1, 23)
+    read = F.try_to_timestamp(F.when(shaped, plain), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    return shaped & F.coalesce(F.date_format(read, "yyyy-MM-dd'T'HH:mm:ss.SSS") == plain, F.lit(False))

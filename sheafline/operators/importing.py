@@ -9,9 +9,13 @@ from ..functions import paths
 from .lineage import settled
 
 
-def with_paths(files: DataFrame) -> DataFrame:
-    """files with path, name, extension, depth and error of each raw path."""
-    return files.withColumn("__p", paths.normalized(F.col("raw_path"))).select("*", "__p.path", "__p.name", "__p.extension", "__p.depth", "__p.error").drop("__p")
+def with_paths(files: DataFrame, composed: bool = False) -> DataFrame:
+    """files with path, name, extension, depth and error of each raw path; composed paths agree whichever way accents are written."""
+    raw = F.col("raw_path")
+    if composed:  # only paths beyond ASCII are sent to Python
+        wide = raw.rlike(r"[^\x00-\x7F]")
+        raw = F.when(wide, paths.compose(F.when(wide, raw))).otherwise(raw)
+    return files.withColumn("__p", paths.normalized(raw)).select("*", "__p.path", "__p.name", "__p.extension", "__p.depth", "__p.error").drop("__p")
 
 
 def first_wins(files: DataFrame) -> DataFrame:

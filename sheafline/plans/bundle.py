@@ -11,7 +11,7 @@ from ..operators import importing, manifest, packing, preflight, security, selec
 
 def accepted(files: DataFrame) -> DataFrame:
     """The first file of each valid path."""
-    return importing.first_wins(importing.with_paths(files)).filter("copy = 1").drop("copy", "error")
+    return importing.first_wins(importing.with_paths(files, composed=True)).filter("copy = 1").drop("copy", "error")
 
 
 def sections(files: DataFrame, max_part: int = 1 << 20) -> DataFrame:
@@ -30,11 +30,11 @@ def sections(files: DataFrame, max_part: int = 1 << 20) -> DataFrame:
 
 def run_bundle(files: DataFrame, globs: list[str] = (), excluded: DataFrame | None = None, mode: str = "redact", max_part: int = 1 << 20) -> dict[str, DataFrame]:
     """All tables of a bundle from files (bundle_id, seq, raw_path, size, compressed_size, mime_declared, content)."""
-    with_path = importing.with_paths(files)
+    with_path = importing.with_paths(files, composed=True)
     good = importing.first_wins(with_path).filter("copy = 1").drop("copy", "error")
     recs = selection.inclusion(preflight.records(good), list(globs), excluded)
     chosen = good.join(recs.filter("included and is_text").select("bundle_id", "seq"), ["bundle_id", "seq"], "left_semi")
-    bodies = chosen.withColumn("body", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
+    bodies = chosen.withColumn("body", text.decoded(F.col("content"))["text"]).drop("content")
     found = security.findings(bodies)
     safe = security.by_mode(bodies, found, mode)
     atoms = sections(safe, max_part)
