@@ -8,8 +8,6 @@ from .functions import text
 from .operators import enrichment, manifest, tree, validation
 from .queries import BODIES, FILES, NODES, SELECTED, _bodies, _files, _good, _selected, _sql
 
-SEQ = F.col("seq")
-
 
 def _one_of(values, by):
     return F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
@@ -20,19 +18,19 @@ def _pick(values, by):
 
 
 def q_validate_integrity(spark, sf):
-    value = F.when(SEQ % 3 == 0, F.sha2("body", 256)).when(SEQ % 3 == 1, "abc")
-    error = F.when(SEQ % 5 == 0, "unreadable").when(SEQ % 5 == 1, "")
+    value = F.when(F.col("seq") % 3 == 0, F.sha2("body", 256)).when(F.col("seq") % 3 == 1, "abc")
+    error = F.when(F.col("seq") % 5 == 0, "unreadable").when(F.col("seq") % 5 == 1, "")
     recs = _bodies(spark, sf).select(
-        "seq", _one_of((*validation.INTEGRITY, "other"), SEQ).alias("integrity_status"), value.alias("integrity_value"), error.alias("integrity_error"))
+        "seq", _one_of((*validation.INTEGRITY, "other"), F.col("seq")).alias("integrity_status"), value.alias("integrity_value"), error.alias("integrity_error"))
     return validation.integrity(recs, ("seq",))
 
 
 def _scans(spark, sf):
     return _bodies(spark, sf).select(
-        "seq", "bundle_id", _one_of(validation.SECURITY, SEQ).alias("security_status"), (SEQ % 4).alias("finding_count"),
-        (SEQ % 2).alias("high"), (SEQ % 4 - SEQ % 2 + F.when(SEQ % 7 == 0, 1).otherwise(0)).alias("medium"),
-        F.array(F.when(SEQ % 11 == 0, "odd").otherwise("jwt")).alias("categories"), F.when(SEQ % 9 == 0, 1).otherwise(0).alias("redactions"),
-        (SEQ % 5 == 0).alias("excluded"), F.when(SEQ % 10 == 0, "excluded-secret-policy").otherwise("selected").alias("reason"))
+        "seq", "bundle_id", _one_of(validation.SECURITY, F.col("seq")).alias("security_status"), (F.col("seq") % 4).alias("finding_count"),
+        (F.col("seq") % 2).alias("high"), (F.col("seq") % 4 - F.col("seq") % 2 + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)).alias("medium"),
+        F.array(F.when(F.col("seq") % 11 == 0, "odd").otherwise("jwt")).alias("categories"), F.when(F.col("seq") % 9 == 0, 1).otherwise(0).alias("redactions"),
+        (F.col("seq") % 5 == 0).alias("excluded"), F.when(F.col("seq") % 10 == 0, "excluded-secret-policy").otherwise("selected").alias("reason"))
 
 
 def q_validate_security(spark, sf):
@@ -46,15 +44,15 @@ def q_security_totals(spark, sf):
 def q_validate_representation(spark, sf):
     size = F.octet_length("body").cast("long")
     none = F.expr("cast(array() as array<string>)")
-    anchor = F.concat(F.lit("file_"), F.sha2("path", 256), F.when(SEQ % 13 == 0, "-segment-7").otherwise(""))
+    anchor = F.concat(F.lit("file_"), F.sha2("path", 256), F.when(F.col("seq") % 13 == 0, "-segment-7").otherwise(""))
     recs = _bodies(spark, sf).select(
-        "seq", size.alias("size"), _one_of(validation.CONVERSION, SEQ).alias("text_status"), _one_of((*validation.CONVERSION, "other"), SEQ).alias("page_status"),
-        F.when(SEQ % 2 == 0, F.array(anchor)).otherwise(none).alias("anchors"), F.when(SEQ % 3 > 0, F.array(F.lit("part_001"))).otherwise(none).alias("parts"),
-        (SEQ % 4 == 0).alias("truncated"), (size + F.when(SEQ % 17 == 0, 1).otherwise(0)).alias("original_bytes"),
-        F.when(SEQ % 19 == 0, size + 2).when(SEQ % 5 == 0, F.lit(0)).otherwise(size).alias("extracted_bytes"),
-        F.when(SEQ % 23 == 0, "ebcdic").when(SEQ % 2 == 0, "utf-8").alias("encoding"), F.when(SEQ % 29 == 0, "crlf").when(SEQ % 7 > 0, "lf").alias("newlines"),
-        F.when(SEQ % 8 == 0, "").when(SEQ % 8 == 3, "failed").alias("text_error"), F.when(SEQ % 3 == 0, F.array(F.lit(1))).otherwise(F.expr("cast(array() as array<int>)")).alias("pages"),
-        F.when(SEQ % 4 == 0, F.array(F.lit("pages_001"))).otherwise(none).alias("page_parts"), (SEQ % 31 == 0).alias("excluded"), (SEQ % 37 == 0).alias("visual_omitted"))
+        "seq", size.alias("size"), _one_of(validation.CONVERSION, F.col("seq")).alias("text_status"), _one_of((*validation.CONVERSION, "other"), F.col("seq")).alias("page_status"),
+        F.when(F.col("seq") % 2 == 0, F.array(anchor)).otherwise(none).alias("anchors"), F.when(F.col("seq") % 3 > 0, F.array(F.lit("part_001"))).otherwise(none).alias("parts"),
+        (F.col("seq") % 4 == 0).alias("truncated"), (size + F.when(F.col("seq") % 17 == 0, 1).otherwise(0)).alias("original_bytes"),
+        F.when(F.col("seq") % 19 == 0, size + 2).when(F.col("seq") % 5 == 0, F.lit(0)).otherwise(size).alias("extracted_bytes"),
+        F.when(F.col("seq") % 23 == 0, "ebcdic").when(F.col("seq") % 2 == 0, "utf-8").alias("encoding"), F.when(F.col("seq") % 29 == 0, "crlf").when(F.col("seq") % 7 > 0, "lf").alias("newlines"),
+        F.when(F.col("seq") % 8 == 0, "").when(F.col("seq") % 8 == 3, "failed").alias("text_error"), F.when(F.col("seq") % 3 == 0, F.array(F.lit(1))).otherwise(F.expr("cast(array() as array<int>)")).alias("pages"),
+        F.when(F.col("seq") % 4 == 0, F.array(F.lit("pages_001"))).otherwise(none).alias("page_parts"), (F.col("seq") % 31 == 0).alias("excluded"), (F.col("seq") % 37 == 0).alias("visual_omitted"))
     return validation.representation(recs, ("seq",))
 
 
@@ -73,14 +71,14 @@ def q_validate_pages(spark, sf):
 
 
 def q_status_combine(spark, sf):
-    one, other = (_one_of(validation.CONVERSION, by) for by in (SEQ, F.floor(SEQ / 5)))
+    one, other = (_one_of(validation.CONVERSION, by) for by in (F.col("seq"), F.floor(F.col("seq") / 5)))
     return _bodies(spark, sf).select("seq", enrichment.combined_status(one, other).alias("status"))
 
 
 def q_manifest_security(spark, sf):
-    state = F.when(SEQ % 12 == 0, "excluded").when(SEQ % 3 == 0, "flagged").otherwise("clean")
-    reports = _good(spark, sf).filter(SEQ % 4 != 1).select(
-        "bundle_id", "seq", state.alias("security_status"), F.when(SEQ % 3 == 0, 2).otherwise(0).alias("finding_count"), F.lit(0).alias("redactions"), (SEQ % 12 == 0).alias("excluded"))
+    state = F.when(F.col("seq") % 12 == 0, "excluded").when(F.col("seq") % 3 == 0, "flagged").otherwise("clean")
+    reports = _good(spark, sf).filter(F.col("seq") % 4 != 1).select(
+        "bundle_id", "seq", state.alias("security_status"), F.when(F.col("seq") % 3 == 0, 2).otherwise(0).alias("finding_count"), F.lit(0).alias("redactions"), (F.col("seq") % 12 == 0).alias("excluded"))
     out = enrichment.with_security(manifest.file_records(_selected(spark, sf)), reports)
     return out.select("bundle_id", "seq", "included", "reason", "matched_glob", "status", "security_status", "finding_count")
 
@@ -102,8 +100,8 @@ def q_decode_text(spark, sf):
     """Texts written in four ways come back alike."""
     b = F.col("body")
     raw = (
-        F.when(SEQ % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), b.cast("binary"))).when(SEQ % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(b, "UTF-16LE")))
-        .when(SEQ % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(b, "UTF-16BE"))).otherwise(b.cast("binary"))
+        F.when(F.col("seq") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), b.cast("binary"))).when(F.col("seq") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(b, "UTF-16LE")))
+        .when(F.col("seq") % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(b, "UTF-16BE"))).otherwise(b.cast("binary"))
     )
     d = _bodies(spark, sf).select("seq", text.decoded(raw).alias("d"))
     return d.select("seq", "d.encoding", "d.fallback", F.sha2("d.text", 256).alias("sha256"))
