@@ -126,3 +126,62 @@ def is_iso(text: Column) -> Column:
     plain = F.substring(text, 1, 23)
     read = F.try_to_timestamp(F.when(shaped, plain), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
     return shaped & F.coalesce(F.date_format(read, "yyyy-MM-dd'T'HH:mm:ss.SSS") == plain, F.lit(False))
+
+
+def human_bytes(size: Column) -> Column:
+    """A size in B, KB, MB or GB with two decimals at most and groups of thousands."""
+
+    def shown(value: Column, unit: str) -> Column:
+        two = F.format_number(F.round(value, 2), 2)
+        return F.concat(F.regexp_replace(F.regexp_replace(two, "0+$", ""), r"\.$", ""), F.lit(f" {unit}"))
+
+    return (
+        F.when(size < 1 << 10, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, shown(size / (1 << 10), "KB"))
+        .when(size < 1 << 30, shown(size / (1 << 20), "MB")).otherwise(shown(size / (1 << 30), "GB"))
+    )
+
+
+#: Dashes and quotes that have a plain form.
+PLAIN = {"\u2013": "-", "\u2014": "-", "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'"}
+#: Characters in a line of a preview, lines on its page.
+LINE_WIDTH, PAGE_LINES = 88, 46
+
+
+def ascii_folded(text: Column, keep: str = "") -> Column:
+    """Text in plain ASCII: marks taken off letters, plain dashes and quotes, a question mark for the rest.
+
+    Characters in keep, a part of a pattern's set, stay. Only texts beyond ASCII are sent to Python, which knows compatibility
+    forms; Spark wants its result in a column of its own before lambdas such as those of `wrapped` read it.
+    """
+    import unicodedata
+
+    import regex
+
+    @F.pandas_udf("string")
+    def bare(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else regex.sub(r"\p{M}", "", unicodedata.normalize("NFKD", t)))
+
+    wide = text.rlike(r"[^\x00-\x7F]")
+    flat = F.translate(F.when(wide, bare(F.when(wide, text))).otherwise(text), "".join(PLAIN), "".join(PLAIN.values()))
+    return F.regexp_replace(flat, rf"[^\x20-\x7E{keep}]", "?")
+
+
+def wrapped(text: Column, width: int = LINE_WIDTH) -> Column:
+    """Lines of at most so many characters, cut between words; a longer word has a line of its own, an empty line stays.
+
+    Each part of a line is a shortest run of words that the next word would overfill: a pattern finds them in one pass.
+    """
+    lines = F.split(normalize_newlines(text), "\n", -1)
+    flat = F.transform(lines, lambda p: F.trim(F.regexp_replace(p, r"[ \t\x0B\f\x{85}\p{Z}]+", " ")))
+    pieces = rf"[^ ](?:.{{0,{width - 2}}}[^ ])?(?= |\z)|[^ ]+"
+    return F.flatten(F.transform(flat, lambda p: F.when(p == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(p, F.lit(pieces), F.lit(0)))))
+
+
+def preview_pages(text: Column) -> Column:
+    """Arrays of the lines on each page of a preview; the empty text has one empty line, null has no pages."""
+
+    def pages(lines: Column) -> Column:
+        last = F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(lines, i * PAGE_LINES + 1, PAGE_LINES))
+
+    return F.get(F.transform(F.array(wrapped(text)), pages), 0)  # the outer lambda binds the lines, so they are cut once
