@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, brown, decontaminate, line_dedup, minhash, pii, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, brown, decontaminate, divergence, filter_audit, line_dedup, minhash, pieces, pii, quality, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
@@ -22,4 +25,6 @@ SQL = {
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
