@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_left
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,67 +61,122 @@ def entropy_of(value: Column) -> Column:
 def high_entropy(value: Column, policy: ScanPolicy = ScanPolicy()) -> Column:
     """Whether a candidate of letters, digits and _+/=- has three of four character classes, twelve characters and enough entropy."""
     classes = sum((value.rlike(c).cast("int") for c in ("[A-Z]", "[0-9]", "[_+/=-]")), value.rlike("[a-z]").cast("int"))
-    return (classes >= 3) & (F.size(F.array_distinct(F.split(value, ""))) >= 12) & (entropy_of(value) >= policy.threshold)
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    return F.when(classes < 3, False).when(distinct < 12, False).otherwise(entropy_of(value) >= policy.threshold)
 
 
-def _entropy(value: str) -> float:
-    return -sum(p * math.log2(p) for p in (value.count(c) / len(value) for c in set(value)))
+def _java(pattern: str, flags: int) -> str:
+    """The pattern with word borders of ASCII letters, whatever the Java version takes for one."""
+    head, *rest = pattern.split(r"\b")
+    borders = [r"(?<![A-Za-z0-9_])", *[r"(?![A-Za-z0-9_])"] * (len(rest) - 1)] if rest else []
+    return ("(?i)" if flags & re.IGNORECASE else "") + head + "".join(b + r for b, r in zip(borders, rest, strict=True))
 
 
-def scan(text: str, policy: ScanPolicy = ScanPolicy()) -> list[tuple[str, int, int]]:
-    """(category, start, end) of the secrets in a text: patterns in their order, none over an earlier one."""
-    text, found, taken = text[: policy.max_characters], [], []
-    most = math.inf if policy.max_findings is None else policy.max_findings
+#: What a text must hold for a pattern to match, where that is cheap to see.
+_HINTS = {"private-key": ["PRIVATE KEY-----"], "cloud-credential": ["AKIA", "ASIA"], "access-token": ["gh", "xox"], "jwt": ["eyJ"], "connection-string": ["://"]}
+FILENAME = -1
+#: Categories by rank: the file's name, the patterns in their order, random-looking strings.
+RANKS = ["sensitive-filename", *(p[0] for p in PATTERNS), "high-entropy"]
 
-    def free(a: int, b: int) -> bool:
-        """Whether a span lies over none that is taken (sorted, disjoint); it is taken then."""
-        at = bisect_left(taken, (a, b))
-        if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
-            return False
-        taken.insert(at, (a, b))
-        return True
 
-    for category, _, _, group, pattern, flags in PATTERNS:
-        for m in re.compile(pattern, re.ASCII | flags).finditer(text):
-            a, b = m.span(group)
-            if b > a and free(a, b):
-                found.append((category, a, b))
-            if len(found) >= most:
-                return found
+def _measured(s: Column) -> list[Column]:
+    """Characters, line feeds, and characters behind the last line feed."""
+    return [F.length(s), F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))), F.length(F.substring_index(s, "\n", -1))]
+
+
+def _matches(text: Column, pattern: str, group: int, good) -> Column:
+    """For each match of a pattern: measures of what lies before its secret (from the end of the match before) and of the secret; the secret ends where the match does."""
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1))
+
+    def one(z: Column) -> Column:
+        whole, value, gap = z["0"], z["1"], z["2"]
+        before = F.concat(gap, F.substr(whole, F.lit(1), F.length(whole) - F.length(value)))
+        names = ("before", "before_lines", "before_tail", "size", "lines", "tail")
+        return F.struct(*[c.alias(n) for n, c in zip(names, [*_measured(before), *_measured(value)], strict=True)], good(value).alias("good"))
+
+    return F.transform(F.filter(parts, lambda z: z["0"].isNotNull()), one)
+
+
+def candidates(files: DataFrame, policy: ScanPolicy, keys: tuple[str, ...]) -> DataFrame:
+    """keys, path, rank, start, end, line, column of all that looks like a secret. Texts stay where they are; places are running sums of lengths."""
+    text = F.coalesce("body", F.lit(""))
+    text = text if policy.max_characters is None else F.substring(text, 1, policy.max_characters)
+    zero = [F.lit(0).alias(n) for n in ("before_lines", "before_tail", "size", "lines", "tail")]
+    found = [F.when(sensitive_name(F.col("path")), F.struct(F.lit(FILENAME).alias("rank"), F.array(F.struct(F.lit(-1).alias("before"), *zero, F.lit(True).alias("good"))).alias("each")))]
+    for rank, (category, _, _, group, pattern, flags) in enumerate(PATTERNS):
+        java = _java(pattern, flags)
+        holds = text.rlike(java)
+        if category in _HINTS:
+            hint = F.lit(False)
+            for word in _HINTS[category]:
+                hint = hint | F.contains(text, F.lit(word))
+            holds = hint & holds
+        found.append(F.when(holds, F.struct(F.lit(rank).alias("rank"), _matches(text, java, group, lambda v: F.length(v) > 0).alias("each"))))
     if policy.high_entropy:
-        for m in re.finditer(f"[A-Za-z0-9_+/=-]{{{policy.min_length},{policy.max_length}}}", text):
-            v = m.group()
-            if sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[_+/=-]")) >= 3 and len(set(v)) >= 12 and _entropy(v) >= policy.threshold and free(*m.span()):
-                found.append(("high-entropy", *m.span()))
-                if len(found) >= most:
-                    break
-    return found
+        java = f"[A-Za-z0-9_+/=-]{{{policy.min_length},{policy.max_length}}}"
+        found.append(F.when(text.rlike(java), F.struct(F.lit(len(PATTERNS)).alias("rank"), _matches(text, java, 0, lambda v: high_entropy(v, policy)).alias("each"))))
+    rows = files.select(*keys, "path", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*keys, "path", "f.rank", F.posexplode("f.each").alias("at", "m"))
+    rows = rows.select(*keys, "path", "rank", "at", "m.*").repartition(*keys)
+    order = Window.partitionBy(*keys, "rank").orderBy("at")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    rows = rows.withColumns({"start": so_far(F.col("before") + F.col("size")) + F.col("before"), "line": so_far(F.col("before_lines") + F.col("lines")) + F.col("before_lines") + 1})
+    rows = rows.withColumn("end", F.col("start") + F.col("size"))
+    own = F.when(F.col("before_lines") > 0, F.col("start") - F.col("before_tail"))  # where the secret's line begins
+    last = F.max(F.when(F.col("lines") > 0, F.col("end") - F.col("tail")).otherwise(own)).over(earlier)
+    rows = rows.withColumn("column", F.col("start") - F.coalesce(own, last, F.lit(0)) + 1).filter("good")
+    return rows.select(*keys, "path", "rank", *[F.col(c).cast("int").alias(c) for c in ("start", "end", "line", "column")])
+
+
+def prior(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Those of spans (keys, path, rank, start, end, ...) that stay when ranks are taken one after the other, and in each the spans by position, none over one taken before.
+
+    Spans that overlap directly or through others are one island; what stays is decided in each island alone.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", "end", "rank")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("island", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("island", F.sum("island").over(order))
+    columns = ["rank", "start", "end", *[c for c in spans.columns if c not in (*keys, "rank", "start", "end")]]
+    islands = rows.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (k["end"] > x["start"]))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    alone = F.when(F.size("all") == 1, F.col("all")).otherwise(kept)
+    return islands.select(*keys, F.explode(alone).alias("s")).select(*keys, "s.*")
 
 
 def findings(files: DataFrame, policy: ScanPolicy = ScanPolicy(), keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
-    """keys, path, ordinal, category, severity, source, confidence, start, end, line, column: one row for each finding of files (keys, path, body)."""
-    spans = "array<struct<category:string,start:int,end:int,line:int,column:int>>"
-
-    def placed(t: str) -> list[dict]:
-        found = scan(t, policy)
-        ends = [m.start() for m in re.finditer("\n", t)] if found else []
-        lines = [bisect_left(ends, a) for _, a, _ in found]
-        return [{"category": c, "start": a, "end": b, "line": n + 1, "column": a - (ends[n - 1] if n else -1)} for (c, a, b), n in zip(found, lines, strict=True)]
-
-    @F.pandas_udf(spans)
-    def scanned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: placed(t) if t else [])
-
-    named = F.when(sensitive_name(F.col("path")), F.array(F.struct(F.lit("sensitive-filename").alias("category"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end", "line", "column")]))).otherwise(F.expr(f"cast(array() as {spans})"))
-    every = F.concat(named, scanned("body"))
-    every = files.select(*keys, "path", (every if policy.max_findings is None else F.slice(every, 1, policy.max_findings)).alias("all"))
-    # places come with the spans, so that bodies are not repeated for each finding
-    each = every.select(*keys, "path", F.posexplode("all").alias("at", "f"))
-    medium = F.col("f.category").isin("high-entropy", "sensitive-filename")
-    return each.select(
-        *keys, "path", (F.col("at") + 1).alias("ordinal"), F.col("f.category").alias("category"), F.when(medium, "medium").otherwise("high").alias("severity"),
-        F.when(F.col("f.start").isNull(), "filename").otherwise("content").alias("source"), F.when(medium | (F.col("f.category") == "password-assignment"), "medium").otherwise("high").alias("confidence"),
-        *[F.col(f"f.{c}").alias(c) for c in ("start", "end", "line", "column")])
+    """keys, path, finding_id, ordinal, category, severity, source, confidence, start, end, line, column: one row for each finding of files (keys, path, body).
+
+    Keys are those of one file. Candidates of all patterns are placed at once and overlaps decided by rank, then position;
+    a policy's number of findings keeps the first ones, which scan_reports tells.
+    """
+    rows = prior(candidates(files, policy, keys), keys)
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "start")))
+    if policy.max_findings is not None:
+        rows = rows.filter(F.col("ordinal") <= policy.max_findings)
+    category = F.get(F.array(*map(F.lit, RANKS)), F.col("rank") - FILENAME)
+    source = F.when(F.col("rank") == FILENAME, "filename").otherwise("content")
+    rows = rows.withColumns({"category": category, "source": source})
+    medium = F.col("category").isin("high-entropy", "sensitive-filename")
+    return rows.select(
+        *keys, "path", F.format_string("secret-%s-%s-%03d", "source", "category", "ordinal").alias("finding_id"), "ordinal", "category", F.when(medium, "medium").otherwise("high").alias("severity"),
+        "source", F.when(medium | (F.col("category") == "password-assignment"), "medium").otherwise("high").alias("confidence"),
+        *[F.when(F.col("rank") != FILENAME, F.col(c)).alias(c) for c in ("start", "end", "line", "column")])
+
+
+def scan_reports(files: DataFrame, found: DataFrame, policy: ScanPolicy = ScanPolicy(), keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
+    """keys, path, status, scanned_characters, scan_truncated, finding_count, categories and warnings of each file; files without a body are not scanned."""
+    sums = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("category")).alias("c"))
+    rows = files.select(*keys, "path", F.length("body").alias("length")).join(sums, list(keys), "left")
+    n, length = F.coalesce("n", F.lit(0)), F.coalesce("length", F.lit(0))
+    cut = F.lit(False) if policy.max_characters is None else length > policy.max_characters
+    full = F.lit(False) if policy.max_findings is None else n >= policy.max_findings
+    uncertain = F.coalesce(F.array_contains("c", "high-entropy"), F.lit(False))
+    warnings = F.array_compact(F.array(F.when(cut, "characters-limited"), F.when(full, "findings-limited"), F.when(uncertain, "high-entropy-uncertain")))
+    return rows.select(
+        *keys, "path", F.when(n > 0, "flagged").when(F.col("length").isNull(), "not-scanned").otherwise("clean").alias("status"),
+        (length if policy.max_characters is None else F.least(length, F.lit(policy.max_characters))).alias("scanned_characters"), (cut | full).alias("scan_truncated"),
+        n.alias("finding_count"), F.coalesce("c", F.expr("cast(array() as array<string>)")).alias("categories"), warnings.alias("warnings"))
 
 
 def merged_intervals(spans: DataFrame, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
@@ -167,11 +219,17 @@ def by_mode(files: DataFrame, found: DataFrame, mode: str, keys: tuple[str, ...]
     return out.withColumn("status", F.when(F.col("flagged"), "flagged").otherwise("clean")).drop("flagged")
 
 
-def summary(found: DataFrame, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
-    """One row for each bundle: findings, flagged files, and the files of each category."""
+def summary(found: DataFrame, keys: tuple[str, ...] = ("bundle_id", "seq"), reports: DataFrame | None = None) -> DataFrame:
+    """One row for each bundle: findings, flagged files, and the files of each category; with reports also of bundles without findings, with scanned, truncated and unscanned files."""
     file = F.struct(*keys)
     each = [F.countDistinct(F.when(F.col("category") == c, file)).alias(c.replace("-", "_")) for c in CATEGORIES]
-    return found.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct(file).alias("flagged_files"), *each)
+    if reports is None:
+        return found.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct(file).alias("flagged_files"), *each)
+    count = lambda c: F.count_if(c)
+    by_category = [count(F.array_contains("categories", c)).alias(c.replace("-", "_")) for c in CATEGORIES]
+    return reports.groupBy("bundle_id").agg(
+        F.sum("finding_count").alias("findings"), count(F.col("finding_count") > 0).alias("flagged_files"), *by_category, count(F.col("status") != "not-scanned").alias("scanned_files"), count(F.col("scan_truncated")).alias("truncated_scans"),
+        count(F.col("status") == "not-scanned").alias("unscanned_files"), F.sum(F.col("scanned_characters").cast("long")).alias("scanned_characters"))
 
 
 def file_rollup(found: DataFrame, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:

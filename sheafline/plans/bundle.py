@@ -28,19 +28,20 @@ def sections(files: DataFrame, max_part: int = 1 << 20) -> DataFrame:
     return out.withColumn("byte_length", F.octet_length("content").cast("long"))
 
 
-def run_bundle(files: DataFrame, globs: list[str] = (), excluded: DataFrame | None = None, mode: str = "redact", max_part: int = 1 << 20) -> dict[str, DataFrame]:
-    """All tables of a bundle from files (bundle_id, seq, raw_path, size, compressed_size, mime_declared, content)."""
+def run_bundle(files: DataFrame, globs: list[str] = (), excluded: DataFrame | None = None, mode: str = "redact", max_part: int = 1 << 20, policy: security.ScanPolicy = security.ScanPolicy(None, None)) -> dict[str, DataFrame]:
+    """All tables of a bundle from files (bundle_id, seq, raw_path, size, compressed_size, mime_declared, content). Texts are scanned whole unless a policy limits that; `scans` tells of which files it did."""
     with_path = importing.with_paths(files, composed=True)
     good = importing.first_wins(with_path).filter("copy = 1").drop("copy", "error")
     recs = selection.inclusion(preflight.records(good), list(globs), excluded)
     chosen = good.join(recs.filter("included and is_text").select("bundle_id", "seq"), ["bundle_id", "seq"], "left_semi")
     bodies = chosen.withColumn("body", text.decoded(F.col("content"))["text"]).drop("content")
-    found = security.findings(bodies)
+    found = security.findings(bodies, policy)
+    scans = security.scan_reports(bodies, found, policy)
     safe = security.by_mode(bodies, found, mode)
     atoms = sections(safe, max_part)
     packed = packing.pack(atoms, max_part)
     records = manifest.file_records(recs)
     return {
         "issues": importing.issues(with_path), "preflight": recs, "totals": preflight.totals(recs), "mode": preflight.output_mode(preflight.totals(recs)), "nodes": tree.nodes(good),
-        "findings": found, "security": security.summary(found), "parts": packing.parts_text(atoms, packed), "manifest": records, "summary": manifest.summary(recs), "violations": manifest.inconsistent(records),
+        "findings": found, "scans": scans, "security": security.summary(found, reports=scans), "parts": packing.parts_text(atoms, packed), "manifest": records, "summary": manifest.summary(recs), "violations": manifest.inconsistent(records),
     }

@@ -178,11 +178,21 @@ def q_redact_passwords(spark, sf):
 
 
 def q_secret_findings(spark, sf):
-    return security.findings(_bodies(spark, sf), security.ScanPolicy(None, None)).select("seq", "ordinal", "category", "severity", "source", "confidence", "start", "end", "line", "column")
+    return security.findings(_bodies(spark, sf), security.ScanPolicy(None, None)).select("seq", "finding_id", "ordinal", "category", "severity", "source", "confidence", "start", "end", "line", "column")
+
+
+def q_scan_reports(spark, sf):
+    """Under limits that bind: the number of findings and of characters are what a policy is for."""
+    policy = security.ScanPolicy(2, 3000)
+    rows = _bodies(spark, sf)
+    out = security.scan_reports(rows, security.findings(rows, policy), policy)
+    return out.select("seq", "status", "scanned_characters", "scan_truncated", "finding_count", F.array_join("categories", ",").alias("categories"), F.array_join("warnings", ",").alias("warnings"))
 
 
 def q_security_summary(spark, sf):
-    return security.summary(security.findings(_bodies(spark, sf), security.ScanPolicy(None, None)))
+    rows, policy = _bodies(spark, sf), security.ScanPolicy(None, None)
+    found = security.findings(rows, policy)
+    return security.summary(found, reports=security.scan_reports(rows, found, policy))
 
 
 def q_secure_modes(spark, sf):
@@ -261,7 +271,7 @@ def q_image_resize_plan(spark, sf):
 
 def q_sections(spark, sf):
     rows = _bodies(spark, sf).withColumn("name", F.substring_index("path", "/", -1)).withColumn("extension", F.lit("md"))
-    return bundle.sections(rows).select("ordinal", "byte_length", F.sha2("content", 256).alias("sha256"))
+    return bundle.sections(rows).select("ordinal.path", "ordinal.segment", "byte_length", F.sha2("content", 256).alias("sha256"))
 
 
 def q_html_active_counts(spark, sf):
@@ -409,6 +419,31 @@ spans AS (SELECT seq, body, CAST(list_sum(list_transform(list_slice(gaps, 1, i),
 """
 )
 
+_RE2 = [(p.replace("{0,200000}?", "*?"), "(?i)" if flags else "", group) for _, _, _, group, p, flags in security.PATTERNS]
+_CANDIDATES = [*[(flag + p, group) for p, flag, group in _RE2], ("[A-Za-z0-9_+/=-]{24,512}", 0)]
+_quoted = lambda p: p.replace("'", "''")
+
+
+def _secrets_sql(characters: int | None = None) -> str:
+    """Secrets in SQL: candidates of each pattern from the pieces between them, then what each rank adds to the ranks before it."""
+    body = "body" if characters is None else f"substr(body, 1, {characters})"
+    hits = " UNION ALL ".join(f"SELECT seq, {k} AS rank, b, regexp_extract_all(b, '{_quoted(p)}', 0) AS m, regexp_extract_all(b, '{_quoted(p)}', {g}) AS v, string_split_regex(b, '{_quoted(p)}') AS gaps FROM cut WHERE regexp_matches(b, '{_quoted(p)}')" for k, (p, g) in enumerate(_CANDIDATES))
+    chars = "string_split(value, '')"
+    good = f"rank < 6 OR (CAST(regexp_matches(value, '[a-z]') AS INT) + CAST(regexp_matches(value, '[A-Z]') AS INT) + CAST(regexp_matches(value, '[0-9]') AS INT) + CAST(regexp_matches(value, '[_+/=-]') AS INT) >= 3 AND len(list_distinct({chars})) >= 12 AND -list_sum(list_transform(list_distinct({chars}), lambda c: (length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) >= 4.2)"
+    kept = ["k0 AS (SELECT * FROM spans WHERE rank = 0)"] + [f"k{r} AS (SELECT * FROM k{r - 1} UNION ALL SELECT * FROM spans s WHERE rank = {r} AND NOT EXISTS (SELECT 1 FROM k{r - 1} k WHERE k.seq = s.seq AND k.a < s.b AND k.b > s.a))" for r in range(1, 7)]
+    names = "CASE rank " + " ".join(f"WHEN {r} THEN '{c}'" for r, c in enumerate(security.RANKS[1:])) + " END"
+    return (
+        BODIES
+        + f""",
+cut AS (SELECT seq, {body} AS b FROM bodies),
+hits AS ({hits}),
+placed AS (SELECT seq, rank, v[i] AS value, b AS whole, CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + list_sum(list_transform(list_slice(m, 1, i), lambda x: length(x))) - length(v[i]) AS INTEGER) AS a FROM hits, unnest(range(1, len(m) + 1)) AS u(i)),
+spans AS (SELECT seq, rank, a, CAST(a + length(value) AS INTEGER) AS b, substr(whole, 1, a) AS ahead FROM placed WHERE {good}),
+{", ".join(kept)},
+found AS (SELECT *, {names} AS category, row_number() OVER (PARTITION BY seq ORDER BY rank, a) AS ordinal FROM k6)
+"""
+    )
+
 
 def _sql(ctes: str, rest: str) -> str:
     """A query over common tables; rest may begin with more of them."""
@@ -451,6 +486,12 @@ SQL = {
 SELECT 'report' AS mode, CASE WHEN hit THEN 'flagged' ELSE 'clean' END AS status, count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS characters FROM counted GROUP BY hit
 UNION ALL SELECT 'redact', CASE WHEN hit THEN 'redacted' ELSE 'clean' END, count(*), CAST(sum(safe) AS BIGINT) FROM counted GROUP BY hit
 UNION ALL SELECT 'exclude', CASE WHEN hit THEN 'excluded' ELSE 'clean' END, count(*), CAST(CASE WHEN hit THEN NULL ELSE sum(length(body)) END AS BIGINT) FROM counted GROUP BY hit"""),
+    "secret_findings": _sql(_secrets_sql(), """SELECT seq, 'secret-content-'||category||'-'||lpad(CAST(ordinal AS VARCHAR), 3, '0') AS finding_id, CAST(ordinal AS INTEGER) AS ordinal, category, CASE WHEN category = 'high-entropy' THEN 'medium' ELSE 'high' END AS severity, 'content' AS source,
+  CASE WHEN category IN ('high-entropy', 'password-assignment') THEN 'medium' ELSE 'high' END AS confidence, a AS "start", b AS "end", CAST(len(string_split(ahead, chr(10))) AS INTEGER) AS line, CAST(length(string_split(ahead, chr(10))[-1]) + 1 AS INTEGER) AS "column" FROM found"""),
+    "scan_reports": _sql(_secrets_sql(3000), """, f AS (SELECT seq, count(*) AS n, list_sort(list(DISTINCT category)) AS c FROM found WHERE ordinal <= 2 GROUP BY seq)
+SELECT b.seq, CASE WHEN n > 0 THEN 'flagged' ELSE 'clean' END AS status, CAST(least(length(body), 3000) AS INTEGER) AS scanned_characters, length(body) > 3000 OR coalesce(n, 0) >= 2 AS scan_truncated, coalesce(n, 0) AS finding_count, coalesce(array_to_string(c, ','), '') AS categories,
+  array_to_string(list_filter([CASE WHEN length(body) > 3000 THEN 'characters-limited' END, CASE WHEN n >= 2 THEN 'findings-limited' END, CASE WHEN list_contains(c, 'high-entropy') THEN 'high-entropy-uncertain' END], lambda x: x IS NOT NULL), ',') AS warnings FROM bodies b LEFT JOIN f ON b.seq = f.seq"""),
+    "security_summary": _sql(_secrets_sql(), "SELECT 'documents' AS bundle_id, (SELECT count(*) FROM found) AS findings, (SELECT count(DISTINCT seq) FROM found) AS flagged_files, " + ", ".join(f"(SELECT count(DISTINCT seq) FROM found WHERE category = '{c}') AS {c.replace('-', '_')}" for c in security.CATEGORIES) + ", count(*) AS scanned_files, CAST(0 AS BIGINT) AS truncated_scans, CAST(0 AS BIGINT) AS unscanned_files, CAST(sum(length(body)) AS BIGINT) AS scanned_characters FROM bodies"),
     "shannon_entropy": _sql(BODIES, "SELECT seq, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT seq, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY seq) AS t FROM (SELECT seq, unnest(string_split(body, '')) AS c FROM bodies WHERE body <> '') GROUP BY seq, c) GROUP BY seq"),
     "merge_intervals": """WITH s AS (SELECT user_id, event_id * 37 % 10007 AS a, event_id * 37 % 10007 + event_id % 90 AS b, event_type FROM events),
 m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
@@ -481,5 +522,5 @@ SELECT bundle_id, path, pages, kept_pages, CAST(2 + ceil(count(*) OVER (PARTITIO
     "sensitive_names": _sql(FILES, "SELECT bundle_id, seq, TRUE AS sensitive FROM valid WHERE " + " OR ".join("regexp_matches(path, '" + p.replace("\\A", "^").replace("\\z", "$") + "')" for p in security.SENSITIVE_FILES)),
     "cap_and_count": "SELECT l_suppkey, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS omitted FROM lineitem GROUP BY l_suppkey",
     "interval_overlap": _sql(PASSWORDS, "SELECT a.seq, a.\"start\" AS start_a, b.\"start\" AS start_b FROM spans a JOIN spans b ON a.seq = b.seq AND a.\"start\" < b.\"start\" AND b.\"start\" < a.\"start\" + a.n + 2000"),
-    "sections": _sql(BODIES, ", c AS (SELECT seq, '## '||path||chr(10)||chr(10)||'```markdown'||chr(10)||body||chr(10)||'```' AS s FROM bodies) SELECT seq AS ordinal, octet_length(encode(s)) AS byte_length, sha256(s) AS sha256 FROM c"),
+    "sections": _sql(BODIES, ", c AS (SELECT path, '## '||path||chr(10)||chr(10)||'```markdown'||chr(10)||body||chr(10)||'```' AS s FROM bodies) SELECT path, CAST(1 AS INTEGER) AS segment, octet_length(encode(s)) AS byte_length, sha256(s) AS sha256 FROM c"),
 }

@@ -55,20 +55,6 @@ def test_secrets_behind_the_limits_of_a_scan(spark, tmp_path):
     assert sum(r.seq == 3 for r in run("interval_overlap")) == 120 * 119 // 2
 
 
-def test_long_secrets_and_emails_leave_nothing(spark):
-    from sheafline.llm import pii
-
-    token, local = "".join(chr(97 + i * i % 26) + str(i % 10) for i in range(500)), "name." * 20 + "end"
-    df = spark.createDataFrame([(1, f"token={token} end"), (2, f"to {local}@mail.org now"), (3, f"secret={'Ab3' * 40_000}")], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
-    assert [out[i].n_entities for i in (1, 2, 3)] == [1, 1, 1]
-    new = out[1].text[6:-4]
-    assert out[1].text == f"token={new} end" and len(new) == 1000
-    assert not any(token[i : i + 12] in new for i in range(989))
-    assert out[2].text.startswith("to ") and out[2].text.endswith(".example now") and local not in out[2].text
-    assert len(out[3].text) == 120_007 and "Ab3Ab3Ab3" not in out[3].text
-
-
 def test_entropy_of_whole_texts_and_all_lines_of_the_grid(spark, tmp_path):
     docs = [(1, "a" * 300 + "b" * 300), (2, "abc" * 100 + "😀" * 200), (3, "z"), (4, ""), (5, None)]
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
