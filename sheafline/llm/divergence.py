@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,11 @@ from .tasks import discard, join_hot, written
 
 #: Documents of its language that a kept term occurs in at least; ranks of terms; the scale of shares.
 LEAST_DOCUMENTS, TOP, SCALE = 10, 10, 1_000_000_000
-#: Terms and groups a task holds before it sends them, bytes of a text counted at once, pairs of postings compared at once.
-HELD, STRETCH, PAIRS = 400_000, 4 << 20, 1 << 20
+#: Terms and groups a task holds before it sends them, rows sent at once, bytes of a text counted at once, pairs of postings compared at once.
+HELD, SENT, STRETCH, PAIRS = 700_000, 100_000, 4 << 20, 1 << 20
+#: A task holds a term's documents above this bit of its count, and sends its counts before it has read so many bytes that either could need more bits.
+SHIFT, MOST_BYTES = 32, 1 << 30
+DOCUMENT = 1 << SHIFT
 #: Tasks among which a language's pairs of groups are dealt.
 SALTS = 16
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -56,32 +60,33 @@ def term_counts(text: str) -> Counter:
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, term, n occurrences and d documents; a group's row with a null term shows that the group occurs."""
 
-    def rows(held: dict) -> pa.RecordBatch:
-        flat = [(g, t, n, docs[t] if t is not None else 0) for g, (counts, docs) in held.items() for t, n in [(None, 0), *counts.items()]]
-        groups, terms, n, d = zip(*flat, strict=True)
-        return pa.record_batch([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "d"])
+    def rows(held: dict):
+        for (lang, source), counts in held.items():
+            for at in range(0, len(counts), SENT):
+                some = dict(islice(counts.items(), at, at + SENT))
+                both = np.fromiter(some.values(), np.int64, len(some))
+                terms = pa.array(list(some), pa.binary()).cast(pa.string())
+                columns = [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), terms, pa.array(both & (DOCUMENT - 1)), pa.array(both >> SHIFT)]
+                yield pa.record_batch(columns, names=["lang", "source", "term", "n", "d"])
 
     def run(batches):
-        held, size = {}, 0
+        held, size, read = {}, 0, 0
         for batch in batches:
             for lang, text, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = held.get((lang, source))
                 if own is None:
-                    own = held[lang, source] = (Counter(), Counter())
-                    size += 1
-                size -= len(own[0])
-                found = term_counts(text)
-                own[0].update(found)
-                own[1].update(found.keys())
-                size += len(own[0])
-                if size > HELD:
-                    yield rows(held)
-                    held, size = {}, 0
-        if held:
-            yield rows(held)
-
-    read = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (text_col, "text"), (source_col, "source"))]
-    return docs.select(*read).mapInArrow(run, "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+                    own, size = held.setdefault((lang, source), {None: 0}), size + 1
+                before, get = len(own), own.get
+                for term, n in term_counts(text).items():
+                    own[term] = get(term, 0) + n + DOCUMENT
+                size, read = size + len(own) - before, read + len(text)
+                if size > HELD or read > MOST_BYTES:
+                    yield from rows(held)
+                    held, size, read = {}, 0, 0
+        yield from rows(held)
+
+    wanted = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (text_col, "text"), (source_col, "source"))]
+    return docs.select(*wanted).mapInArrow(run, "lang string, source string, term string, n long, d long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def difference(p: np.ndarray, q: np.ndarray) -> np.ndarray:
