@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from .operators import crosscheck
-from .queries import _bodies
+from .operators import crosscheck, lineage, packing, security, tree
+from .plans import bundle
+from .queries import GLOBS, SELECTED, _bodies, _id, _secrets_sql
+from .sources import files as sources
+from .sources import parts as sink
 
 PART = 40  # documents of a part
 LIMIT = 200_000
+MAX_PART = 1 << 18
 
 
 def _every(n, rest=0):
@@ -69,6 +75,27 @@ def q_list_mismatch(spark, sf):
     return crosscheck.list_mismatch(li, other, "l_orderkey", "l_linenumber", "l_partkey")
 
 
+def q_bundle_parts(spark, sf):
+    """Parts of the documents, written through the sink and read back."""
+    docs = _bodies(spark, sf)
+    keep = ~_every(9)
+    recs = docs.select("bundle_id", "seq", "path", F.octet_length("body").cast("long").alias("size"), keep.alias("included"), F.when(keep, "selected").otherwise("excluded-manual").alias("reason"), keep.alias("has_section"))
+    rows = docs.filter(keep).withColumn("name", F.substring_index("path", "/", -1)).withColumn("extension", F.lit("md"))
+    every = lineage.settled(bundle.atoms(recs, tree.nodes(docs), bundle.sections(rows, MAX_PART), MAX_PART))
+    parts = packing.parts_text(every, packing.pack(every, MAX_PART), F.col("bundle_id"))
+    folder = f"{lineage.shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    spark.dataSource.register(sink.BundleParts)
+    parts.select("bundle_id", "name", "content").write.format("bundle-parts").mode("append").save(folder)
+    back = spark.read.format("bundle-parts").load(folder)
+    return back.select("bundle_id", "name", F.octet_length("content").cast("long").alias("byte_length"), "sha256")
+
+
+def q_run_bundle(spark, sf):
+    """The scan's summary of whole bundles, from files through import, preflight and selection."""
+    files = sources.demo_files(spark, sf).withColumn("content", F.col("body").cast("binary")).withColumn("compressed_size", F.floor(F.col("size") / (1 + F.col("seq") % 60)).cast("long")).drop("body")
+    return bundle.run_bundle(files, GLOBS, files.filter("seq % 9 = 0").select("bundle_id", "seq"), with_parts=False)["security"]
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ID = "'file_' || sha256(CAST(doc_id AS VARCHAR))"
@@ -113,7 +140,39 @@ UNION ALL SELECT 'security-categories', fid FROM scans WHERE known AND (seq % 10
 UNION ALL SELECT 'security-exclusion-markdown', fid FROM scans WHERE known AND seq % 41 = 0
 UNION ALL SELECT 'security-visual-pages', fid FROM scans WHERE known AND seq % 31 = 0 AND seq % 3 = 0
 UNION ALL SELECT 'security-report-missing', d.file_id FROM d WHERE seq % 107 <> 0 AND file_id NOT IN (SELECT fid FROM scans))"""
+_MOST = MAX_PART - packing.RESERVED - 2
+_room = lambda title: (_MOST - len(title) - 4) // 2
+_esc = lambda c: rf"regexp_replace({c}, '([\\*_\[\]#])', '\\\1', 'g')"
+
+
+def _lines(name: str, kind: int, title: str, rows: str) -> str:
+    """Lines in order (o, line) as atoms, in SQL."""
+    return f"""{name}0 AS ({rows}), {name}1 AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) - octet_length(encode(line)) - 1 AS before FROM {name}0),
+{name} AS (SELECT {kind} AS kind, '' AS path, CAST(before // {_room(title)} AS INTEGER) + 1 AS segment, CASE WHEN before // {_room(title)} = 0 THEN '{title}' || chr(10) || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY o) AS content FROM {name}1 GROUP BY before // {_room(title)})"""
+
+
+_PARTS = f"""WITH RECURSIVE d AS (SELECT doc_id AS seq, source, source||'/doc_'||doc_id||'.md' AS path, coalesce(text, '') AS body FROM documents),
+h AS (SELECT 0 AS kind, '' AS path, 1 AS segment, '## About this bundle' || chr(10) || chr(10) || 'The manifest is the index of all files; paths are those of the source.' || chr(10) || chr(10) || '- Files: ' || count(*) || chr(10) || '- Files included: ' || count(*) FILTER (WHERE seq % 9 <> 0)
+  || chr(10) || '- Files excluded: ' || count(*) FILTER (WHERE seq % 9 = 0) || chr(10) || '- Bytes included: ' || sum(octet_length(encode(body))) FILTER (WHERE seq % 9 <> 0) AS content FROM d),
+{_lines("t", 1, "## Tree", f"SELECT row_number() OVER (ORDER BY CAST(substr(source, 4) AS INTEGER), seq) AS o, line FROM (SELECT source, seq, '  - ' || {_esc("'doc_' || seq || '.md'")} AS line FROM d UNION ALL SELECT DISTINCT source, -1, '- ' || source || '/' FROM d)")},
+{_lines("x", 2, "## Index of files", f"SELECT path AS o, '- **' || {_esc('path')} || '**, ' || CASE WHEN seq % 9 = 0 THEN 'excluded (excluded-manual)' ELSE 'anchor `' || {_id('file', 'path')} || '`' END AS line FROM d")},
+s AS (SELECT 3 AS kind, path, 1 AS segment, '<a id="' || {_id('file', 'path')} || '"></a>' || chr(10) || '## ' || path || chr(10) || chr(10) || '```markdown' || chr(10) || body || chr(10) || '```' AS content FROM d WHERE seq % 9 <> 0),
+a AS (SELECT *, octet_length(encode(content)) + 2 AS cost, row_number() OVER (ORDER BY kind, path, segment) AS n FROM (FROM h UNION ALL FROM t UNION ALL FROM x UNION ALL FROM s)),
+r AS (SELECT n, cost AS used, 1 AS part FROM a WHERE n = 1 UNION ALL SELECT a.n, CASE WHEN r.used + a.cost > {MAX_PART - packing.RESERVED} THEN a.cost ELSE r.used + a.cost END, CASE WHEN r.used + a.cost > {MAX_PART - packing.RESERVED} THEN r.part + 1 ELSE r.part END FROM r JOIN a ON a.n = r.n + 1),
+p AS (SELECT part, (SELECT max(part) FROM r) AS parts, string_agg(content, chr(10) || chr(10) ORDER BY a.n) AS content FROM a JOIN r ON a.n = r.n GROUP BY part),
+m AS (SELECT *, 'documents-content' || CASE WHEN parts = 1 THEN '.md' ELSE '.part-' || lpad(CAST(part AS VARCHAR), 3, '0') || '.md' END AS name FROM p),
+w AS (SELECT name, '<!-- part: ' || name || ' -->' || chr(10) || '# documents, part ' || part || ' of ' || parts || chr(10) || chr(10) || CASE WHEN parts > 1 THEN '> Load all parts that the manifest names before answering.' ELSE '> This is the only part.' END || chr(10) || chr(10) || content || chr(10) AS content FROM m)
+SELECT 'documents' AS bundle_id, name, octet_length(encode(content)) AS byte_length, sha256(content) AS sha256 FROM w"""
+_NAMES = " OR ".join("regexp_matches(path, '" + p.replace("\\A", "^").replace("\\z", "$") + "')" for p in security.SENSITIVE_FILES)
+_SCANNED = SELECTED + ", bodies AS (SELECT bundle_id || '/' || seq AS seq, bundle_id, path, replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM sel WHERE reason = 'selected' AND is_text)"
+_RUN = f"""WITH {_secrets_sql(bodies=_SCANNED)}, e AS (SELECT seq, category FROM found UNION ALL SELECT seq, 'sensitive-filename' FROM bodies WHERE {_NAMES}),
+f AS (SELECT b.bundle_id, e.* FROM e JOIN bodies b ON b.seq = e.seq),
+g AS (SELECT bundle_id, count(*) AS scanned_files, CAST(sum(length(body)) AS BIGINT) AS scanned_characters FROM bodies GROUP BY bundle_id)
+SELECT g.bundle_id, count(f.seq) AS findings, count(DISTINCT f.seq) AS flagged_files, {", ".join(f"count(DISTINCT CASE WHEN category = '{c}' THEN f.seq END) AS {c.replace('-', '_')}" for c in security.CATEGORIES)},
+  scanned_files, CAST(0 AS BIGINT) AS truncated_scans, CAST(0 AS BIGINT) AS unscanned_files, scanned_characters FROM g LEFT JOIN f ON f.bundle_id = g.bundle_id GROUP BY g.bundle_id, scanned_files, scanned_characters"""
 SQL = {
+    "bundle_parts": _PARTS,
+    "run_bundle": _RUN,
     "cross_check": _CROSS,
     "list_mismatch": """WITH o AS (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 AND l_linenumber <= 2 THEN 3 - l_linenumber ELSE l_linenumber END AS n, l_partkey FROM lineitem),
 p AS (SELECT * FROM o WHERE NOT (l_orderkey % 13 = 0 AND n = 1) UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 17 = 0 AND l_linenumber = 1),

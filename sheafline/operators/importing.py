@@ -24,6 +24,21 @@ def first_wins(files: DataFrame) -> DataFrame:
     return valid.withColumn("copy", F.row_number().over(Window.partitionBy("bundle_id", "path").orderBy("seq")))
 
 
+#: Later copies that are broadcast, two numbers each; more are met by a shuffle.
+FEW = 1_000_000
+
+
+def accepted(files: DataFrame) -> DataFrame:
+    """The first file of each valid path; seq numbers the files of a bundle.
+
+    Which files are later copies is decided on paths and numbers alone. Bodies and contents stay where they are, unless
+    there are more than FEW copies.
+    """
+    copies = settled(first_wins(files.select("bundle_id", "seq", "path", "error")).filter("copy > 1").select("bundle_id", "seq"))
+    few = copies.count() <= FEW
+    return files.filter("error is null").join(F.broadcast(copies) if few else copies, ["bundle_id", "seq"], "left_anti").drop("error")
+
+
 def path_conflicts(files: DataFrame) -> DataFrame:
     """bundle_id, path, conflict: files that lie below another file. Ancestors are exploded, so the join is on equality."""
     own = files.select("bundle_id", "path").distinct()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.text import escaped
 from .lineage import settled
 
 RESERVED = 1024
@@ -46,30 +49,49 @@ def fence_bytes(piece: str) -> int:
     return 2 * max(3, 1 + max(map(len, re.findall("`+", piece)), default=0)) + 4
 
 
-def fitting(text: str, limit: int, most: int | None) -> list[str]:
-    """Pieces of at most `limit` bytes; where one with its fence has more than `most`, all are cut again at half the limit."""
-    pieces = split_utf8(text, limit)
-    while most is not None and limit > 4 and any(len(p.encode()) + fence_bytes(p) > most for p in pieces):
-        limit //= 2
+def fitting(text: str, most: int, head: int) -> list[str]:
+    """Pieces that fit an atom of `most` bytes with a head of `head` bytes and their fence.
+
+    The first cut leaves 2048 bytes for head and fence; where that is too little, the text is cut again at 0.7 of the
+    limit, up to eight times.
+    """
+    limit = max(256, most - 2048)
+    for _ in range(9):
         pieces = split_utf8(text, limit)
-    return pieces
+        if all(head + len(p.encode()) + fence_bytes(p) <= most for p in pieces):
+            return pieces
+        limit = max(128, limit * 7 // 10)
+    raise ValueError(f"a text of {len(text)} characters cannot be cut into atoms of {most} bytes with a head of {head}")
 
 
-def segments(files: DataFrame, limit: int, keys: tuple[str, ...] = ("bundle_id", "seq"), most: int | None = None) -> DataFrame:
-    """keys, segment (from 1), content, byte_length; with its fence no segment has more than `most` bytes."""
+def segments(files: DataFrame, limit: int, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
+    """keys, segment (from 1), content, byte_length of pieces of bodies, of at most `limit` bytes."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else fitting(t, limit, most))
+        return texts.map(lambda t: [] if t is None else split_utf8(t, limit))
+
+    return _numbered(files.select(*keys, F.posexplode(cut("body")).alias("at", "content")), keys)
+
+
+def fitted_segments(files: DataFrame, most: int, head: str, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
+    """The same for atoms of at most `most` bytes, of which a file's column `head` tells how many go before and around each piece."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else fitting(t, most, h) for t, h in zip(texts, heads, strict=True)])
+
+    return _numbered(files.select(*keys, F.posexplode(cut("body", head)).alias("at", "content")), keys)
+
 
-    each = files.select(*keys, F.posexplode(cut("body")).alias("at", "content"))
+def _numbered(each: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return each.select(*keys, (F.col("at") + 1).alias("segment"), "content", F.octet_length("content").cast("long").alias("byte_length"))
 
 
-def anchors(rows: DataFrame) -> DataFrame:
-    """anchor of each segment: its file's id and a three-digit number; more than 999 segments of a file fail."""
-    name = F.when(F.col("segment") <= 999, F.format_string("%s-segment-%03d", F.col("file_id"), F.col("segment"))).otherwise(F.raise_error(F.lit("more than 999 segments")))
-    return rows.withColumn("anchor", name)
+def anchor(file_id: Column, segment: Column) -> Column:
+    """The first segment of a file has its id, later ones a three-digit number behind it; more than 999 segments fail."""
+    later = F.when(segment <= 999, F.format_string("%s-segment-%03d", file_id, segment)).otherwise(F.raise_error(F.lit("more than 999 segments")))
+    return F.when(segment == 1, file_id).otherwise(later)
 
 
 def running_totals(rows: DataFrame, group: tuple[str, ...], order: str, size: str) -> DataFrame:
@@ -81,56 +103,109 @@ def running_totals(rows: DataFrame, group: tuple[str, ...], order: str, size: st
     return held.join(ahead.drop("__sum"), [*group, "__range"]).withColumn("upto", F.col("__ahead") + within).drop("__range", "__ahead")
 
 
-#: Budgets in a stretch of atoms that one task searches, a bound on what it holds.
+#: Budgets in a stretch of atoms: what one task walks through, and a bound on what it holds (totals only, no contents).
 STRETCH = 16
 
 
+def _next(before: np.ndarray, upto: np.ndarray, budget: int) -> np.ndarray:
+    """For each atom, if it opens a part, the place of the atom that opens the next one."""
+    return np.searchsorted(upto, before + budget, "right")
+
+
 def pack(atoms: DataFrame, max_part: int, group: tuple[str, ...] = ("bundle_id",), order: str = "ordinal") -> DataFrame:
     """group, order, part: next-fit packing of atoms (byte_length) in order; an atom costs its bytes and two for the blank line.
 
-    From running totals each atom finds the one that would open the next part after it: it lies at most two budgets
-    ahead, so it is looked for in stretches of totals. Which atoms do open parts follows from these links by doubling: the
-    openers known so far are led as many parts on as they span.
+    From running totals each atom knows the one that would open the next part after it. These links are followed stretch by
+    stretch: for each atom that may open the first part of its stretch, one task finds which atom opens the first part of
+    the next stretch, and how many parts later. Doubling over these few links alone tells where each stretch begins, and
+    then every stretch numbers its own atoms. Rounds follow the logarithm of the number of stretches.
     """
     budget = max_part - RESERVED
+    width = budget * STRETCH
     bad = F.raise_error(F.concat(F.lit("an atom of "), F.col("byte_length"), F.lit(" bytes does not fit a part")))
     cost = F.when(F.col("byte_length") + 2 > budget, bad).otherwise(F.col("byte_length") + 2).cast("long")
     rows = settled(running_totals(atoms.select(*group, order, "byte_length").withColumn("cost", cost), group, order, "cost"))
-    # the part that begins after `before` bytes ends before the first atom that goes beyond before + budget
-    rows = rows.withColumn("before", F.col("upto") - F.col("cost"))
-    stretch = lambda c: F.floor(c / (budget * STRETCH))
-    ends = rows.select(*group, F.col("before").alias("opens"), F.col("upto").alias("at"), F.lit(1).alias("real"), F.array(stretch(F.col("upto"))).alias("in"))
-    wanted = F.col("before") + budget
-    asks = rows.select(*group, F.col("before").alias("opens"), wanted.alias("at"), F.lit(0).alias("real"), F.array_distinct(F.array(stretch(wanted), stretch(wanted + budget))).alias("in"))
-    near = Window.partitionBy(*group, "in").orderBy(F.col("at").desc(), "real").rowsBetween(Window.unboundedPreceding, -1)
-    both = ends.unionByName(asks).select(*group, "opens", "at", "real", F.explode("in").alias("in"))
-    found = both.withColumn("to", F.last(F.when(F.col("real") == 1, F.col("opens")), ignorenulls=True).over(near)).filter("real = 0 and to is not null")
-    links = settled(found.groupBy(*group, "opens").agg(F.min("to").alias("to")))
-    opened = rows.filter("before = 0").select(*group, F.lit(0).cast("long").alias("opens"), F.lit(1).cast("long").alias("part")).distinct()
-    span, known = 1, 0
-    while True:
-        more = opened.join(links, [*group, "opens"]).select(*group, F.col("to").alias("opens"), (F.col("part") + span).alias("part"))
-        opened = settled(opened.unionByName(more).groupBy(*group, "opens").agg(F.min("part").alias("part")))
+    rows = rows.withColumn("before", F.col("upto") - F.col("cost")).withColumn("stretch", F.floor(F.col("before") / width))  # costs are positive: no two atoms of a group have one `before`
+    kinds = [StructField(g, rows.schema[g].dataType) for g in group]
+    long = lambda name: StructField(name, LongType())
+    both = F.array_compact(F.array("stretch", F.when((F.col("stretch") > 0) & (F.col("before") - F.col("stretch") * width <= budget), F.col("stretch") - 1)))
+    wide = rows.select(*group, "before", "upto", F.explode(both).alias("stretch"))  # each stretch sees the atoms that may open parts right behind it
+
+    def chained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("before")
+        start, before, upto = int(key[-1]) * width, pdf["before"].to_numpy(), pdf["upto"].to_numpy()
+        after, own = _next(before, upto, budget).tolist(), int((before < start + width).sum())
+        to, n = [-1] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            j = after[i]
+            if j < own:
+                to[i], n[i] = to[j], n[j] + 1
+            elif j < len(before):
+                to[i], n[i] = int(before[j]), 1
+        first = int((before[:own] <= start + budget).sum())
+        return pd.DataFrame({**{g: [k] * first for g, k in zip(group, key, strict=False)}, "opens": before[:first], "to": to[:first], "n": n[:first]})
+
+    links = settled(wide.groupBy(*group, "stretch").applyInPandas(chained, StructType([*kinds, long("opens"), long("to"), long("n")])))
+    opened = rows.filter("before = 0").select(*group, F.lit(0).cast("long").alias("opens"), F.lit(1).cast("long").alias("part"))
+    hops = links.filter("to >= 0")
+    known = -1 if hops.isEmpty() else 0
+    while known >= 0:
+        more = opened.join(hops, [*group, "opens"]).select(*group, F.col("to").alias("opens"), (F.col("part") + F.col("n")).alias("part"))
+        opened = settled(opened.unionByName(more).distinct())
         if (n := opened.count()) == known:
             break
-        known, span = n, span * 2
-        further = links.withColumnsRenamed({"to": "mid"}).join(links.withColumnsRenamed({"opens": "mid"}), [*group, "mid"])
-        links = settled(further.select(*group, "opens", "to"))
-    marks = rows.select(*group, order, "before").join(opened.withColumnRenamed("opens", "before"), [*group, "before"], "left")
-    marked = running_totals(marks.withColumn("opens", F.when(F.col("part").isNotNull(), 1).otherwise(0).cast("long")), group, order, "opens")
-    return marked.select(*group, order, F.col("upto").cast("int").alias("part"))
+        known = n
+        further = hops.select(*group, "opens", F.col("to").alias("mid"), F.col("n").alias("m")).join(hops.withColumnsRenamed({"opens": "mid"}), [*group, "mid"])
+        hops = settled(further.select(*group, "opens", "to", (F.col("m") + F.col("n")).alias("n")))
+    last = opened.join(links.filter("to < 0"), [*group, "opens"]).select(*group, (F.col("part") + F.col("n")).alias("last"))
+    entries = opened.withColumn("stretch", F.floor(F.col("opens") / width))
+    given = rows.select(*group, "before", "upto", "stretch").join(entries, [*group, "stretch"], "left").join(last, list(group)).fillna({"opens": -1, "part": 0})
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("before")
+        before, opens, part, final = pdf["before"].to_numpy(), int(pdf["opens"].iloc[0]), int(pdf["part"].iloc[0]), int(pdf["last"].iloc[0])
+        parts = np.full(len(before), final)  # no part begins in a stretch without an entry: it is the last one
+        if opens >= 0:
+            after, at = _next(before, pdf["upto"].to_numpy(), budget), int(np.searchsorted(before, opens))
+            parts[:at] = part - 1
+            while at < len(before):
+                parts[at : after[at]] = part
+                at, part = int(after[at]), part + 1
+        return pd.DataFrame({**{g: [k] * len(before) for g, k in zip(group, key, strict=False)}, "before": before, "part": parts})
+
+    parts = given.groupBy(*group, "stretch").applyInPandas(told, StructType([*kinds, long("before"), long("part")]))
+    return rows.select(*group, order, "before").join(parts, [*group, "before"]).select(*group, order, F.col("part").cast("int").alias("part"))
+
+
+def line_atoms(lines: DataFrame, most: int, order: str, title: str) -> DataFrame:
+    """bundle_id, segment, content: lines in order, in atoms of at most `most` bytes; the first one begins with the title. A line of more than half of that goes into an atom of its own."""
+    room = max(1, (most - len(title.encode()) - 4) // 2)
+    rows = running_totals(lines.withColumn("bytes", F.octet_length("line").cast("long") + 1), ("bundle_id",), order, "bytes")
+    rows = rows.withColumn("segment", (F.floor((F.col("upto") - F.col("bytes")) / room) + 1).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
+    out = rows.groupBy("bundle_id", "segment").agg(text.alias("content"))
+    return out.withColumn("content", F.concat(F.when(F.col("segment") == 1, f"{title}\n\n").otherwise(""), "content"))
+
+
+def part_name(project: Column, part: Column, parts: Column) -> Column:
+    return F.concat(project, F.when(parts == 1, F.lit("-content.md")).otherwise(F.format_string("-content.part-%03d.md", part)))
 
 
-def parts_text(atoms: DataFrame, packed: DataFrame) -> DataFrame:
-    """bundle_id, part, content: the atoms of each part in order, with blank lines between."""
-    rows = atoms.join(packed, ["bundle_id", "ordinal"])
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda x: x["content"]), "\n\n")
-    out = rows.groupBy("bundle_id", "part").agg(joined.alias("content"))
-    return out.withColumn("byte_length", F.octet_length("content").cast("long"))
+def prelude(project: Column, part: Column, parts: Column) -> Column:
+    """What every part begins with: its name, its place, and whether there are more."""
+    name = part_name(project, part, parts)
+    more = F.when(parts > 1, "> Load all parts that the manifest names before answering.").otherwise("> This is the only part.")
+    return F.concat(F.lit("<!-- part: "), name, F.lit(" -->\n# "), escaped(project), F.format_string(", part %d of %d\n\n", part, parts), more, F.lit("\n\n"))
 
 
-def part_name(project, part, parts):
-    return F.concat(project, F.when(parts == 1, F.lit("-content.md")).otherwise(F.format_string("-content.part-%03d.md", part)))
+def parts_text(atoms: DataFrame, packed: DataFrame, project: Column) -> DataFrame:
+    """bundle_id, part, name, content, byte_length, anchors: each part's prelude and its atoms (ordinal, content, anchor) in order, with blank lines between."""
+    rows = atoms.join(packed, ["bundle_id", "ordinal"])
+    parts = packed.groupBy("bundle_id").agg(F.max("part").alias("parts"))  # a row for each bundle
+    each = rows.groupBy("bundle_id", "part").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content", "anchor"))).alias("all")).join(parts, "bundle_id")
+    joined = F.array_join(F.transform("all", lambda x: x["content"]), "\n\n")
+    out = each.select("bundle_id", "part", part_name(project, F.col("part"), F.col("parts")).alias("name"), F.concat(prelude(project, F.col("part"), F.col("parts")), joined, F.lit("\n")).alias("content"), F.array_compact(F.transform("all", lambda x: x["anchor"])).alias("anchors"))
+    return out.withColumn("byte_length", F.octet_length("content").cast("long"))
 
 
 def running_budget(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:

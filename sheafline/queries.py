@@ -18,7 +18,7 @@ def _files(spark, sf):
 
 
 def _good(spark, sf):
-    rows = importing.first_wins(_files(spark, sf)).filter("copy = 1").drop("copy", "error")
+    rows = importing.accepted(_files(spark, sf))
     return rows.withColumn("content", F.col("body").cast("binary")).withColumn("compressed_size", F.floor(F.col("size") / (1 + F.col("seq") % 60)).cast("long")).drop("body", "raw_path")
 
 
@@ -43,7 +43,7 @@ def _password_spans(spark, sf):
 
 
 def q_import_accepted(spark, sf):
-    return importing.first_wins(_files(spark, sf)).filter("copy = 1").select("bundle_id", "seq", "path", "name", "extension", "depth")
+    return importing.accepted(_files(spark, sf)).select("bundle_id", "seq", "path", "name", "extension", "depth")
 
 
 def q_import_issues(spark, sf):
@@ -424,8 +424,8 @@ _CANDIDATES = [*[(flag + p, group) for p, flag, group in _RE2], ("[A-Za-z0-9_+/=
 _quoted = lambda p: p.replace("'", "''")
 
 
-def _secrets_sql(characters: int | None = None) -> str:
-    """Secrets in SQL: candidates of each pattern from the pieces between them, then what each rank adds to the ranks before it."""
+def _secrets_sql(characters: int | None = None, bodies: str = BODIES) -> str:
+    """Secrets of bodies (seq, body) in SQL: candidates of each pattern from the pieces between them, then what each rank adds to the ranks before it."""
     body = "body" if characters is None else f"substr(body, 1, {characters})"
     hits = " UNION ALL ".join(f"SELECT seq, {k} AS rank, b, regexp_extract_all(b, '{_quoted(p)}', 0) AS m, regexp_extract_all(b, '{_quoted(p)}', {g}) AS v, string_split_regex(b, '{_quoted(p)}') AS gaps FROM cut WHERE regexp_matches(b, '{_quoted(p)}')" for k, (p, g) in enumerate(_CANDIDATES))
     chars = "string_split(value, '')"
@@ -433,7 +433,7 @@ def _secrets_sql(characters: int | None = None) -> str:
     kept = ["k0 AS (SELECT * FROM spans WHERE rank = 0)"] + [f"k{r} AS (SELECT * FROM k{r - 1} UNION ALL SELECT * FROM spans s WHERE rank = {r} AND NOT EXISTS (SELECT 1 FROM k{r - 1} k WHERE k.seq = s.seq AND k.a < s.b AND k.b > s.a))" for r in range(1, 7)]
     names = "CASE rank " + " ".join(f"WHEN {r} THEN '{c}'" for r, c in enumerate(security.RANKS[1:])) + " END"
     return (
-        BODIES
+        bodies
         + f""",
 cut AS (SELECT seq, {body} AS b FROM bodies),
 hits AS ({hits}),
@@ -522,5 +522,5 @@ SELECT bundle_id, path, pages, kept_pages, CAST(2 + ceil(count(*) OVER (PARTITIO
     "sensitive_names": _sql(FILES, "SELECT bundle_id, seq, TRUE AS sensitive FROM valid WHERE " + " OR ".join("regexp_matches(path, '" + p.replace("\\A", "^").replace("\\z", "$") + "')" for p in security.SENSITIVE_FILES)),
     "cap_and_count": "SELECT l_suppkey, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS omitted FROM lineitem GROUP BY l_suppkey",
     "interval_overlap": _sql(PASSWORDS, "SELECT a.seq, a.\"start\" AS start_a, b.\"start\" AS start_b FROM spans a JOIN spans b ON a.seq = b.seq AND a.\"start\" < b.\"start\" AND b.\"start\" < a.\"start\" + a.n + 2000"),
-    "sections": _sql(BODIES, ", c AS (SELECT path, '## '||path||chr(10)||chr(10)||'```markdown'||chr(10)||body||chr(10)||'```' AS s FROM bodies) SELECT path, CAST(1 AS INTEGER) AS segment, octet_length(encode(s)) AS byte_length, sha256(s) AS sha256 FROM c"),
+    "sections": _sql(BODIES, f", c AS (SELECT path, '<a id=\"' || {_id('file', 'path')} || '\"></a>' || chr(10) || '## '||path||chr(10)||chr(10)||'```markdown'||chr(10)||body||chr(10)||'```' AS s FROM bodies) SELECT path, CAST(1 AS INTEGER) AS segment, octet_length(encode(s)) AS byte_length, sha256(s) AS sha256 FROM c"),
 }
