@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import crosscheck, lineage, packing, security, tree
+from .operators import crosscheck, documents, lineage, packing, security, tree
 from .plans import bundle
-from .queries import GLOBS, SELECTED, _bodies, _id, _secrets_sql
+from .queries import GLOBS, NODES, SELECTED, _bodies, _files, _id, _secrets_sql, _selected, _sql, _up
 from .sources import files as sources
 from .sources import parts as sink
 
@@ -96,6 +96,26 @@ def q_run_bundle(spark, sf):
     return bundle.run_bundle(files, GLOBS, files.filter("seq % 9 = 0").select("bundle_id", "seq"), with_parts=False)["security"]
 
 
+def q_manifest_records(spark, sf):
+    """Digests of the manifest's record of each file, as canonical JSON."""
+    docs = documents.file_documents(_selected(spark, sf))
+    text = documents.record_text(docs, "record")
+    return docs.select("bundle_id", "seq", "index", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+
+
+def _nodes(spark, sf):
+    return tree.nodes(_files(spark, sf).filter("error is null"))
+
+
+def q_tree_document(spark, sf):
+    """The nested tree as texts, each with its order."""
+    return documents.tree_rows(_nodes(spark, sf)).select("bundle_id", F.hex("key").alias("key"), "sub", "text")
+
+
+def q_tree_digests(spark, sf):
+    return documents.tree_digests(_nodes(spark, sf))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ID = "'file_' || sha256(CAST(doc_id AS VARCHAR))"
@@ -170,7 +190,50 @@ f AS (SELECT b.bundle_id, e.* FROM e JOIN bodies b ON b.seq = e.seq),
 g AS (SELECT bundle_id, count(*) AS scanned_files, CAST(sum(length(body)) AS BIGINT) AS scanned_characters FROM bodies GROUP BY bundle_id)
 SELECT g.bundle_id, count(f.seq) AS findings, count(DISTINCT f.seq) AS flagged_files, {", ".join(f"count(DISTINCT CASE WHEN category = '{c}' THEN f.seq END) AS {c.replace('-', '_')}" for c in security.CATEGORIES)},
   scanned_files, CAST(0 AS BIGINT) AS truncated_scans, CAST(0 AS BIGINT) AS unscanned_files, scanned_characters FROM g LEFT JOIN f ON f.bundle_id = g.bundle_id GROUP BY g.bundle_id, scanned_files, scanned_characters"""
+
+
+def _json(spec, indent: int = 0) -> str:
+    """SQL for the text of a JSON value: dicts by sorted keys, all else SQL for the text of a value without lines of its own."""
+    if not isinstance(spec, dict):
+        return spec
+    pad = " " * (indent + 2)
+    each = [f"chr(10) || '{pad}\"{k}\": ' || {_json(spec[k], indent + 2)}" for k in sorted(spec, key=documents.key_order)]
+    return "'{' || " + " || ',' || ".join(each) + f" || chr(10) || '{' ' * indent}}}'"
+
+
+_q = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+_n = lambda c: f"CAST({c} AS VARCHAR)"
+_word = lambda w: f"'{w}'"
+_planned = "CASE WHEN reason = 'selected' THEN '\"not-started\"' ELSE '\"not-applicable\"' END"
+_risks = "CASE WHEN len(rs) = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(rs, lambda x: chr(10) || '    {' || chr(10) || '      \"code\": \"' || string_split(x, ':')[1] || '\",' || chr(10) || '      \"level\": \"' || string_split(x, ':')[2] || '\"' || chr(10) || '    }'), ',') || chr(10) || '  ]' END"
+_none, _zero, _no, _list = _word("null"), _word("0"), _word("false"), _word("[]")
+_RECORD = {
+    "fileId": _q(_id("file", "path")), "normalizedPath": _q("path"), "parentDirectoryId": _q(_id("directory", _up("path"))), "name": _q("name"), "extension": _q("extension"), "size": _n("size"), "compressedSize": _n("compressed_size"),
+    "mimeDeclared": _q("mime_declared"), "mimeDetected": _q("mime"), "detectionMethod": _q("method"), "category": _q("category"), "capabilityLevel": _q("level"), "isText": _n("is_text"), "encoding": "CASE WHEN txt AND sig IS NULL THEN '\"utf-8\"' ELSE 'null' END", "risks": _risks, "riskLevel": _q("risk_level"),
+    "inclusion": {"included": _n("reason = 'selected'"), "reason": _q("reason"), "matchedGlob": _q("CASE WHEN reason = 'excluded-glob' THEN hit END")},
+    "security": {"status": _word('\"not-scanned\"'), "findingCount": _zero, "highSeverityCount": _zero, "mediumSeverityCount": _zero, "categories": _list, "redactionCount": _zero, "excluded": _no, "visualOmitted": _no, "scanTruncated": _no, "warnings": _list, "error": _none},
+    "integrity": {"algorithm": _word('\"SHA-256\"'), "status": _word('\"pending\"'), "value": _none, "error": _none}, "adapter": {"id": _q("adapter"), "version": _none, "conversionStatus": _planned},
+    "representations": {
+        "manifest": {"recorded": _word("true"), "pointer": "'\"/files/' || i || '\"'"}, "pdf": {"status": _planned, "pages": _list, "parts": _list},
+        "markdown": {"status": _planned, "anchors": _list, "parts": _list, "truncated": _no, "originalBytes": _n("size"), "extractedBytes": _zero, "extractedCharacters": _zero, "lineCount": _zero, "encoding": "CASE WHEN txt AND sig IS NULL THEN '\"utf-8\"' ELSE 'null' END", "usedFallback": _no, "replacementCharacters": _zero, "newlineNormalization": _none, "error": _none},
+    },
+}
+_padded = lambda c: rf"array_to_string(list_transform(regexp_extract_all({c}, '(\d+|\D+)', 1), lambda s: CASE WHEN regexp_full_match(s, '\d+') THEN lpad(s, CAST(greatest(length(s), 20) AS INTEGER), '0') ELSE s END), '')"
+_RECORDS = SELECTED + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY {_padded('path')}, path) - 1 AS i FROM sel), texts AS (SELECT bundle_id, seq, i, {_json(_RECORD)} AS t FROM placed)"""
+_level = lambda i: f"CASE WHEN {i} = len(p) AND kind = 'file' THEN '1' ELSE '0' END || {_padded(f'lower(p[{i}])')} || chr(1) || p[{i}]"
+_TREE = NODES + f""", keyed AS (SELECT *, CASE WHEN path = '' THEN '' ELSE array_to_string(list_transform(range(1, len(p) + 1), lambda i: {_level('i')}), chr(2)) END AS k FROM (SELECT *, string_split(path, '/') AS p FROM nodes)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, parent_id ORDER BY k) = 1 AS f, repeat(' ', depth * 4) AS pad, node_id IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AS many FROM keyed)"""
+_digest = "sha256('directory' || chr(1) || count(h) || chr(1) || coalesce(sum(('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT), 0) || chr(1) || coalesce(sum(('0x' || substr(h, 16, 15))::UBIGINT::HUGEINT), 0))"
+_levels = ", ".join(
+    f"l{d} AS (SELECT n.bundle_id, n.node_id, n.parent_id, n.kind, n.name, n.path, n.depth, CAST(coalesce(sum(k.n_files), 0) AS BIGINT) AS n_files, {_digest} AS digest FROM nodes n LEFT JOIN (SELECT *, sha256(kind || chr(1) || name || chr(1) || digest) AS h FROM (SELECT * FROM leaf WHERE depth = {d + 1} UNION ALL SELECT * FROM l{d + 1})) k ON k.bundle_id = n.bundle_id AND k.parent_id = n.node_id WHERE n.kind = 'directory' AND n.depth = {d} GROUP BY ALL)"
+    for d in range(7, -1, -1)
+)
+_DIGESTS = NODES + f""", leaf AS (SELECT *, CAST(1 AS BIGINT) AS n_files, sha256('file' || chr(1) || name) AS digest FROM nodes WHERE kind = 'file'), l8 AS (SELECT * FROM leaf WHERE FALSE), {_levels}"""
 SQL = {
+    "manifest_records": f"WITH {_RECORDS} SELECT bundle_id, seq, i AS index, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM texts",
+    "tree_document": f"""WITH {_TREE} SELECT bundle_id, hex(encode(k)) AS key, CAST(0 AS INTEGER) AS sub, CASE WHEN f THEN '' ELSE ',' END || CASE WHEN depth = 0 THEN '' ELSE chr(10) || pad END || '{{' || chr(10) || pad || '  "children": [' || CASE WHEN many THEN '' ELSE ']' END AS text FROM ranked
+UNION ALL SELECT bundle_id, hex(encode(CASE WHEN path = '' THEN chr(127) ELSE k || chr(3) END)), 1, CASE WHEN many THEN chr(10) || pad || '  ]' ELSE '' END || ',' || chr(10) || pad || '  "kind": "' || kind || '",' || chr(10) || pad || '  "name": "' || name || '",' || chr(10) || pad || '  "nodeId": "' || node_id || '",' || chr(10) || pad || '  "normalizedPath": "' || path || '"' || chr(10) || pad || '}}' FROM ranked""",
+    "tree_digests": f"WITH {_DIGESTS} SELECT bundle_id, path, kind, n_files, digest FROM leaf" + "".join(f" UNION ALL SELECT bundle_id, path, kind, n_files, digest FROM l{d}" for d in range(8)),
     "bundle_parts": _PARTS,
     "run_bundle": _RUN,
     "cross_check": _CROSS,
