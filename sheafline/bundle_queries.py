@@ -116,6 +116,26 @@ def q_tree_digests(spark, sf):
     return documents.tree_digests(_nodes(spark, sf))
 
 
+def q_skipping_budget(spark, sf):
+    """Orders of each customer under a budget of money and of number."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("size"))
+    return packing.skipping_budget(orders, ("o_custkey",), "o_orderkey", "size", 400_000, 6)
+
+
+def q_tree_checks(spark, sf):
+    """A tree with a cycle of three, an island, doubled nodes, wrong kinds, names and paths, put in by node ids."""
+    nodes = _nodes(spark, sf).drop("depth")
+    ids = {p: documents.paths.node_id("directory", F.lit(p)) for p in ("documents/src1", "documents/src2", "documents/src3", "documents/src4", "documents/src5/en")}
+    at = lambda p: F.col("node_id") == ids[p]
+    parent = F.when(at("documents/src1"), ids["documents/src2"]).when(at("documents/src2"), ids["documents/src3"]).when(at("documents/src3"), ids["documents/src1"]).when(at("documents/src4"), "dir_none").when(F.col("node_id").like("%00"), F.lit("file_gone")).otherwise(F.col("parent_id"))
+    kind = F.when(F.col("node_id").like("file_%11"), "link").otherwise(F.col("kind"))
+    path = F.when(F.col("node_id").like("%22"), F.concat("path", F.lit("x"))).otherwise(F.col("path"))
+    declared = nodes.withColumns({"parent_id": parent, "kind": kind, "path": path})
+    declared = declared.unionByName(declared.filter("node_id like '%33'"))
+    above = declared.filter("node_id like 'file_%44'").select("bundle_id", F.concat(F.lit("file_"), F.sha2("node_id", 256)).alias("node_id"), F.col("node_id").alias("parent_id"), F.lit("file").alias("kind"), F.lit("in").alias("name"), F.concat("path", F.lit("/in")).alias("path"))
+    return tree.checked(declared.unionByName(above), nodes.filter("node_id not like '%55'"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ID = "'file_' || sha256(CAST(doc_id AS VARCHAR))"
@@ -229,7 +249,35 @@ _levels = ", ".join(
     for d in range(7, -1, -1)
 )
 _DIGESTS = NODES + f""", leaf AS (SELECT *, CAST(1 AS BIGINT) AS n_files, sha256('file' || chr(1) || name) AS digest FROM nodes WHERE kind = 'file'), l8 AS (SELECT * FROM leaf WHERE FALSE), {_levels}"""
+_dir = lambda p: f"(SELECT node_id FROM base WHERE kind = 'directory' AND path = '{p}')"
+_CHECKS = "WITH RECURSIVE " + NODES + f""", base AS (SELECT * FROM nodes),
+t0 AS (SELECT bundle_id, node_id, CASE WHEN node_id = {_dir('documents/src1')} THEN {_dir('documents/src2')} WHEN node_id = {_dir('documents/src2')} THEN {_dir('documents/src3')} WHEN node_id = {_dir('documents/src3')} THEN {_dir('documents/src1')}
+  WHEN node_id = {_dir('documents/src4')} THEN 'dir_none' WHEN node_id LIKE '%00' THEN 'file_gone' ELSE parent_id END AS parent_id, CASE WHEN node_id LIKE 'file_%11' THEN 'link' ELSE kind END AS kind, name, CASE WHEN node_id LIKE '%22' THEN path || 'x' ELSE path END AS path FROM base),
+t1 AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE node_id LIKE '%33'),
+t AS (SELECT * FROM t1 UNION ALL SELECT bundle_id, 'file_' || sha256(node_id), node_id, 'file', 'in', path || '/in' FROM t1 WHERE node_id LIKE 'file_%44'),
+rec AS (SELECT bundle_id, node_id, kind AS rk, path AS rp FROM base WHERE node_id NOT LIKE '%55'),
+j AS (SELECT t.*, rk, rp, rk IS NULL OR rk <> kind AS lost FROM t LEFT JOIN rec ON rec.bundle_id = t.bundle_id AND rec.node_id = t.node_id),
+par AS (SELECT bundle_id, node_id, min(path) AS above, bool_or(kind = 'file') AS is_file FROM t GROUP BY bundle_id, node_id),
+b AS (SELECT t.*, above, is_file FROM t LEFT JOIN par ON par.bundle_id = t.bundle_id AND par.node_id = t.parent_id WHERE t.parent_id IS NOT NULL),
+links AS (SELECT bundle_id, node_id, min(parent_id) AS parent_id FROM t WHERE kind = 'directory' GROUP BY bundle_id, node_id),
+up(bundle_id, node_id, goes, steps) AS (SELECT bundle_id, node_id, parent_id, 1 FROM links UNION ALL SELECT up.bundle_id, up.node_id, d.parent_id, steps + 1 FROM up JOIN links d ON d.bundle_id = up.bundle_id AND d.node_id = up.goes WHERE steps < 70),
+ends AS (SELECT bundle_id, node_id, arg_max(goes, steps) AS goes, max(steps) AS steps FROM (SELECT bundle_id, node_id, coalesce(goes, '') AS goes, steps FROM up) GROUP BY bundle_id, node_id),
+st AS (SELECT bundle_id, node_id, CASE WHEN steps >= 70 THEN 'cycle' WHEN goes = '' THEN 'rooted' ELSE 'island' END AS state FROM ends),
+astray AS (SELECT * FROM st UNION SELECT f.bundle_id, f.node_id, coalesce(st.state, 'island') FROM (SELECT DISTINCT bundle_id, node_id, parent_id FROM t WHERE kind <> 'directory' AND parent_id IS NOT NULL) f LEFT JOIN st ON st.bundle_id = f.bundle_id AND st.node_id = f.parent_id)
+SELECT bundle_id, node_id, 'tree-kind' AS code FROM j WHERE kind = 'link'
+UNION ALL SELECT bundle_id, node_id, 'tree-' || kind || '-reference' FROM j WHERE kind <> 'link' AND lost
+UNION ALL SELECT bundle_id, node_id, 'tree-' || kind || '-path' FROM j WHERE kind <> 'link' AND NOT lost AND path <> rp
+UNION ALL SELECT bundle_id, node_id, 'tree-duplicate-node' FROM t GROUP BY bundle_id, node_id HAVING count(*) > 1
+UNION ALL SELECT bundle_id, node_id, 'tree-parent' FROM b WHERE is_file IS NULL
+UNION ALL SELECT bundle_id, node_id, 'tree-path' FROM b WHERE path <> CASE WHEN above = '' THEN name ELSE above || '/' || name END
+UNION ALL SELECT DISTINCT bundle_id, parent_id, 'tree-file-children' FROM b WHERE is_file
+UNION ALL SELECT bundle_id, node_id, 'tree-' || state FROM astray WHERE state <> 'rooted'"""
 SQL = {
+    "tree_checks": _CHECKS,
+    "skipping_budget": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT o_custkey, o_orderkey, size, n, size <= 400000 AS taken, CASE WHEN size <= 400000 THEN size ELSE 0 END AS used, CASE WHEN size <= 400000 THEN 1 ELSE 0 END AS k FROM o WHERE n = 1
+  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.size, o.n, r.used + o.size <= 400000 AND k < 6, CASE WHEN r.used + o.size <= 400000 AND k < 6 THEN r.used + o.size ELSE r.used END, CASE WHEN r.used + o.size <= 400000 AND k < 6 THEN k + 1 ELSE k END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
+SELECT o_custkey, o_orderkey, size, taken FROM r""",
     "manifest_records": f"WITH {_RECORDS} SELECT bundle_id, seq, i AS index, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM texts",
     "tree_document": f"""WITH {_TREE} SELECT bundle_id, hex(encode(k)) AS key, CAST(0 AS INTEGER) AS sub, CASE WHEN f THEN '' ELSE ',' END || CASE WHEN depth = 0 THEN '' ELSE chr(10) || pad END || '{{' || chr(10) || pad || '  "children": [' || CASE WHEN many THEN '' ELSE ']' END AS text FROM ranked
 UNION ALL SELECT bundle_id, hex(encode(CASE WHEN path = '' THEN chr(127) ELSE k || chr(3) END)), 1, CASE WHEN many THEN chr(10) || pad || '  ]' ELSE '' END || ',' || chr(10) || pad || '  "kind": "' || kind || '",' || chr(10) || pad || '  "name": "' || name || '",' || chr(10) || pad || '  "nodeId": "' || node_id || '",' || chr(10) || pad || '  "normalizedPath": "' || path || '"' || chr(10) || pad || '}}' FROM ranked""",

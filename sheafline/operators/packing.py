@@ -221,6 +221,37 @@ def char_budget(rows: DataFrame, group: str, order: str, length: str, limit: int
     return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col(length), left)))
 
 
+def skipping_budget(rows: DataFrame, group: tuple[str, ...], order: str, size: str, limit: int, most: int | None = None) -> DataFrame:
+    """taken: whether a row is among those that a budget of size (and of `most` rows) takes in order; one that does not fit is skipped, and smaller ones after it still count.
+
+    In each round every group takes the longest run of open rows that fits. The first that does not, and all that exceed what
+    is left, are out for good, as what is left never grows; the others behind it go on. A round at least halves what a group
+    has left or ends a run of rows, and all groups go through their rounds together.
+    """
+    one = F.lit(1).cast("long").alias("__one")
+    open_ = settled(rows.select(*group, F.col(order).alias("__at"), F.col(size).cast("long").alias("__size"), one, F.lit(limit).cast("long").alias("__left"), F.lit(most).cast("long").alias("__room")))
+    taken = None
+    while True:
+        open_ = open_.filter("__size <= __left and (__room is null or __room > 0)")
+        run = settled(running_totals(open_, group, "__at", "__size").withColumnRenamed("upto", "__upto"))
+        if most is not None:
+            run = settled(running_totals(run, group, "__at", "__one").withColumnRenamed("upto", "__n"))
+        else:
+            run = run.withColumn("__n", F.lit(0))
+        fits = (F.col("__upto") <= F.col("__left")) & (F.col("__room").isNull() | (F.col("__n") <= F.col("__room")))
+        stop = run.filter(~fits).groupBy(*group).agg(F.min("__at").alias("__stop"))  # totals grow, so all before it fit
+        marked = run.join(stop, list(group), "left")
+        new = marked.filter(F.col("__stop").isNull() | (F.col("__at") < F.col("__stop")))
+        got = new.groupBy(*group).agg(F.sum("__size").alias("__sum"), F.count(F.lit(1)).alias("__count"))
+        taken = settled(new.select(*group, "__at") if taken is None else taken.unionByName(new.select(*group, "__at")))
+        rest = marked.filter(F.col("__at") > F.col("__stop")).join(got, list(group))  # the first open row always fits, so each group that goes on has taken some
+        open_ = settled(rest.select(*group, "__at", "__size", "__one", (F.col("__left") - F.col("__sum")).alias("__left"), (F.col("__room") - F.col("__count")).alias("__room")))
+        if open_.isEmpty():
+            break
+    marks = taken.withColumnRenamed("__at", order).withColumn("taken", F.lit(True))
+    return rows.join(marks, [*group, order], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+
+
 def page_fit(entries: DataFrame, max_pages: int, fixed: int = 3, per_index: int = 34) -> DataFrame:
     """kept_pages and start_page of entries (bundle_id, path, pages) in path order, under a page budget.
 
