@@ -10,6 +10,7 @@ from .operators import crosscheck, documents, lineage, packing, security, tree
 from .plans import bundle
 from .queries import GLOBS, NODES, SELECTED, _bodies, _files, _id, _secrets_sql, _selected, _sql, _up
 from .sources import files as sources
+from .sources import images
 from .sources import parts as sink
 
 PART = 40  # documents of a part
@@ -136,6 +137,27 @@ def q_tree_checks(spark, sf):
     return tree.checked(declared.unionByName(above), nodes.filter("node_id not like '%55'"))
 
 
+def q_image_meta(spark, sf):
+    """Headers of six formats with sizes, orientation and flags from the parts' numbers, read back by their bytes."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+    k = F.col("p_partkey").cast("long")
+    w, h = k * 7919 % 13_000 + 1, k * 104_729 % 9_000 + 1
+    turn = k % 8 + 1
+    high = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    low = lambda c, n: F.concat(*[F.substr(high(c, n), F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(n))])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), high(w, 4), high(h, 4), F.lit("08"), high(F.when(k % 12 < 6, 2).otherwise(6), 1), F.lit("00000000000000"), F.lit("0000000049444154"), F.lit("00000000"))
+    exif = F.concat(F.lit("FFE1002245786966000049492A00080000000100"), F.lit("120103000100000"), F.lit("0"), low(turn, 2), F.lit("000000000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), exif, F.lit("FFC0001108"), high(h, 2), high(w, 2), F.lit("03012200021101031101FFDA"))
+    gif = F.concat(F.lit("474946383961"), low(w, 2), low(h, 2), F.lit("000000"), F.when(k % 12 < 6, "21F9040100000000").otherwise(""), F.repeat(F.lit("2C00000000000000000000"), (k % 3).cast("int")), F.lit("3B0000000000000000"))
+    webp = F.concat(F.lit("52494646000000005745425056503858"), F.lit("0A000000"), high(F.when(k % 12 < 6, 0x10).otherwise(0x02), 1), F.lit("000000"), low(w - 1, 3), low(h - 1, 3), F.lit("0000"))
+    bmp = F.concat(F.lit("424D"), F.repeat(F.lit("00"), 12), F.lit("28000000"), low(w, 4), low(h, 4), F.lit("0100"), low(F.when(k % 12 < 6, 24).otherwise(32), 2))
+    tiff = F.concat(F.lit("4D4D002A000000080003"), F.lit("0100000400000001"), high(w, 4), F.lit("0101000400000001"), high(h, 4), F.lit("0112000300000001"), high(turn, 2), F.lit("0000"))
+    kinds = ["image/png", "image/jpeg", "image/gif", "image/webp", "image/bmp", "image/tiff"]
+    at = (k % 6).cast("int")
+    files = part.select(F.lit("b").alias("bundle_id"), k.alias("seq"), F.get(F.array(*map(F.lit, kinds)), at).alias("mime"), F.unhex(F.get(F.array(png, jpeg, gif, webp, bmp, tiff), at)).alias("content"))
+    return images.image_meta(files).drop("bundle_id")
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ID = "'file_' || sha256(CAST(doc_id AS VARCHAR))"
@@ -272,7 +294,13 @@ UNION ALL SELECT bundle_id, node_id, 'tree-parent' FROM b WHERE is_file IS NULL
 UNION ALL SELECT bundle_id, node_id, 'tree-path' FROM b WHERE path <> CASE WHEN above = '' THEN name ELSE above || '/' || name END
 UNION ALL SELECT DISTINCT bundle_id, parent_id, 'tree-file-children' FROM b WHERE is_file
 UNION ALL SELECT bundle_id, node_id, 'tree-' || state FROM astray WHERE state <> 'rooted'"""
+_IMAGES = """WITH i AS (SELECT p_partkey AS seq, p_partkey * 7919 % 13000 + 1 AS w, p_partkey * 104729 % 9000 + 1 AS h, p_partkey % 8 + 1 AS turn, p_partkey % 6 AS k, p_partkey % 12 < 6 AS even FROM part),
+j AS (SELECT *, CASE WHEN k IN (1, 5) THEN turn ELSE 1 END AS o FROM i)
+SELECT seq, (['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/bmp', 'image/tiff'])[k + 1] AS mime, (['PNG', 'JPEG', 'GIF', 'WebP', 'BMP', 'TIFF'])[k + 1] AS label, w AS width, h AS height, CAST(o AS INTEGER) AS orientation,
+  CASE k WHEN 0 THEN NOT even WHEN 2 THEN even WHEN 3 THEN even WHEN 4 THEN NOT even ELSE FALSE END AS transparent, CASE k WHEN 2 THEN seq % 3 > 1 WHEN 3 THEN NOT even ELSE FALSE END AS animated,
+  CASE WHEN o >= 5 THEN h ELSE w END AS shown_width, CASE WHEN o >= 5 THEN w ELSE h END AS shown_height, CASE WHEN w * h > 40000000 THEN 'image-pixels' WHEN greatest(w, h) > 12000 THEN 'image-side' END AS code FROM j"""
 SQL = {
+    "image_meta": _IMAGES,
     "tree_checks": _CHECKS,
     "skipping_budget": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 r AS (SELECT o_custkey, o_orderkey, size, n, size <= 400000 AS taken, CASE WHEN size <= 400000 THEN size ELSE 0 END AS used, CASE WHEN size <= 400000 THEN 1 ELSE 0 END AS k FROM o WHERE n = 1

@@ -170,18 +170,6 @@ def pptx_slides(df: DataFrame) -> DataFrame:
     return _rows(df, ("path", "content"), read, "slide int, text string, notes string")
 
 
-def image_sizes(df: DataFrame) -> DataFrame:
-    """path, width, height of PNG, GIF and BMP headers; null for others. Expressions only."""
-    content = F.col("content")
-    number = lambda at, n, little: F.conv(F.hex(F.reverse(F.substring(content, at, n)) if little else F.substring(content, at, n)), 16, 10).cast("long")
-    # reverse works on strings only, so little-endian numbers are put together from their bytes
-    byte = lambda at: F.conv(F.hex(F.substring(content, at, 1)), 16, 10).cast("long")
-    small = lambda at: byte(at) + 256 * byte(at + 1)
-    mime = F.hex(F.substring(content, 1, 8))
-    side = lambda big, gif, bmp: F.when(mime == "89504E470D0A1A0A", number(big, 4, False)).when(mime.startswith("47494638"), small(gif)).when(mime.startswith("424D") & (F.octet_length("content") >= 26), small(bmp) + 65536 * small(bmp + 2))
-    return df.select("path", side(17, 7, 19).alias("width"), side(21, 9, 23).alias("height"))
-
-
 class _Text(HTMLParser):
     BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer pre blockquote".split())
     HIDDEN = frozenset("script style noscript template svg iframe object head".split())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheafline.functions import formats, paths, text
 from sheafline.operators import importing, manifest, packing, preflight, security, spreadsheet, tree
 from sheafline.plans import bundle
-from sheafline.sources import archives, files
+from sheafline.sources import archives, files, images
 from sheafline.streaming import arriving
 
 
@@ -227,10 +227,10 @@ def test_office_packages(spark):
 
 
 def test_images_and_html(spark):
-    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x06\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x06\0\0\0" + bytes(4)
     gif = b"GIF89a" + (3).to_bytes(2, "little") + (2).to_bytes(2, "little") + b"\0\0\0"
-    df = spark.createDataFrame([("p", bytearray(png)), ("g", bytearray(gif)), ("x", bytearray(b"no"))], "path string, content binary")
-    got = {r.path: (r.width, r.height) for r in archives.image_sizes(df).collect()}
+    df = spark.createDataFrame([("p", "image/png", bytearray(png)), ("g", "image/gif", bytearray(gif)), ("x", "text/plain", bytearray(b"no"))], "path string, mime string, content binary")
+    got = {r.path: (r.width, r.height) for r in df.select("path", images.inspected(df["content"], df["mime"]).alias("i")).select("path", "i.*").collect()}
     assert got == {"p": (640, 480), "g": (3, 2), "x": (None, None)}
     page = spark.createDataFrame([(1, "<p>Hi <b>you</b></p><script>evil()</script><ul><li>a</li></ul><!-- c -->")], "page_id long, html string")
     assert archives.html_text(page).first().text == "Hi you\n\na"
