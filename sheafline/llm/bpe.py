@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import map_slices
+from .tasks import map_slices, plain_id
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,6 +144,7 @@ def _codec(raw) -> Codec:
     return _CODECS[key]
 
 
+@plain_id
 def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded text of each row of df."""
     with open(tokenizer, encoding="utf-8") as f:

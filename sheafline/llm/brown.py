@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .packed import SCHEMA, dealt, gathered, joined, pack, part_of, parts_of, unpack
-from .tasks import discard, mix, slices, words_in, written
+from .tasks import discard, mix, plain_id, slices, words_in, written
 
 HEAD, CLASSES, ROUNDS, TOLERANCE = 32_768, 96, 20, 0.0005
 PRIOR = 0.1
@@ -390,6 +390,7 @@ def train(rows: DataFrame, head: int = HEAD, classes: int = CLASSES, rounds: int
     return Model(heads, head_counts, of, counts, n_class, v_class, total, types, history), rare.filter(F.col("kind") == LEXICON)
 
 
+@plain_id
 def score_texts(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score and score (log10) of each row.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .tasks import SLICE_BYTES, map_slices, slices
+from .tasks import SLICE_BYTES, map_slices, plain_id, slices
 
 #: Words of test items in one automaton; larger benchmarks take several passes.
 BLOCK_WORDS = 200_000
@@ -192,6 +192,7 @@ def _matcher(docs: DataFrame, bench: DataFrame, window: int, item_col: str, text
     return match, HELD_BYTES if len(blocks) > 1 else SLICE_BYTES
 
 
+@plain_id
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, n_words, spans (of words, half open, disjoint) and items of each row of docs, in one pass over the texts."""
     match, held = _matcher(docs, bench, window, item_col, item_text_col, block_words)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import discard, join_hot, written
+from .tasks import discard, join_hot, plain_id, written
 
 DIVISOR = 3
 BLANK = r"^[\x20\x09-\x0D]*$"
@@ -70,6 +70,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+@plain_id
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """docs with repeated chunks removed from the text, and n_chars, where there is one, set to its new length.
 

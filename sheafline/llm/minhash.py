@@ -110,18 +110,34 @@ def similar(percent: int, shared: str = "shared") -> str:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc and component (the smallest id reachable) of every document with a link, by least labels and jumps to labels of labels."""
+    """doc and component (the smallest id reachable) of every document with a link, by least labels and jumps to labels of labels.
+
+    A first member with very many links, and the label of a large component, are met by join_hot: no task gets all rows of one.
+    """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "doc"), "labels")
+    total = both.count()
+    degrees = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "doc")
+    labels = written(degrees.select("doc", F.least("least", "doc").alias("component"), "degree"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["doc"]).groupBy("a").agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("doc").alias("at"), F.col("component").alias("far"))
-        new = labels.join(near, labels["doc"] == near["a"]).withColumn("to", F.least("component", "near")).select("doc", "to", F.col("component").alias("was"))
-        new = new.join(jump, new["to"] == jump["at"]).select("doc", F.least("to", "far").alias("component"), "was")
-        new = written(new, "labels")
-        labels = new.select("doc", "component")
-        if new.filter("component <> was").isEmpty():
-            return labels
+        near = join_hot(both.withColumnRenamed("b", "doc"), labels, ["doc"], "degree", total).groupBy("a").agg(F.min("component").alias("near"))
+        new = labels.join(near, labels["doc"] == near["a"]).select("doc", F.least("component", "near").alias("to"), F.col("component").alias("was"), "degree")
+        new = written(new, "nearer-labels")
+        members = new.groupBy("to").agg(F.count(F.lit(1)).alias("members"))
+        jump = labels.select(F.col("doc").alias("to"), F.col("component").alias("far")).join(members, "to")
+        after = join_hot(new, jump, ["to"], "members", total).select("doc", F.least("to", "far").alias("component"), "was", "degree")
+        after = written(after, "labels")
+        discard(labels, new)
+        done = after.filter("component <> was").isEmpty()
+        labels = _named(after.drop("was"), after)
+        if done:
+            discard(both)
+            return _named(labels.select("doc", "component"), after)
+
+
+def _named(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which reads a written table and can be discarded like it."""
+    df.written_path = table.written_path
+    return df
 
 
 def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -131,14 +147,16 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     classes = written(full.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")), "classes")
     members = full.join(classes.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(join_hot(members, written(buckets, "shared-buckets"), ["key"], "size", members.count()).select("doc", "pivot").distinct(), "buckets")
+    shared = written(buckets, "shared-buckets")
+    buckets = written(join_hot(members, shared, ["key"], "size", members.count()).select("doc", "pivot").distinct(), "buckets")
     ids = buckets.select("doc").distinct()
     # what joins with texts grows with the table, so these joins are planned alike at every size
     texts = written(rows.join(ids.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "candidates")
     stars = buckets.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     stars = written(compared(stars, texts, shingle), "stars")
     links = stars.filter(similar(percent)).select("a", "b")
-    rest = _rest(stars, components(links), texts, shingle, percent)
+    first = components(links)
+    rest, used = _rest(stars, first, texts, shingle, percent)
     more = written(compared(rest, texts, shingle).filter(similar(percent)).select("a", "b"), "more-links")
     found = components(links.unionByName(more))
     own = every.select("doc", "n", "s1", "s2").filter("n > 0")
@@ -146,15 +164,15 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
     out = own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     empty = every.filter("n = 0").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component"))
     out = written(out.unionByName(empty), "near-duplicates")
-    discard(every, classes, buckets, texts, stars, more)
+    discard(every, classes, shared, buckets, texts, stars, more, first, found, *used)
     return out
 
 
-def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs a, b of different components and one first member (pivot) that may be linked, by the bound on what they can share."""
+def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs a, b of different components and one first member (pivot) that may be linked, by the bound on what they can share; and the written tables that these read."""
     rows = stars.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), F.col("n_a").alias("n"), "shared")
     rows = rows.join(found, "doc", "left").select("pivot", "doc", "n", "shared", F.coalesce("component", "doc").alias("component"))
-    rows = written(rows, "grouped")
+    rows = grouped = written(rows, "grouped")
     mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
     mixed = written(mixed.filter("low < high").drop("low", "high"), "mixed")
     rows = written(join_hot(rows, mixed, ["pivot"], "size", rows.count()), "mixed-groups")
@@ -173,7 +191,8 @@ def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, pe
     needed = F.expr(f"cast(greatest(1, ceil({percent} * (n + {smallest}) / {100 + percent}) - shared) as int)").alias("needed")
     named = rows.select("pivot", "doc", "component", needed)
     frequent = Window.partitionBy("pivot", "doc").orderBy(F.desc("df"), F.desc("shingle"))
-    named = join_hot(residue, written(common, "common-residue"), ["pivot", "shingle"], "df", residue.count()).join(named, ["pivot", "doc"])
+    common = written(common, "common-residue")
+    named = join_hot(residue, common, ["pivot", "shingle"], "df", residue.count()).join(named, ["pivot", "doc"])
     named = written(named.withColumn("at", F.row_number().over(frequent)).filter("at >= needed").select("pivot", "shingle", "doc", "component"), "needed-residue")
     # only what may be linked with a set of the least size that still allows it, sharing no more than it shares with the pivot
     able = rows.filter(similar(percent).replace("n_a + n_b", f"n + {smallest}"))
@@ -183,7 +202,7 @@ def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, pe
     near = sides[0].join(sides[1], [sides[0]["pivot"] == sides[1]["pivot"], apart, F.expr(similar(percent, inside))]).select("doc_a", "doc_b")
     ends = [named.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "component")]) for x in "ab"]
     more = ends[0].join(ends[1], [ends[0]["pivot"] == ends[1]["pivot"], ends[0]["shingle"] == ends[1]["shingle"], apart]).select("doc_a", "doc_b")
-    return near.unionByName(more).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    return near.unionByName(more).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), [grouped, mixed, rows, residue, common, named]
 
 
 def keep_one(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

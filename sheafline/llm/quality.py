@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .tasks import Words, gram_hashes, map_slices, mix, slices, words_in
+from .tasks import Words, gram_hashes, map_slices, mix, plain_id, slices, words_in
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -112,6 +112,7 @@ def fail_bits() -> Column:
     return out
 
 
+@plain_id
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measurements and fail_bits of each row; a narrow operation."""
     rows = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))

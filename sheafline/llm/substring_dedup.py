@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from .anchors import LATE, LATES, PIECE, PIECES, located
 from .packed import SCHEMA, by_doc, dealt, gathered, joined, part_of, parts_of, unpack
-from .tasks import by_id, discard, gram_hashes, join_hot, map_slices, mix, numbered, slices, words_in, words_of, written
+from .tasks import by_id, discard, gram_hashes, join_hot, map_slices, mix, numbered, plain_id, slices, words_in, words_of, written
 
 WINDOW = 20
 ANCHOR = 7
@@ -194,6 +194,7 @@ def _union(spans: list[dict], window: int) -> list[list]:
     return out
 
 
+@plain_id
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, removed (spans of words with the source of their first window) and kept (text) of each row.
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .anchors import LATE, LATES, PIECE, PIECES, RECORD, located
 from .packed import SCHEMA, by_doc, dealt, gathered, joined, part_of, parts_of, unpack
-from .tasks import MULTIPLIER, by_id, bytes_of, discard, map_slices, mix, numbered, slices, written
+from .tasks import MULTIPLIER, by_id, bytes_of, discard, map_slices, mix, numbered, plain_id, slices, written
 
 WINDOW = 50
 ANCHOR = 17
@@ -261,6 +261,7 @@ def late_runs(docs: DataFrame, window: int, together: int, id_col: str, text_col
     return spans, names
 
 
+@plain_id
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, removed (disjoint spans of bytes) and kept (bytes) of each row."""
     spans, names = late_runs(docs, window, together, id_col, text_col)

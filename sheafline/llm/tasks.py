@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +105,26 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return docs.select(own.alias("id"), text).join(names, "id").select("doc", "text"), names
 
 
+def plain_id(fn):
+    """Let an operator take id columns whose names hold dots or backticks: the column has a plain name while it works."""
+    takes = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def run(*args, **named):
+        given = takes.bind(*args, **named)
+        given.apply_defaults()
+        docs, own = next(iter(given.arguments.values())), given.arguments["id_col"]
+        if not {".", "`"} & set(own):
+            return fn(*args, **named)
+        name = "plain_id"
+        while name in docs.columns:
+            name += "_"
+        given.arguments[next(iter(given.arguments))], given.arguments["id_col"] = docs.withColumnRenamed(own, name), name
+        return fn(*given.args, **given.kwargs).withColumnRenamed(name, own)
+
+    return run
+
+
 def by_id(docs: DataFrame, id_col: str, found: DataFrame, names: DataFrame | None) -> DataFrame:
     """docs with the columns of found (one row for each doc) beside them, null where there is none; doc itself goes."""
     if names is not None:
