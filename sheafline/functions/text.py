@@ -51,8 +51,9 @@ def formula_guarded(text: Column) -> Column:
 
 
 def printable_share(text: Column) -> Column:
-    bad = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    return F.when(F.length(text) == 0, 1.0).otherwise(1 - bad / F.length(text))
+    controls = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+    bad = F.length(text) - F.length(F.regexp_replace(text, controls, ""))
+    return F.when(~text.rlike(controls), 1.0).otherwise(1 - bad / F.length(text))
 
 
 def sniffed(content: Column) -> Column:
@@ -75,8 +76,9 @@ def sniffed(content: Column) -> Column:
     # lambdas bind what several tests use: first the bytes behind a mark, then what is known of them
     head = F.hex(F.substring(content, 1, 3))
     body = F.when(head == "EFBBBF", F.substring(content, 4, 2**31 - 5)).otherwise(content).cast("string")
-    known = lambda b: F.struct(head.alias("head"), F.make_valid_utf8(b).alias("body"), F.is_valid_utf8(b).alias("valid"), printable_share(F.make_valid_utf8(b)).alias("share"))
-    return F.get(F.transform(F.transform(F.array(body), known), of_parts), 0)
+    read = lambda b: F.struct(F.is_valid_utf8(b).alias("valid"), F.when(F.is_valid_utf8(b), b).otherwise(F.make_valid_utf8(b)).alias("body"))
+    known = lambda x: F.struct(head.alias("head"), x["body"].alias("body"), x["valid"].alias("valid"), printable_share(x["body"]).alias("share"))
+    return F.get(F.transform(F.transform(F.transform(F.array(body), read), known), of_parts), 0)
 
 
 #: The characters that Windows-1252 has in place of the control characters 80 to 9F; five codes stay controls.

@@ -34,7 +34,7 @@ def accepted(files: DataFrame) -> DataFrame:
     Which files are later copies is decided on paths and numbers alone. Bodies and contents stay where they are, unless
     there are more than FEW copies.
     """
-    copies = settled(first_wins(files.select("bundle_id", "seq", "path", "error")).filter("copy > 1").select("bundle_id", "seq"))
+    copies = first_wins(files.select("bundle_id", "seq", "path", "error")).filter("copy > 1").select("bundle_id", "seq")
     few = copies.count() <= FEW
     return files.filter("error is null").join(F.broadcast(copies) if few else copies, ["bundle_id", "seq"], "left_anti").drop("error")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the checkpoint folder that the session names; later plans begin there and survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once into a table in the shared folder; later plans begin there, know its size and survive lost executors.
+
+    A table, not a checkpoint: that would compute df twice, once to count it and once to write it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than there are cores; where they have enough, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import formats, paths, text
-from .operators import importing, manifest, packing, preflight, security, selection, spreadsheet, tree
+from .operators import importing, lineage, manifest, packing, preflight, security, selection, spreadsheet, tree
 from .plans import bundle
 from .sources import archives
 from .sources import files as sources
@@ -14,7 +14,7 @@ GLOBS = ["conversations/**/*_system.*", "pages/page_1?.*", "documents/src1/**"]
 
 
 def _files(spark, sf):
-    return importing.with_paths(sources.demo_files(spark, sf))
+    return importing.with_paths(lineage.spread(sources.demo_files(spark, sf)))
 
 
 def _good(spark, sf):
@@ -34,7 +34,8 @@ def _selected(spark, sf):
 def _bodies(spark, sf):
     """Whole texts of the documents as files."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return docs.select(F.lit("documents").alias("bundle_id"), F.col("doc_id").alias("seq"), F.concat_ws("/", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".md"))).alias("path"), F.coalesce("text", F.lit("")).alias("body"))
+    rows = docs.select(F.lit("documents").alias("bundle_id"), F.col("doc_id").alias("seq"), F.concat_ws("/", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".md"))).alias("path"), F.coalesce("text", F.lit("")).alias("body"))
+    return lineage.spread(rows)
 
 
 def _password_spans(spark, sf):
