@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Adapters whose files are read for their content.
-PROCESSABLE = ("text", "pdf", "image", "xlsx", "docx", "pptx")
-
-
 def ordered_union(*lists: Column) -> Column:
     """Distinct values of the lists in the order of their first occurrence; a null list is empty."""
     none = F.expr("cast(array() as array<string>)")
@@ -25,10 +21,6 @@ def combined_status(text: Column, page: Column) -> Column:
     )
 
 
-def processable(recs: DataFrame) -> DataFrame:
-    return recs.filter(F.col("included") & F.col("adapter").isin(*PROCESSABLE))
-
-
 def without_match(files: DataFrame, records: DataFrame, keys=("bundle_id", "path")) -> DataFrame:
     """Files that have no record: a complete preflight leaves none."""
     return files.join(records.select(*keys), list(keys), "left_anti")

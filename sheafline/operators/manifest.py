@@ -32,13 +32,6 @@ def summary(recs: DataFrame) -> DataFrame:
         F.sum("size").alias("bytes"), F.coalesce(F.sum(F.when(inc, F.col("size"))), F.lit(0)).alias("included_bytes"))
 
 
-def enriched(recs: DataFrame, extractions: DataFrame, reports: DataFrame) -> DataFrame:
-    """recs with extraction and security columns; files without rows get defaults."""
-    rows = recs.join(extractions.select("bundle_id", "seq", "lines", "characters"), ["bundle_id", "seq"], "left").join(reports, ["bundle_id", "seq"], "left")
-    state = F.when(~F.col("included"), "skipped").when(F.col("lines").isNull(), "failed").otherwise("represented")
-    return rows.withColumn("status", state).fillna({"high": 0, "medium": 0}).withColumn("categories", F.coalesce("categories", F.expr("cast(array() as array<string>)")))
-
-
 def inconsistent(recs: DataFrame) -> DataFrame:
     """Rows whose inclusion, reason, glob or id contradict each other, with the rule they break."""
     rules = F.filter(
@@ -57,18 +50,6 @@ def repeated_values(recs: DataFrame, column: str) -> DataFrame:
     return recs.groupBy("bundle_id", column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def summary_mismatch(declared: DataFrame, recs: DataFrame) -> DataFrame:
-    """Bundles whose declared summary differs from the recomputed one, either way."""
-    computed = summary(recs).select(*declared.columns)
-    return declared.exceptAll(computed).select("bundle_id").unionByName(computed.exceptAll(declared).select("bundle_id")).distinct()
-
-
 def canonical_json(value) -> str:
     """Keys sorted, absent values dropped, two spaces of indent, a line feed at the end; for one document of bounded size."""
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
-
-
-def records_json(recs: DataFrame) -> DataFrame:
-    """Each record as JSON with sorted keys; nulls stay."""
-    names = sorted(c for c in recs.columns if c not in ("bundle_id", "seq"))
-    return recs.select("bundle_id", "seq", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))

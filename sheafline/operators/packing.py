@@ -215,10 +215,9 @@ def running_budget(rows: DataFrame, group: str, order: str, size: str, limit: in
 
 
 def char_budget(rows: DataFrame, group: str, order: str, length: str, limit: int) -> DataFrame:
-    """taken: characters of each row that a running budget still allows."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(limit) - F.coalesce(F.sum(length).over(w), F.lit(0))
-    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col(length), left)))
+    """taken: characters of each row that a running budget still allows; totals are made by ranges, so no task holds a group."""
+    left = F.lit(limit) - (F.col("upto") - F.col(length))
+    return running_totals(rows, (group,), order, length).withColumn("taken", F.greatest(F.lit(0), F.least(F.col(length), left))).drop("upto")
 
 
 def skipping_budget(rows: DataFrame, group: tuple[str, ...], order: str, size: str, limit: int, most: int | None = None) -> DataFrame:
@@ -256,17 +255,18 @@ def page_fit(entries: DataFrame, max_pages: int, fixed: int = 3, per_index: int
     """kept_pages and start_page of entries (bundle_id, path, pages) in path order, under a page budget.
 
     Entry n needs a separator and makes the index grow; the first that does not fit whole is cut, and those after it go.
+    All before it are whole, so running totals of pages and numbers tell every entry's place.
     """
-    w = Window.partitionBy("bundle_id").orderBy("path")
-    n, before = F.row_number().over(w), F.coalesce(F.sum("pages").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = entries.withColumn("n", n).withColumn("used", before)
+    rows = running_totals(entries.select("bundle_id", "path", F.col("pages").cast("long").alias("pages"), F.lit(1).cast("long").alias("one")), ("bundle_id",), "path", "pages")
+    rows = running_totals(rows.withColumn("used", F.col("upto") - F.col("pages")).drop("upto"), ("bundle_id",), "path", "one").withColumnRenamed("upto", "n")
     room = F.lit(max_pages) - (fixed + F.ceil(F.col("n") / per_index)) - F.col("n") - F.col("used")
-    rows = rows.withColumn("room", room.cast("long")).withColumn("broken", F.max((F.col("room") < F.col("pages")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    kept = F.when(F.coalesce("broken", F.lit(0)) == 1, 0).otherwise(F.greatest(F.lit(0), F.least("pages", "room")))
-    rows = rows.withColumn("kept_pages", kept.cast("long")).filter("kept_pages > 0")
-    index = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("bundle_id")) / per_index)
-    ahead = F.coalesce(F.sum(F.col("kept_pages") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start_page", (2 + index + 1 + ahead).cast("long")).select("bundle_id", "path", "pages", "kept_pages", "start_page")
+    rows = rows.withColumn("room", room.cast("long"))
+    first = rows.filter("room < pages").groupBy("bundle_id").agg(F.min("path").alias("cut"))
+    kept = F.when(F.col("cut").isNull() | (F.col("path") < F.col("cut")), F.col("pages")).when(F.col("path") == F.col("cut"), F.greatest(F.lit(0), F.least("pages", "room"))).otherwise(0)
+    rows = rows.join(first, "bundle_id", "left").withColumn("kept_pages", kept.cast("long")).filter("kept_pages > 0")
+    index = rows.groupBy("bundle_id").agg(F.ceil(F.count(F.lit(1)) / per_index).alias("index"))
+    start = 2 + F.col("index") + 1 + F.col("used") + F.col("n") - 1
+    return rows.join(index, "bundle_id").select("bundle_id", "path", "pages", "kept_pages", start.cast("long").alias("start_page"))
 
 
 def grid_pages(sheets: DataFrame, rows: int = 24, columns: int = 12) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from .lineage import settled
+from .packing import running_totals
 
 
 def nodes(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
@@ -28,9 +29,10 @@ def nodes(files: DataFrame, directories: DataFrame | None = None) -> DataFrame:
 
 def ordered_children(tree: DataFrame) -> DataFrame:
     """ordinal of each node among its siblings: directories first, then by name with numbers by value."""
-    rows = tree.filter("parent_id is not null")
-    order = Window.partitionBy("bundle_id", "parent_id").orderBy(F.col("kind") == "file", paths.natural_key(F.col("name"), lower=True), "name")
-    return rows.withColumn("ordinal", F.row_number().over(order))
+    key = F.struct((F.col("kind") == "file").alias("file"), paths.natural_key(F.col("name"), lower=True).alias("key"), "name")
+    rows = tree.filter("parent_id is not null").withColumns({"__key": key, "__one": F.lit(1).cast("long")})
+    out = running_totals(rows, ("bundle_id", "parent_id"), "__key", "__one")  # by ranges: a directory may hold very many files
+    return out.withColumn("ordinal", F.col("upto").cast("int")).drop("__key", "__one", "upto")
 
 
 def dangling(tree: DataFrame) -> DataFrame:
