@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,8 +38,6 @@ def normalized(raw: Column, max_depth: int = MAX_DEPTH, max_length: int = MAX_LE
 
 def compose(path: Column) -> Column:
     """Unicode composed form; Spark has no function for it."""
-    import unicodedata
-
     @F.pandas_udf("string")
     def composed(values: pd.Series) -> pd.Series:
         return values.map(lambda p: None if p is None else unicodedata.normalize("NFC", p))
@@ -62,9 +62,27 @@ def node_id(kind: str, path: Column, namespace: str = "sheafline") -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.sha2(seed.cast("binary"), 256))
 
 
+#: Blocks of letters that may carry accents: Latin, Greek, Cyrillic, Latin with two accents.
+_ACCENTED = ((0xC0, 0x24F), (0x370, 0x52F), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF))
+
+
+def _plain_letters() -> dict[str, str]:
+    """The letter without its accents, in lower case, of each composed one."""
+    every = [chr(c) for a, b in _ACCENTED for c in range(a, b + 1)]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)).lower() for c in every}
+    return {c: b for c, b in bare.items() if len(b) == 1 and b != c.lower()}
+
+
+def folded(text: Column) -> Column:
+    """Text in lower case without accents, as names are compared: composed letters give their base letter, combining marks go."""
+    plain = _plain_letters()
+    bare = F.regexp_replace(F.translate(text, "".join(plain), "".join(plain.values())), r"\p{Mn}", "")
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text))
+
+
 def natural_key(path: Column, lower: bool = False) -> Column:
-    """Sorts digit runs by value."""
-    of = F.lower(path) if lower else path
+    """Sorts digit runs by value; in lower case also without regard to accents."""
+    of = folded(path) if lower else path
     return F.array_join(F.transform(F.regexp_extract_all(of, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda s: F.when(s.rlike(r"\A\d+\z"), F.lpad(s, F.greatest(F.length(s), F.lit(20)), "0")).otherwise(s)), "")
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sheafline.operators import packing, tree
+from sheafline.operators import packing, rollups, tree
 
 SCHEMA = "bundle_id string, node_id string, parent_id string, kind string, name string, path string"
 
@@ -78,3 +78,12 @@ def test_skipping_budget_equals_a_loop(spark, most):
     df = spark.createDataFrame(rows, "g string, at long, size long").repartition(4)
     assert {x["at"]: x.taken for x in packing.skipping_budget(df, ("g",), "at", "size", 100, most).collect()} == want
     assert packing.skipping_budget(df.limit(0), ("g",), "at", "size", 100, most).count() == 0
+
+
+def test_order_of_names_ignores_case_and_accents(spark):
+    names = ["Zebra", "Äpfel 10", "apfel 2", "éclair", "Eclair b", "ÉTÉ", "eta", "Ωmega", "ωmicron", "Ёлка", "ежик", "éa", "10", "9", "ñ", "nz", "o"]
+    nodes = tree.nodes(spark.createDataFrame([("b", n) for n in names] + [("b", "Über/x"), ("b", "unter/y")], "bundle_id string, path string"))
+    got = [r.name for r in tree.ordered_children(nodes).filter("depth = 1").orderBy("ordinal").collect()]
+    assert got == ["Über", "unter", "9", "10", "apfel 2", "Äpfel 10", "éa", "éclair", "Eclair b", "eta", "ÉTÉ", "ñ", "nz", "o", "Zebra", "Ωmega", "ωmicron", "ежик", "Ёлка"]
+    walk = [r.path for r in rollups.preorder(nodes).orderBy("position").collect()]
+    assert [p for p in walk if "/" not in p and p] == got
