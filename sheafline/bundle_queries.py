@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import crosscheck, documents, lineage, packing, security, tree
+from .operators import crosscheck, documents, lineage, packing, rollups, security, tree
 from .plans import bundle
 from .queries import GLOBS, NODES, SELECTED, _bodies, _files, _id, _secrets_sql, _selected, _sql, _up
 from .sources import files as sources
@@ -158,6 +158,21 @@ def q_image_meta(spark, sf):
     return images.image_meta(files).drop("bundle_id")
 
 
+def q_artifact_snapshot(spark, sf):
+    """Sources as bundles, with their documents as parts, records, assets, scans and outputs by number."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("bundle_id"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("content"))
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    seq = F.col("seq")
+    parts = docs.select("bundle_id", seq.alias("part"), F.concat(F.lit("p"), seq).alias("name"), "content", F.octet_length("content").alias("byte_length"), F.array_repeat(F.lit("a"), (seq % 4).cast("int")).alias("anchors"))
+    recs = docs.filter("seq % 5 > 0").select("bundle_id", pick(("completed", "partial", "failed", "not-started"), seq).alias("status"))
+    assets = docs.filter("seq % 3 = 0").select("bundle_id", pick(("xlsx", "pdf", "image", "docx", "pptx"), F.floor(seq / 3)).alias("kind"), (seq % 7).alias("units"), (seq % 11).alias("formulas"), (seq % 2 == 0).alias("visual"))
+    scans = docs.select("bundle_id", (seq % 3).alias("finding_count"), (seq % 2).alias("redactions"), (seq % 13 == 0).alias("excluded"), (seq % 17 == 0).alias("visual_omitted"))
+    outputs = docs.filter("seq % 29 = 0 and bundle_id <> 'src3'").select("bundle_id", pick(("documents", "spreadsheet", "office"), F.floor(seq / 29)).alias("family"), (seq % 50).alias("pages"), (seq * 10).alias("bytes"))
+    bad = docs.filter("seq % 211 = 0").select("bundle_id", pick(("content", "documents"), F.floor(seq / 211)).alias("family"))
+    out = rollups.artifact_snapshot(parts, recs, assets, scans, outputs, bad)
+    return out.withColumn("preview", F.sha2("preview", 256))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ID = "'file_' || sha256(CAST(doc_id AS VARCHAR))"
@@ -299,7 +314,20 @@ j AS (SELECT *, CASE WHEN k IN (1, 5) THEN turn ELSE 1 END AS o FROM i)
 SELECT seq, (['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/bmp', 'image/tiff'])[k + 1] AS mime, (['PNG', 'JPEG', 'GIF', 'WebP', 'BMP', 'TIFF'])[k + 1] AS label, w AS width, h AS height, CAST(o AS INTEGER) AS orientation,
   CASE k WHEN 0 THEN NOT even WHEN 2 THEN even WHEN 3 THEN even WHEN 4 THEN NOT even ELSE FALSE END AS transparent, CASE k WHEN 2 THEN seq % 3 > 1 WHEN 3 THEN NOT even ELSE FALSE END AS animated,
   CASE WHEN o >= 5 THEN h ELSE w END AS shown_width, CASE WHEN o >= 5 THEN w ELSE h END AS shown_height, CASE WHEN w * h > 40000000 THEN 'image-pixels' WHEN greatest(w, h) > 12000 THEN 'image-side' END AS code FROM j"""
+_if = lambda test, value="1": f"CAST(coalesce(sum(CASE WHEN {test} THEN {value} ELSE 0 END), 0) AS BIGINT)"
+_of = lambda k: f"seq % 3 = 0 AND seq // 3 % 5 = {k}"
+_out = lambda f: f"seq % 29 = 0 AND source <> 'src3' AND seq // 29 % 3 = {f}"
+_has, _bad_docs, _bad = f"bool_or({_out(0)})", "bool_or(seq % 211 = 0 AND seq // 211 % 2 = 1)", "bool_or(seq % 211 = 0 AND seq // 211 % 2 = 0)"
+_SNAPSHOT = f"""WITH d AS (SELECT source, doc_id AS seq, coalesce(text, '') AS t FROM documents)
+SELECT source AS bundle_id, count(*) AS part_count, CAST(sum(octet_length(encode(t))) AS BIGINT) AS total_bytes, CAST(sum(seq % 4) AS BIGINT) AS anchor_count, count(*) > 1 AS sharded, sha256(substr(arg_min(t, seq), 1, {rollups.PREVIEW})) AS preview,
+  {_if('seq % 5 > 0 AND seq % 4 = 0')} AS completed_files, {_if('seq % 5 > 0 AND seq % 4 = 1')} AS partial_files, {_if('seq % 5 > 0 AND seq % 4 = 2')} AS failed_files,
+  {_if(_of(0))} AS spreadsheet_workbooks, {_if(_of(0), 'seq % 7')} AS spreadsheet_sheets, {_if(_of(0), 'seq % 11')} AS spreadsheet_formula_cells, {_if(_of(1))} AS pdf_documents, {_if(_of(1), 'seq % 7')} AS pdf_source_pages,
+  {_if(_of(2))} AS image_files, {_if(_of(2) + ' AND seq % 2 = 0')} AS image_visual_pages, {_if('seq % 3 = 0 AND seq // 3 % 5 >= 3')} AS office_documents, {_if(_of(3))} AS docx_documents, {_if(_of(4))} AS presentations, {_if(_of(4), 'seq % 7')} AS presentation_slides,
+  {_if(_out(1), 'seq % 50')} AS spreadsheet_preview_pages, {_if(_out(1), 'seq * 10')} AS spreadsheet_preview_bytes, {_if(_out(2), 'seq % 50')} AS office_preview_pages, {_if(_out(2), 'seq * 10')} AS office_preview_bytes, {_if(_out(0), 'seq % 50')} AS documents_pages, {_if(_out(0), 'seq * 10')} AS documents_bytes,
+  {_if('seq % 3 > 0')} AS secret_flagged_files, {_if('TRUE', 'seq % 3')} AS secret_findings, {_if('TRUE', 'seq % 2')} AS secret_redactions, {_if('seq % 13 = 0')} AS secret_excluded_files, {_if('seq % 17 = 0')} AS secret_visual_omissions,
+  {_has} AND NOT {_bad_docs} AS documents_valid, NOT {_bad} AND (NOT {_has} OR NOT {_bad_docs}) AS valid FROM d GROUP BY source"""
 SQL = {
+    "artifact_snapshot": _SNAPSHOT,
     "image_meta": _IMAGES,
     "tree_checks": _CHECKS,
     "skipping_budget": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),

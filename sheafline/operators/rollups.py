@@ -78,6 +78,48 @@ def snapshot(records: DataFrame) -> DataFrame:
     return records.groupBy("bundle_id").agg(count("completed"), count("partial"), count("failed"), F.sum("size").cast("long").alias("total_bytes"))
 
 
+#: Characters of the first part that a snapshot shows.
+PREVIEW = 6000
+
+
+def artifact_snapshot(parts: DataFrame, records: DataFrame, assets: DataFrame, scans: DataFrame, outputs: DataFrame, violations: DataFrame) -> DataFrame:
+    """One row for each bundle that has parts: what was made of it, in numbers.
+
+    parts are (bundle_id, part, name, content, byte_length, anchors), records (bundle_id, status), assets (bundle_id, kind:
+    xlsx, pdf, image, docx or pptx, units: sheets, pages or slides, formulas, visual: whether it is shown), scans
+    (bundle_id, finding_count, redactions, excluded, visual_omitted), outputs (bundle_id, family: documents, spreadsheet or
+    office, pages, bytes) and violations (bundle_id, family: content or documents), a row for each broken rule.
+    """
+    count, total = F.count_if, lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    of = lambda family, c: total(F.when(F.col("family") == family, F.col(c)))
+    first = F.min_by(F.substring("content", 1, PREVIEW), "part")
+    by_part = parts.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("part_count"), F.sum("byte_length").cast("long").alias("total_bytes"), F.sum(F.size("anchors")).cast("long").alias("anchor_count"), (F.count(F.lit(1)) > 1).alias("sharded"), first.alias("preview"))
+    tables = [
+        records.groupBy("bundle_id").agg(*[count(F.col("status") == x).alias(f"{x}_files") for x in ("completed", "partial", "failed")]),
+        assets.groupBy("bundle_id").agg(
+            count(is_kind("xlsx")).alias("spreadsheet_workbooks"), total(F.when(is_kind("xlsx"), F.col("units"))).alias("spreadsheet_sheets"), total(F.when(is_kind("xlsx"), F.col("formulas"))).alias("spreadsheet_formula_cells"),
+            count(is_kind("pdf")).alias("pdf_documents"), total(F.when(is_kind("pdf"), F.col("units"))).alias("pdf_source_pages"), count(is_kind("image")).alias("image_files"), count(is_kind("image") & F.col("visual")).alias("image_visual_pages"),
+            count(is_kind("docx", "pptx")).alias("office_documents"), count(is_kind("docx")).alias("docx_documents"), count(is_kind("pptx")).alias("presentations"), total(F.when(is_kind("pptx"), F.col("units"))).alias("presentation_slides")),
+        outputs.groupBy("bundle_id").agg(*[of(f, c).alias(f"{f}_{n}{c}") for f, n in (("spreadsheet", "preview_"), ("office", "preview_"), ("documents", "")) for c in ("pages", "bytes")], F.bool_or(F.col("family") == "documents").alias("has_documents")),
+        scans.groupBy("bundle_id").agg(count(F.col("finding_count") > 0).alias("secret_flagged_files"), total("finding_count").alias("secret_findings"), total("redactions").alias("secret_redactions"), count("excluded").alias("secret_excluded_files"), count("visual_omitted").alias("secret_visual_omissions")),
+        violations.groupBy("bundle_id").agg(count(F.col("family") == "content").alias("content_errors"), count(F.col("family") == "documents").alias("documents_errors")),
+    ]
+    out = by_part
+    for t in tables:
+        out = out.join(t, "bundle_id", "left")
+    numbers = [c for c, kind in out.dtypes if kind == "bigint"]
+    out = out.fillna(0, numbers).fillna(False, ["has_documents"])
+    good = F.col("has_documents") & (F.col("documents_errors") == 0)
+    valid = (F.col("content_errors") == 0) & (good | ~F.col("has_documents"))
+    return out.withColumns({"documents_valid": good, "valid": valid}).drop("has_documents", "content_errors", "documents_errors")
+
+
+def part_summaries(parts: DataFrame) -> DataFrame:
+    """bundle_id, part, name, byte_length, anchor_count of each part."""
+    return parts.select("bundle_id", "part", "name", "byte_length", F.size("anchors").alias("anchor_count"))
+
+
 def used_range(cells: DataFrame) -> DataFrame:
     """sheet, first and last row and column with a cell, cells and formulas, and whether any was cut."""
     return cells.groupBy("sheet").agg(
