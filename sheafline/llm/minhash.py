@@ -7,10 +7,11 @@ similar sets meet: sets of similarity 0.85 miss each other in all 24 bands once
 
 No bucket is expanded into all its pairs. First each member is compared with its bucket's first member; links are
 confirmed on full sets and joined into components. What then still shares a first member across components is compared
-only where an exact bound allows a link: two sets share at most what the lesser of them shares with the first member,
-and shingles outside the first member that both have. If a set needs q of the latter for any link, it must have one in
-common besides its q - 1 most frequent ones. So these are left out and the others joined, and large groups of
-loosely similar copies are settled without comparing all their pairs.
+only where an exact bound allows a link. Sets are linked when they differ in few shingles, and two sets differ where just
+one of them differs from the first member. So if they are not linked through it, they must differ from it in the same
+shingles, in so many that the most frequent ones can be left out; the others are joined, and a pair goes on only if all
+more frequent ones of both would be enough. So large groups of loosely similar copies are settled without comparing all
+their pairs.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing; texts of fewer words than a
 shingle are one shingle; ties go to the smallest id; rows with equal ids count as one document; rows with a null id are
@@ -169,40 +170,43 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, percent: int = LEAS
 
 
 def _rest(stars: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs a, b of different components and one first member (pivot) that may be linked, by the bound on what they can share; and the written tables that these read."""
-    rows = stars.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), F.col("n_a").alias("n"), "shared")
-    rows = rows.join(found, "doc", "left").select("pivot", "doc", "n", "shared", F.coalesce("component", "doc").alias("component"))
+    """Pairs a, b of different components and one first member (pivot) that may be linked; and the written tables that these read.
+
+    A doc's weight tells how far it is from the pivot: two docs are linked just where `each` times the number of shingles
+    in which both differ from the pivot reaches the sum of their weights. No weight is below the pivot's own, so where the
+    sum is not positive both are linked with the pivot, and in one component.
+    """
+    each = 2 * (100 + percent)
+    weight = F.expr(f"{100 + percent} * (n_a + n_b - 2 * shared) - {100 - percent} * n_a")
+    rows = stars.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), F.col("n_a").alias("n"), weight.alias("weight"))
+    rows = rows.join(found, "doc", "left").select("pivot", "doc", "n", "weight", F.coalesce("component", "doc").alias("component"))
     rows = grouped = written(rows, "grouped")
-    mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    mixed = rows.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("weight").alias("least"), F.count(F.lit(1)).alias("size"))
     mixed = written(mixed.filter("low < high").drop("low", "high"), "mixed")
     rows = written(join_hot(rows, mixed, ["pivot"], "size", rows.count()), "mixed-groups")
 
-    def outside(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = [(a, b, np.setdiff1d(x, y, assume_unique=True)) for a, b, x, y in _each_pair(part, shingle)]
+    def apart(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = [(a, b, np.setxor1d(x, y, assume_unique=True)) for a, b, x, y in _each_pair(part, shingle)]
         sizes = [len(x) for _, _, x in own]
         doc, pivot = (np.repeat(np.array([o[i] for o in own], np.int64), sizes) for i in (0, 1))
         return pa.record_batch([pa.array(pivot), pa.array(doc), pa.array(np.concatenate([x for _, _, x in own]).view(np.int64))], names=["pivot", "doc", "shingle"])
 
     pairs = rows.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    residue = map_slices(_with_texts(pairs, texts), outside, "pivot long, doc long, shingle long")
+    residue = map_slices(_with_texts(pairs, texts), apart, "pivot long, doc long, shingle long")
     residue = written(residue, "residue")
     common = residue.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    smallest = f"greatest(least, ceil({percent} * n / 100))"  # size of the smallest set that a link can have
-    needed = F.expr(f"cast(greatest(1, ceil({percent} * (n + {smallest}) / {100 + percent}) - shared) as int)").alias("needed")
-    named = rows.select("pivot", "doc", "component", needed)
+    needed = F.expr(f"cast(greatest(1, ceil((weight + least) / {each})) as int)").alias("needed")
+    named = rows.select("pivot", "doc", "n", "weight", "component", needed)
     frequent = Window.partitionBy("pivot", "doc").orderBy(F.desc("df"), F.desc("shingle"))
     common = written(common, "common-residue")
     named = join_hot(residue, common, ["pivot", "shingle"], "df", residue.count()).join(named, ["pivot", "doc"])
-    named = written(named.withColumn("at", F.row_number().over(frequent)).filter("at >= needed").select("pivot", "shingle", "doc", "component"), "needed-residue")
-    # only what may be linked with a set of the least size that still allows it, sharing no more than it shares with the pivot
-    able = rows.filter(similar(percent).replace("n_a + n_b", f"n + {smallest}"))
-    sides = [able.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "shared", "component")]) for x in "ab"]
-    apart = F.expr("doc_a > doc_b and component_a <> component_b")
-    inside = "least(shared_a, shared_b)"  # of the pivot's shingles
-    near = sides[0].join(sides[1], [sides[0]["pivot"] == sides[1]["pivot"], apart, F.expr(similar(percent, inside))]).select("doc_a", "doc_b")
-    ends = [named.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "component")]) for x in "ab"]
-    more = ends[0].join(ends[1], [ends[0]["pivot"] == ends[1]["pivot"], ends[0]["shingle"] == ends[1]["shingle"], apart]).select("doc_a", "doc_b")
-    return near.unionByName(more).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), [grouped, mixed, rows, residue, common, named]
+    own = ["doc", "n", "weight", "component", "at"]
+    named = written(named.withColumn("at", F.row_number().over(frequent)).filter("at >= needed").select("pivot", "shingle", *own), "needed-residue")
+    ends = [named.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in own]) for x in "ab"]
+    # in the rarest shingle of those that two docs share, all that they share stand at or before it
+    able = F.expr(f"doc_a > doc_b and component_a <> component_b and {each} * least(at_a, at_b) >= weight_a + weight_b and {similar(percent, 'least(n_a, n_b)')}")
+    pairs = ends[0].join(ends[1], [ends[0]["pivot"] == ends[1]["pivot"], ends[0]["shingle"] == ends[1]["shingle"], able]).select("doc_a", "doc_b")
+    return pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), [grouped, mixed, rows, residue, common, named]
 
 
 def keep_one(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,3 +58,21 @@ def test_edge_cases(spark, docs, empty, plain):
     assert got == [(0, 2, None), (3, 2, 3), (3, 2, 3), (7, 2, 3), (8, 0, 8)]
     kept = mh.keep_one(df, 5, 80)
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["3", "3", "8", "None"] and kept.columns == df.columns
+
+
+def test_loose_copies_of_one_text_are_not_all_paired(spark):
+    """40 texts lack other words of one text and share 17 words that it lacks; a 41st is near to the first of them."""
+    r = random.Random(3)
+    base = [f"p{i}" for i in range(400)]
+    plain = {0: base}
+    for i in range(1, 41):
+        gone = set(r.sample(base, 60))
+        plain[i] = [w for w in base if w not in gone] + [f"s{k}" for k in range(17)] + [f"d{i}x{k}" for k in range(43)]
+    plain[41] = plain[1][:-5] + [f"e{k}" for k in range(5)]
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in plain.items()], "doc long, text string")
+    stars = mh.compared(spark.createDataFrame([(d, 0) for d in range(1, 42)], "a long, b long"), texts, 1)
+    assert stars.filter(mh.similar(80)).isEmpty()
+    found = spark.createDataFrame([], "doc long, component long")
+    pairs = {(p.a, p.b) for p in mh._rest(stars, found, texts, 1, 80)[0].collect()}
+    links = {d for d, (_, label) in brute({d: " ".join(w) for d, w in plain.items()}, 1, 80).items() if d != label}
+    assert links == {41} and (41, 1) in pairs and len(pairs) < 82
