@@ -89,20 +89,27 @@ WINDOWS_1252 = (
 
 
 def _utf16(content: Column) -> Column:
-    """Bytes that begin with a mark of UTF-16 as text; Spark's decode raises where a surrogate stands alone."""
+    """Bytes that begin with a mark of UTF-16 as text, with U+FFFD for each surrogate that stands alone and for a rest of one byte.
 
-    @F.pandas_udf("string")
-    def decoded_16(values: pd.Series) -> pd.Series:
-        order = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
-        return values.map(lambda b: None if b is None else bytes(b[2:]).decode(order[bytes(b[:2])], "replace"))
+    Spark's decode raises at these, so they are put right before, in patterns over bytes as characters.
+    """
+
+    def read(charset: str, unit: str, new: str) -> Column:
+        high, low, any_ = (unit.replace("?", x) for x in (r"[\xD8-\xDB]", r"[\xDC-\xDF]", r"[\xD8-\xDF]"))
+        sound = f"(?:{unit.replace('?', r'[^\xD8-\xDF]')}|{high}{low})*+"  # possessive: no recursion over long texts
+        body = F.substring(content, 3, 2**31 - 3)
+        chars = F.decode(body, "ISO-8859-1")
+        mended = F.regexp_replace(chars, rf"(?s)\G({sound})(?:{high}.?\z|{any_}|.\z)", f"$1{new}")
+        return F.decode(F.when(chars.rlike(rf"(?s)\A{sound}\z"), body).otherwise(F.encode(mended, "ISO-8859-1")), charset)
 
-    return decoded_16(content)
+    little = F.hex(F.substring(content, 1, 2)) == "FFFE"
+    return F.when(little, read("UTF-16LE", ".?", "\xfd\xff")).otherwise(read("UTF-16BE", "?.", "\xff\xfd"))
 
 
 def decoded(content: Column) -> Column:
     """struct(text, encoding, fallback) of whole bytes: by their mark, else UTF-8 where valid, else Windows-1252.
 
-    Newlines become line feeds. Only bytes marked as UTF-16 are sent to Python.
+    Newlines become line feeds.
     """
     head = F.hex(F.substring(content, 1, 3))
     little, big, marked = head.startswith("FFFE"), head.startswith("FEFF"), head == "EFBBBF"

@@ -1,6 +1,7 @@
 """Manifest checks, enrichment, decoding and escaping on rows written by hand."""
 
 import unicodedata
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -30,6 +31,18 @@ def test_decoding(spark):
     assert got[7][0] is None
 
 
+def test_utf16_is_decoded_without_python(spark, capsys):
+    units = [b"\x00\xd8", b"\x01\xdc", b"\xff\xdb", b"a\x00", b"\xff\xfe", b"\x00\x00", b"\xac\x20"]
+    bodies = [b"".join(x) + rest for n in range(4) for x in product(units, repeat=n) for rest in (b"", b"\xd8")]
+    bodies.append("é😀\n".encode("utf-16-le") * 200_000)
+    swapped = lambda b: b"".join(b[i : i + 2][::-1] for i in range(0, len(b), 2))
+    given = [(i, m + (b if m == b"\xff\xfe" else swapped(b))) for i, (b, m) in enumerate(product(bodies, (b"\xff\xfe", b"\xfe\xff")))]
+    rows = spark.createDataFrame(given, "seq long, content binary").select("seq", text.decoded(F.col("content"))["text"].alias("t"))
+    assert {r.seq: r.t for r in rows.collect()} == {i: b[2:].decode("utf-16-le" if b[:1] == b"\xff" else "utf-16-be", "replace") for i, b in given}
+    rows.explain()
+    assert "EvalPython" not in capsys.readouterr().out
+
+
 def test_escapes_and_times(spark):
     row = spark.createDataFrame([("a<b>&c\\*_[]#",)], "t string").select(text.escaped(F.col("t")).alias("t")).first()
     assert row.t == "a&lt;b&gt;&amp;c\\\\\\*\\_\\[\\]\\#"
