@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import escaped
+from ..functions.text import escaped, longest_run
 from .lineage import settled
 
 RESERVED = 1024
@@ -65,23 +65,32 @@ def fitting(text: str, most: int, head: int) -> list[str]:
 
 
 def segments(files: DataFrame, limit: int, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
-    """keys, segment (from 1), content, byte_length of pieces of bodies, of at most `limit` bytes."""
+    """keys, segment (from 1), content, byte_length of pieces of bodies, of at most `limit` bytes. Only bodies above it are sent to Python."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else split_utf8(t, limit))
 
-    return _numbered(files.select(*keys, F.posexplode(cut("body")).alias("at", "content")), keys)
+    whole = F.octet_length("body") <= limit
+    pieces = F.when(whole, F.array("body")).otherwise(cut(F.when(~whole, F.col("body"))))
+    return _numbered(files.select(*keys, F.posexplode(pieces).alias("at", "content")), keys)
 
 
 def fitted_segments(files: DataFrame, most: int, head: str, keys: tuple[str, ...] = ("bundle_id", "seq")) -> DataFrame:
-    """The same for atoms of at most `most` bytes, of which a file's column `head` tells how many go before and around each piece."""
+    """The same for atoms of at most `most` bytes, of which a file's column `head` tells how many go before and around each piece.
+
+    Only bodies that `fitting` would cut are sent to Python.
+    """
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
         return pd.Series([[] if t is None else fitting(t, most, h) for t, h in zip(texts, heads, strict=True)])
 
-    return _numbered(files.select(*keys, F.posexplode(cut("body", head)).alias("at", "content")), keys)
+    size = F.octet_length("body")
+    fence = 2 * F.greatest(F.lit(3), longest_run(F.col("body"), "`") + 1) + 4
+    whole = (size <= max(256, most - 2048)) & (F.col(head) + size + fence <= most)
+    pieces = F.when(whole, F.array("body")).otherwise(cut(F.when(~whole, F.col("body")), F.col(head)))
+    return _numbered(files.select(*keys, F.posexplode(pieces).alias("at", "content")), keys)
 
 
 def _numbered(each: DataFrame, keys: tuple[str, ...]) -> DataFrame:

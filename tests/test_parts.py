@@ -41,6 +41,20 @@ def test_pieces_fit_with_head_and_fence():
         packing.fitting("text " * 500, 4096, 5000)
 
 
+def test_only_bodies_that_are_cut_go_to_python(spark, monkeypatch):
+    """The cutter in the workers names what it was given; all other bodies are one piece as they are."""
+    monkeypatch.setattr(packing, "fitting", lambda text, most, head: ["cut", text[-3:]])
+    most = 4096
+    bodies = ["", "a\nb", "x" * 2048, "x" * 2049, "é" * 1024 + "z", "`" * 900 + "\n", "`" * 1015, "`" * 1016, None]
+    for head in (10, 1009, 2038, 2039):
+        df = spark.createDataFrame([("b", i, t, head) for i, t in enumerate(bodies)], "bundle_id string, seq long, body string, head int")
+        got = {}
+        for r in sorted(packing.fitted_segments(df, most, "head").collect(), key=lambda r: (r.seq, r.segment)):
+            got.setdefault(r.seq, []).append(r.content)
+        fits = lambda t: len(t.encode()) <= most - 2048 and head + len(t.encode()) + packing.fence_bytes(t) <= most  # noqa: B023, E731
+        assert got == {i: [t] if fits(t) else ["cut", t[-3:]] for i, t in enumerate(bodies) if t is not None}
+
+
 def table(spark, rows):
     return files.from_rows(spark, [("b", i, p, "list", len(c), len(c), None, None, bytearray(c)) for i, (p, c) in enumerate(rows)])
 
