@@ -26,11 +26,15 @@ from .tasks import MULTIPLIER, mix, slices
 
 #: Kinds of packed rows: records of runs, windows that repeat an earlier place, first copies to be compared.
 RECORD, LATE, PIECE = 0, 1, 2
-RECORDS = [np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64]  # key, digest, right, left, doc, start, n
+RECORDS = [np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64]  # key, digest, right, left, doc, start, n, split
 LATES = [np.int64] * 5  # doc, start, n, source, source_start
 PIECES = [np.int64, np.int64, np.int64, np.uint64, np.int64]  # doc, start, n, key, classes of the key
 #: Records that a task gathers before it sends them, and tokens of a text handled at once.
 FLUSH, STRETCH = 1 << 20, 1 << 18
+#: Bytes of short texts handled at once: the arrays stay in a core's cache.
+NEAR = 1 << 16
+#: Low bits of a gram's hash that give way to its place in a slice.
+PLACE = np.uint64((1 << 20) - 1)
 
 
 class Runs(NamedTuple):
@@ -49,16 +53,16 @@ def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
     none = np.empty(0, np.int64)
     if len(grams) + k - 1 < window:
         return Runs(*[none] * 6)
-    least = grams
-    place = np.arange(len(least), dtype=np.int32)
+    if len(grams) > int(PLACE):
+        raise ValueError("a slice has too many tokens")
+    # a gram's place stands in the low bits of its hash, so that one minimum finds both and the left one wins ties
+    least = grams & ~PLACE | np.arange(len(grams), dtype=np.uint64)
     size, want = 1, window - k + 1
-    while size < want:  # sliding minimum by doubling; the left part wins ties
+    while size < want:  # sliding minimum by doubling
         step = min(size, want - size)
-        left, right = least[:-step], least[step:]
-        smaller = right < left
-        place = np.where(smaller, place[step:], place[:-step])
-        least = np.where(smaller, right, left)
+        least = np.minimum(least[:-step], least[step:])
         size += step
+    place = (least & PLACE).astype(np.int64)
     ends = np.cumsum(lengths)
     row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     inside = np.flatnonzero(row[: len(least)] == row[window - 1 :])
@@ -69,7 +73,7 @@ def runs(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> Runs:
     first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     at = inside[first]
     owner = own[first]
-    return Runs(owner, at - (ends - lengths)[owner], np.diff(np.append(first, len(inside))), least[at].view(np.int64), at, place[first])
+    return Runs(owner, at - (ends - lengths)[owner], np.diff(np.append(first, len(inside))), grams[place[first]].view(np.int64), at, place[first])
 
 
 def records(grams: np.ndarray, lengths: np.ndarray, docs: np.ndarray, base: int, window: int, k: int) -> list[np.ndarray]:
@@ -85,17 +89,18 @@ def records(grams: np.ndarray, lengths: np.ndarray, docs: np.ndarray, base: int,
     for j in range(-(-(2 * window - k) // k)):
         digest = mix(digest * MULTIPLIER + grams[found.first + np.minimum(j * k, size - k)])
     before = found.place - found.first  # tokens left of the anchor in the first window; one less in each next one
+    split = np.clip(before - (window - k - side), 0, found.n)  # so many windows reach less than `side` to the right of the anchor
     right, left = np.zeros(len(key), np.uint32), np.zeros(len(key), np.uint32)
-    to = np.flatnonzero(before - found.n + 1 <= window - k - side)
+    to = np.flatnonzero(split < found.n)
     right[to] = mix(key[to] * MULTIPLIER + grams[found.place[to] + side]) | np.uint64(1)
-    to = np.flatnonzero(before > window - k - side)
+    to = np.flatnonzero(split)
     left[to] = mix(key[to] + grams[found.place[to] - side] * MULTIPLIER) | np.uint64(1)
-    return [key, digest, right, left, docs[found.row], found.start + base, found.n.astype(np.int64)]
+    return [key, digest, right, left, docs[found.row], found.start + base, found.n.astype(np.int64), split]
 
 
 def _first_copies(columns: list[np.ndarray], within: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which records stay, and the columns of LATES for the others: those with an equal one at an earlier place."""
-    key, digest, _, _, doc, start, n = columns
+    key, digest, _, _, doc, start, n, _ = columns
     both = mix(key + digest * MULTIPLIER)
     order = np.argsort(both)
     same = both[order][1:] == both[order][:-1]
@@ -112,18 +117,24 @@ def _first_copies(columns: list[np.ndarray], within: bool) -> tuple[np.ndarray,
     return stay, [doc[gone], start[gone], n[gone], doc[source], start[source]]
 
 
-def _pairs_shared(key: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which of these classes share key and side with another one; a side of 0 is none."""
-    both = mix(key + side.astype(np.uint64) * MULTIPLIER)
-    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-    return (counts[inverse] > 1) & (side > 0)
+def _shared(key: np.ndarray, side: np.ndarray, doc: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of anchors made longer by a side, and the number of these classes with each: 0 if no window of theirs can be a copy; a side of 0 is none."""
+    longer = mix(key + side.astype(np.uint64) * MULTIPLIER)
+    _, first, of, counts = np.unique(longer, return_index=True, return_inverse=True, return_counts=True)
+    again = counts > 1
+    if not within:
+        again = np.zeros(len(counts), bool)
+        again[of[doc != doc[first][of]]] = True
+    return longer, np.where(again[of] & (side > 0), counts[of], 0)
 
 
-def located(docs: DataFrame, tokenise: Callable, window: int, k: int, within: bool) -> DataFrame:
+def located(docs: DataFrame, tokenise: Callable, window: int, k: int, within: bool, together: int | None = None) -> DataFrame:
     """Packed rows dealt by document: LATE windows, and PIECEs that may share windows with other classes.
 
     docs has columns doc and text; tokenise gives, for a slice of texts, the k-gram hashes of all tokens in one line (as
     a function of a range of them) and the number of tokens of each text. within: copies inside one document count.
+    together: pieces hold only windows that share a side with another class, and those of anchors with more classes than
+    this go to the anchors made longer by that side; None: pieces are whole runs.
     """
     parts = parts_of(docs)
 
@@ -137,7 +148,7 @@ def located(docs: DataFrame, tokenise: Callable, window: int, k: int, within: bo
 
     def send(batches):
         held, size = [], 0
-        for part in slices(batches):
+        for part in slices(batches, size=NEAR):
             docs_of = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             grams, lengths = tokenise(part.column(1))
             if len(lengths) > 1 or lengths[0] <= STRETCH:
@@ -168,15 +179,23 @@ def located(docs: DataFrame, tokenise: Callable, window: int, k: int, within: bo
         stay, late = _first_copies(columns, within)
         if len(late[0]):
             yield dealt(part_of(mix(late[0].view(np.uint64)), parts), LATE, late, parts)
-        key, digest, right, left, doc, start, n = columns = [c[stay] for c in columns]
+        key, digest, right, left, doc, start, n, split = columns = [c[stay] for c in columns]
         # one row for each class: those that stay of one class lie in one document
         _, one, of = np.unique(mix(key + digest * MULTIPLIER), return_index=True, return_inverse=True)
-        shared = (_pairs_shared(key[one], right[one]) | _pairs_shared(key[one], left[one]))[of]
-        if shared.any():
-            _, place, size = np.unique(key[one], return_inverse=True, return_counts=True)
-            classes = size[place][of]
-            piece = [doc[shared], start[shared], n[shared], key[shared], classes[shared]]
-            yield dealt(part_of(mix(piece[0].view(np.uint64)), parts), PIECE, piece, parts)
+        _, place, size = np.unique(key[one], return_inverse=True, return_counts=True)
+        classes = size[place][of]
+        to_right, rights = (c[of] for c in _shared(key[one], right[one], doc[one], within))
+        to_left, lefts = (c[of] for c in _shared(key[one], left[one], doc[one], within))
+        if together is None:
+            kinds = [((rights > 0) | (lefts > 0), start, n, key, classes)]
+        else:
+            whole = classes <= together
+            a, b = np.where(lefts > 0, 0, split), np.where(rights > 0, n, split)
+            kinds = [(whole & (a < b), start + a, b - a, key, classes), (~whole & (lefts > 0), start, split, to_left, lefts), (~whole & (rights > 0), start + split, n - split, to_right, rights)]
+        for those, *columns in kinds:
+            if those.any():
+                piece = [doc[those], *(c[those] for c in columns)]
+                yield dealt(part_of(mix(piece[0].view(np.uint64)), parts), PIECE, piece, parts)
 
     def dealt_late(data: bytes) -> pa.RecordBatch:
         late = joined([data], LATES)

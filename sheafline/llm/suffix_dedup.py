@@ -7,8 +7,9 @@ the place of the suffix that ends the run before, and how many bytes the two sha
 the samples: from one sample to the next each place's neighbour moves on by one byte and its match gets one byte shorter,
 which gives every place's neighbour and matching statistic. Neighbours with matches of at least `window` bytes form chains
 of equal strings, and in each chain the smallest document keeps its bytes. Pieces of one anchor are kept together up to
-TOGETHER of them; those of more frequent anchors are cut into their single windows, which meet by their own hashes in the
-same kind of index, and of which each task sends one copy only.
+TOGETHER of them; those of more frequent anchors are halved and meet by the anchor with a third of a window to its right
+or left. Halves of which more than TOGETHER meet are cut into their single windows, which meet by their own hashes in
+the same kind of index, and of which each task sends one copy only. What only one document has is not indexed.
 
 Null and empty texts have no bytes; texts shorter than a window are kept whole; strings that repeat inside one document
 only are kept; rows with a null id are kept whole and are no sources; rows with equal ids count as one document; ties do
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -34,7 +34,7 @@ from .tasks import MULTIPLIER, by_id, bytes_of, discard, map_slices, mix, number
 
 WINDOW = 50
 ANCHOR = 17
-#: Pieces of one anchor that are indexed together; pieces of anchors with more are indexed window by window.
+#: Pieces of one anchor that are indexed together; those of anchors with more meet by longer anchors, or else window by window.
 TOGETHER = 64
 #: Bytes in one index, and bytes of pieces that a task gathers before it sends them.
 BLOCK_BYTES, SENT_BYTES = 1 << 17, 8 << 20
@@ -153,55 +153,63 @@ def _late_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, parts: int) ->
     return dealt(part_of(mix(doc.astype(np.int64).view(np.uint64)), parts), LATE, [doc, start, n, zero, zero], parts)
 
 
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of bytes, eight bytes at a time."""
+    whole = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    whole[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), np.uint64)
+    for column in whole.view(np.uint64).T:
+        out = mix(out * MULTIPLIER + column)
+    return out
+
+
 def _cut(window: int, parts: int, together: int):
     """Packed pieces, dealt by key, from batches of doc, text and packed places."""
 
-    def send(key, doc, start, size, pieces):
-        columns = [np.array(key, np.uint64), *(np.array(c, np.int64) for c in (doc, start, size))]
-        return dealt(part_of(mix(columns[0]), parts), RECORD, columns, parts, pieces)
-
     def run(batches):
-        held, size, gone = ([], [], [], [], []), 0, ([], [])
-        windows: dict[bytes, list[int]] = {}  # single windows: their smallest document and its places
+        held, size = ([], []), 0  # pieces and single windows, as columns
         for part in slices(batches):
-            for doc, text, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                raw = text.encode()
-                for a, n, key, classes in zip(*(c.tolist() for c in unpack(data)[0]), strict=True):
-                    if classes <= together:
-                        piece = raw[a : a + n + window - 1]
-                        for c, x in zip(held, (key, doc, a, len(piece), piece), strict=True):
-                            c.append(x)
-                        size += len(piece)
-                        continue
-                    for b in range(a, a + n):
-                        piece = raw[b : b + window]
-                        least = windows.get(piece)
-                        if least is None or doc < least[0]:
-                            if least is not None:
-                                gone[0].extend(least[:1] * (len(least) - 1))
-                                gone[1].extend(least[1:])
-                            windows[piece] = [doc, b]
-                            size += window
-                        elif doc == least[0]:
-                            least.append(b)
-                        else:
-                            gone[0].append(doc)
-                            gone[1].append(b)
+            data, places = bytes_of(part.column(1))
+            found = [unpack(x)[0] for x in part.column(2).to_pylist()]
+            times = [len(x[0]) for x in found]
+            doc, base = (np.repeat(x, times) for x in (part.column(0).to_numpy(), places[:-1]))
+            start, n, key, classes = (np.concatenate(c).astype(t) for c, t in zip(zip(*found, strict=True), (np.int64, np.int64, np.uint64, np.int64), strict=True))
+            few = classes <= together
+            if few.any():
+                raw, at, to = data.tobytes(), base + start, base + start + n + window - 1
+                pieces = [raw[a:b] for a, b in zip(at[few].tolist(), to[few].tolist(), strict=True)]
+                held[0].append((key[few], doc[few], start[few], (to - at)[few], pieces))
+                size += int((to - at)[few].sum())
+            doc, base, start, n = (c[~few] for c in (doc, base, start, n))
+            for at in range(0, len(n), 4096):  # bounds the windows that a text with very many of them holds at once
+                d, b, s, m = (c[at : at + 4096] for c in (doc, base, start, n))
+                own = np.repeat(s - np.cumsum(m) + m, m) + np.arange(m.sum())
+                rows = data[(own + np.repeat(b, m))[:, None] + np.arange(window)]
+                held[1].append((_hashes(rows), np.repeat(d, m), own, rows))
+                size += rows.size
+                if size >= SENT_BYTES:
+                    yield from flush(*held)
+                    held, size = ([], []), 0
             if size >= SENT_BYTES:
-                yield from flush(held, windows, gone)
-                held, size, gone, windows = ([], [], [], [], []), 0, ([], []), {}
-        yield from flush(held, windows, gone)
-
-    def flush(held, windows, gone):
-        for piece, (doc, *places) in windows.items():
-            key = xxhash.xxh3_64_intdigest(piece)
-            for b in places:
-                for c, x in zip(held, (key, doc, b, window, piece), strict=True):
-                    c.append(x)
-        if gone[0]:
-            yield _late_rows(np.array(gone[0]), np.array(gone[1]), np.ones(len(gone[0]), np.int64), parts)
-        if held[0]:
-            yield send(*held)
+                yield from flush(*held)
+                held, size = ([], []), 0
+        yield from flush(*held)
+
+    def flush(pieces, windows):
+        if windows:  # a task sends a window for its smallest document only
+            key, doc, start, rows = (np.concatenate(c) for c in zip(*windows, strict=True))
+            order = np.lexsort((doc, key))
+            new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            first = order[new][np.cumsum(new) - 1]
+            late = (doc[order] > doc[first]) & (rows[order] == rows[first]).all(axis=1)
+            gone, stay = order[late], order[~late]
+            if len(gone):
+                yield _late_rows(doc[gone], start[gone], np.ones(len(gone), np.int64), parts)
+            pieces = [*pieces, (key[stay], doc[stay], start[stay], np.full(len(stay), window), rows[stay].view(f"V{window}").ravel().tolist())]
+        if pieces:
+            *columns, texts = zip(*pieces, strict=True)
+            columns = [np.concatenate(c) for c in columns]
+            yield dealt(part_of(mix(columns[0]), parts), RECORD, columns, parts, [x for t in texts for x in t])
 
     return run
 
@@ -209,17 +217,12 @@ def _cut(window: int, parts: int, together: int):
 def _indexed(window: int, parts: int):
     """Late windows, dealt by document, of the pieces of one part, in blocks of whole keys."""
 
-    def pieces_of(values: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-        pieces = []
-        for v in values:
-            (_, _, _, size), payload = unpack(v)
-            to = np.cumsum(size, dtype=np.int64).tolist()
-            pieces += [bytes(payload[a:b]) for a, b in zip([0, *to[:-1]], to, strict=True)]
-        return joined(values, [np.uint64, np.int64, np.int64, np.int64]), pieces
-
-    def blocks(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    def blocks(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(key, kind="stable")
-        cuts = np.concatenate(([0], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1, [len(order)]))
+        heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        apart = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+        order = order[np.repeat(apart, np.diff(np.append(heads, len(order))))]  # a key of one document has nothing to compare
+        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))), [len(order)]))
         ends = np.concatenate(([0], np.cumsum(size[order])))[cuts]
         at = 0
         while at < len(cuts) - 1:
@@ -232,10 +235,12 @@ def _indexed(window: int, parts: int):
             yield _late_rows(*joined([v], LATES)[:3], parts)
         if RECORD not in held:
             return
-        (key, doc, start, size), pieces = pieces_of(held[RECORD])
-        for block in blocks(key, size):
+        key, doc, start, size = joined(held[RECORD], [np.uint64, np.int64, np.int64, np.int64])
+        payload, ends = b"".join(unpack(v)[1] for v in held[RECORD]), np.cumsum(size)
+        for block in blocks(key, doc, size):
             once: dict[tuple[int, bytes], int] = {}
-            of = np.array([once.setdefault((d, pieces[i]), len(once)) for d, i in zip(doc[block].tolist(), block.tolist(), strict=True)])
+            places = zip(doc[block].tolist(), (ends - size)[block].tolist(), ends[block].tolist(), strict=True)
+            of = np.array([once.setdefault((d, payload[a:b]), len(once)) for d, a, b in places])
             p, at, n = late_windows([x for _, x in once], np.array([d for d, _ in once], np.int64), window)
             # the ranges of a piece hold for all places where its document has it
             by = np.argsort(of, kind="stable")
@@ -252,7 +257,7 @@ def late_runs(docs: DataFrame, window: int, together: int, id_col: str, text_col
     """doc and packed spans (start, number, and two unused columns): windows of doc that also start in a smaller one; names of docs."""
     rows, names = numbered(docs, id_col, text_col)
     parts = parts_of(docs)
-    found = written(located(rows, _tokenise, window, ANCHOR, False), "located")
+    found = written(located(rows, _tokenise, window, ANCHOR, False, together), "located")
     asked = by_doc(found.filter(F.col("kind") == PIECE), parts, PIECES)
     pieces = rows.join(asked, "doc").select("doc", "text", "data").mapInArrow(_cut(window, parts, together), SCHEMA)
     late = written(gathered(pieces, parts, _indexed(window, parts), SCHEMA), "late-windows")

@@ -88,3 +88,37 @@ def test_index_finds_all_long_matches():
         window = r.randrange(2, 6)
         got = {(i, a + x) for i, a, n in zip(*(c.tolist() for c in sd.late_windows(pieces, docs, window)), strict=True) for x in range(n)}
         assert got == {(i, a) for i in range(len(pieces)) for a in range(len(pieces[i]) - window + 1) if any(docs[j] < docs[i] and pieces[i][a : a + window] in p for j, p in enumerate(pieces))}
+
+
+@pytest.mark.parametrize("together", [2, 3, 8])
+def test_bytes_by_longer_anchors_equal_brute_force(docs, plain, together):
+    rows = sd.suffix_dedup(docs, together=together).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for r in rows} == brute_bytes(plain, 50) and len(rows) == len(plain)
+
+
+def test_frequent_anchor_goes_by_longer_anchors(spark):
+    """100 texts have one anchor, pairs share 10 bytes before and 20 behind it: a text sends a piece or two, not single windows."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    anchor = min((some(17) for _ in range(20_000)), key=lambda a: sd._grams(np.frombuffer(a.encode(), np.uint8))[0])
+    around = [(some(10), some(20)) for _ in range(50)]
+    df = spark.createDataFrame([(i, some(60) + around[i % 50][0] + anchor + around[i % 50][1] + some(60)) for i in range(100)], "doc long, text string")
+    found = sd.located(df, sd._tokenise, 50, sd.ANCHOR, False, sd.TOGETHER)
+    asked = sd.by_doc(found.filter(f"kind = {sd.PIECE}"), 4, sd.PIECES)
+    sent = df.join(asked, "doc").select("doc", "text", "data").mapInArrow(sd._cut(50, 4, sd.TOGETHER), sd.SCHEMA).collect()
+    assert sum(len(sd.unpack(x.data)[0][0]) for x in sent) <= 200
+    rows = sd.suffix_dedup(df, id_col="doc").collect()
+    assert {x.doc: (x.n_bytes, x.n_removed, len(x.removed), bytes(x.kept)) for x in rows} == brute_bytes({x.doc: x.text for x in df.collect()}, 50)
+
+
+def test_windows_of_one_document_need_no_index(monkeypatch):
+    """Single windows of frequent anchors are indexed only if a second document has them."""
+    r = np.random.default_rng(9)
+    pieces = [r.integers(97, 123, 50, np.uint8).tobytes() for _ in range(300)]
+    indexed = []
+    monkeypatch.setattr(sd, "late_windows", lambda p, docs, window, real=sd.late_windows: indexed.extend(p) or real(p, docs, window))
+    of = np.append(np.arange(300), 7)  # document 300 has window 7 once more
+    batch = sd.dealt(np.zeros(301, np.int64), sd.RECORD, [of.astype(np.uint64), np.arange(301), np.zeros(301, np.int64), np.full(301, 50)], 1, [pieces[i] for i in of])
+    late = list(sd._indexed(50, 1)({sd.RECORD: batch.column(2).to_pylist()}))
+    assert [c[:3] for c in ([x.tolist() for x in sd.unpack(b.column(2)[0].as_py())[0]] for b in late)] == [[[300], [0], [1]]]
+    assert indexed == [pieces[7]] * 2
