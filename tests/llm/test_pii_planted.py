@@ -78,3 +78,48 @@ def test_names(spark):
     assert q and (q[1], q[2]) == (q[3], q[4]) and q[1] != "Quentin"
     lost = [r.text for r in out if r.doc_id is None]
     assert len(lost) == 2 and not any(x in t for t in lost for x in ("Lone", "Wolf", "Other", "Man "))
+
+
+def sent_rows(df):
+    """Rows that each shuffle of a collected plan wrote."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_texts_without_finds_are_not_shuffled(spark):
+    rows = [(i, f"plain text {i} of Some Body" if i % 50 else f"Mr. Nick{chr(97 + i // 50)}y Berg wrote {i}@mail.org") for i in range(1000)]
+    rows += [(None, None), (None, "plain"), (None, "Mrs. Lone Wolf"), (None, "plain"), (1, None), (2, "")]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "k")
+    got = out.collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got if not r.n_entities) == sorted((i or -1, t or "") for i, t in rows if not re.search("Mrs?[.]", t or ""))
+    assert len(got) == len(rows) and sum(r.n_entities for r in got) == 20 * 3 + 2
+    assert sent_rows(out) and sum(sent_rows(out)) < 500
+
+
+def test_rows_that_share_an_id_share_their_names(spark):
+    person, full = "Mr. John Smith wrote.", "John Smith slept; Some Body too."
+    rows = [(1, person), (1, full), (1, full), (1, None), (1, ""), (2, full), (3, "to a.b@mail.org"), (3, full), (None, person), (None, full)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = [tuple(r) for r in pii.pseudonymise(df, "k").collect()]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        first = next(t for i, t, _ in out if i == 1 and t and t.startswith("Mr."))
+        given, last = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\.", first).groups()
+        assert (given, last) != ("John", "Smith")
+        want = [(1, first, 2), (1, f"{given} {last} slept; Some Body too.", 0), (1, f"{given} {last} slept; Some Body too.", 0), (1, None, 0), (1, "", 0), (2, full, 0), (3, full, 0), (None, first, 2), (None, full, 0)]
+        key = lambda r: (r[0] or 0, r[1] or "", r[2])
+        assert sorted((r for r in out if r[0] != 3 or not r[2]), key=key) == sorted(want, key=key)
