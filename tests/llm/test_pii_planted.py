@@ -123,3 +123,11 @@ def test_rows_that_share_an_id_share_their_names(spark):
         want = [(1, first, 2), (1, f"{given} {last} slept; Some Body too.", 0), (1, f"{given} {last} slept; Some Body too.", 0), (1, None, 0), (1, "", 0), (2, full, 0), (3, full, 0), (None, first, 2), (None, full, 0)]
         key = lambda r: (r[0] or 0, r[1] or "", r[2])
         assert sorted((r for r in out if r[0] != 3 or not r[2]), key=key) == sorted(want, key=key)
+
+
+def test_texts_are_not_searched_again_for_each_piece(spark):
+    rows = [(1, "Mr. John Smith, token=abcdef99 and a.b@mail.org; 10.0.0.1"), (1, None), (1, "John Smith"), (None, None), (None, ""), (2, "nothing")]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(c1#" in plan and "regexp_extract_all(c1#" not in plan
+    assert sorted(r.n_entities for r in out.collect()) == [0, 0, 0, 0, 0, 5]
