@@ -104,3 +104,48 @@ def test_tree_digests_equal_a_recursion(spark):
 
     assert {(x.bundle_id, x.path): (x.n_files, x.digest) for x in d.tree_digests(nodes).collect()} == {k: digest(*k) for k in every}
     assert d.tree_digests(nodes.limit(0)).count() == 0
+
+
+def moved_rows(df):
+    """Rows that each shuffle of a collected plan wrote."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_tree_is_moved_twice_at_most(spark):
+    flat = [("a", f"d/f{i}") for i in range(900)] + [("a", f"e{i}/x") for i in range(50)] + [(None, "lost"), ("a", None), ("b", "one")]
+    nodes = tree.nodes(spark.createDataFrame(flat, "bundle_id string, path string"))
+    n = nodes.filter("bundle_id is not null").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = d.tree_rows(nodes)
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == ["bundle_id", *d.PLACE, "text"] and len(got) == 2 * n
+    assert sum(moved_rows(out)) < 2.2 * n  # rows for the two joins, and one of each directory
+    assert sorted((r.bundle_id, r.sub) for r in got if r.text is None) == [("a", 0), ("a", 1)]  # a file without a path keeps its rows
+
+
+def test_odd_trees_keep_their_texts(spark):
+    rows = [
+        ("a", "r", None, "directory", "", "", 0), ("a", "d", "r", "directory", "d", "d", 1), ("a", "d", "r", "directory", "d", "d", 1), ("a", "f", "d", "file", "f", "d/f", 2), ("a", "g", "d", "file", "f", "d/f", 2), ("a", "f", "r", "file", "f", "d/f", 1),
+        ("a", "h", "f", "file", "h", "h", 2), ("a", None, "d", "file", "n", "d/n", 2), ("a", "", "", "file", "e", "e", 1), ("a", "z", "gone", "file", "z", "q/z", 2), (None, "r", None, "directory", "", "", 0), ("b", "x", None, "file", None, None, None),
+    ]
+    got = d.tree_rows(spark.createDataFrame(rows, "bundle_id string, node_id string, parent_id string, kind string, name string, path string, depth int")).collect()
+    starts = sorted((r.key, r.text.startswith(","), r.text.endswith("]")) for r in got if r.sub == 0 and r.text is not None)
+    key = lambda *x: "\x02".join(f"{k}{n}\x01{n}" for k, n in x)
+    want = [("", False, False)] + 2 * [(key("0d"), False, False)] + [(key("0d", "1f"), False, False), (key("0d", "1f"), False, True), (key("0d", "1f"), True, False), (key("0d", "1n"), True, True), (key("1h"), False, True), (key("1e"), True, False), (key("0q", "1z"), False, True)]
+    assert starts == sorted(want) and len(got) == 22
+    assert [(r.sub, r.key) for r in got if r.bundle_id == "b"] == [(0, None), (1, None)] and all(r.text is None for r in got if r.bundle_id == "b")
