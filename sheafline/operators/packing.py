@@ -29,21 +29,22 @@ def split_utf8(text: str, limit: int) -> list[str]:
     out, held, size = [], [], 0
     for unit, n in units:
         fits = n <= limit
+        if not fits:  # an oversize line: whether what is held began with it, followed character by character
+            before = "".join(held)
+            at, growing = len(before), unit.startswith(before)
         for piece in [unit] if fits else unit:
             m = n if fits else len(piece.encode())
-            if held and (size + m > limit or (not fits and piece is unit[0] and len(held) and not _growing(held, unit))):
+            if held and (size + m > limit or (not fits and piece is unit[0] and not (growing and not held[-1].endswith("\n")))):
                 out.append("".join(held))
-                held, size = [], 0
+                held, size, at, growing = [], 0, 0, True
+            if not fits:
+                growing = growing and unit.startswith(piece, at)
+                at += 1
             held.append(piece)
             size += m
     return [*out, "".join(held)] if held else out
 
 
-def _growing(held: list[str], unit: str) -> bool:
-    """Whether what is held began with this oversize line."""
-    return len(held) > 0 and "".join(held) == unit[: sum(map(len, held))] and not held[-1].endswith("\n")
-
-
 def fence_bytes(piece: str) -> int:
     """Bytes that a fence around the piece takes at most, besides its language."""
     return 2 * max(3, 1 + max(map(len, re.findall("`+", piece)), default=0)) + 4

@@ -106,3 +106,42 @@ def test_sink_and_source(spark, tmp_path):
     assert spark.read.format("bundle-parts").load(str(tmp_path / "empty")).count() == 0
     with pytest.raises(Exception, match="content"):
         save(df.drop("content"), "append")
+
+
+def cut_slowly(text, limit):
+    """The same cuts by looking at all that is held whenever a line's first letter comes again."""
+    if len(text.encode()) <= limit:
+        return [text]
+    lines = text.split("\n")
+    out, held = [], ""
+    for unit in [x for x in [*(f"{line}\n" for line in lines[:-1]), lines[-1]] if x]:
+        fits = len(unit.encode()) <= limit
+        for piece in [unit] if fits else unit:
+            again = not fits and piece == unit[0] and ord(piece) < 256 and (not unit.startswith(held) or held.endswith("\n"))
+            if held and (len((held + piece).encode()) > limit or again):
+                out, held = [*out, held], ""
+            held += piece
+    return [*out, held]
+
+
+def test_pieces_of_long_lines_stay_what_they_were():
+    r = random.Random(5)
+    for _ in range(4000):
+        letters = r.choice(["ab\n", "aé\n", "éa日\n", "a", "日", "ab\r\n", "a\x0b\n", "abc \n\n", "😀a\n", "aaaaaaa\n"])
+        text = "".join(r.choice(letters) for _ in range(r.randrange(0, 70))) * r.randrange(1, 4)
+        limit = r.randrange(1, 24)
+        pieces = packing.split_utf8(text, limit)
+        assert pieces == cut_slowly(text, limit) and "".join(pieces) == text
+
+
+@pytest.mark.parametrize("line", ["a" * 3000, "the data of a table " * 150])
+def test_a_long_line_is_not_joined_again_for_each_letter(line):
+    import sys
+
+    joins = []
+    sys.setprofile(lambda frame, event, arg: joins.append(arg) if event == "c_call" and arg.__name__ == "join" else None)
+    try:
+        pieces = packing.split_utf8(f"head\n{line}\nend", 2000)
+    finally:
+        sys.setprofile(None)
+    assert "".join(pieces) == f"head\n{line}\nend" and len(joins) <= len(pieces) + 2
